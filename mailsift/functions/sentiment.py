@@ -96,12 +96,13 @@ def _valence_map(lexicon: dict[str, float]) -> Column:
     return F.create_map(*pairs)
 
 
-def _is_upper(word: Column) -> Column:
-    return word.rlike(r"\p{Lu}") & ~word.rlike(r"\p{Ll}")
+def _published(c: Column, digits: int) -> Column:
+    """Half-even rounding; the first rounding removes noise of the summation."""
+    return F.bround(F.round(c, 9), digits)
 
 
-def _negated(word: Column) -> Column:
-    return word.isin(NEGATIONS) | word.contains("n't")
+def _is_upper(word: Column) -> Column:
+    return word.rlike(r"\p{Lu}") & ~word.rlike(r"\p{Ll}")
 
 
 def with_sentiment(
@@ -111,10 +112,17 @@ def with_sentiment(
     names: tuple[str, str, str, str] = (
         "sentiment_compound", "sentiment_neg", "sentiment_neu", "sentiment_pos",
     ),
+    boosters_up: list[str] = BOOSTERS_UP,
+    boosters_down: list[str] = BOOSTERS_DOWN,
+    negations: list[str] = NEGATIONS,
+    pivot: str = "but",
 ) -> DataFrame:
-    """Append compound, negative, neutral and positive scores of ``text``."""
+    """Append compound, negative, neutral and positive scores of ``text``.
+
+    Rounded like the published scorer: four decimals for compound, three else.
+    """
     lexicon = VALENCE if lexicon is None else lexicon
-    scored_words = [w for w in lexicon if w not in BOOSTERS_UP + BOOSTERS_DOWN]
+    scored_words = [w for w in lexicon if w not in boosters_up + boosters_down]
     valence = _valence_map(lexicon)
     keep = df.columns
 
@@ -133,7 +141,7 @@ def with_sentiment(
     capitals = F.size(F.filter(w, _is_upper))
     df = df.withColumn(
         "_caps", (F.size(hits) > 0) & (capitals > 0) & (capitals < n)
-    ).withColumn("_but", F.array_position(l, "but"))
+    ).withColumn("_but", F.array_position(l, pivot))
     caps, but = F.col("_caps"), F.col("_but")
 
     def emphasised(value, word):
@@ -143,10 +151,10 @@ def with_sentiment(
         at = i - d
         prev, prev_raw = F.get(l, at - 1), F.get(w, at - 1)
         sign = F.when(value < 0, -1.0).otherwise(1.0)
-        scale = F.when(prev.isin(BOOSTERS_UP), BOOST).when(prev.isin(BOOSTERS_DOWN), -BOOST)
+        scale = F.when(prev.isin(boosters_up), BOOST).when(prev.isin(boosters_down), -BOOST)
         damp = F.when(d == 1, DAMP[0]).when(d == 2, DAMP[1]).otherwise(DAMP[2])
         boost = F.coalesce((scale * sign + emphasised(value, prev_raw)) * damp, F.lit(0.0))
-        turned = F.when(_negated(prev), F.lit(NEGATE)).otherwise(F.lit(1.0))
+        turned = F.when(prev.isin(negations) | prev.contains("n't"), F.lit(NEGATE)).otherwise(F.lit(1.0))
         applies = (at >= 1) & ~prev.isin(list(lexicon))
         return F.when(applies, (value + boost) * turned).otherwise(value)
 
@@ -186,11 +194,11 @@ def with_sentiment(
     compound, neg_name, neu_name, pos_name = names
 
     def share(x):
-        return F.when(total > 0, x / total).otherwise(zero)
+        return F.when(total > 0, _published(x / total, 3)).otherwise(zero)
 
     return df.select(
         *keep,
-        (total_s / F.sqrt(total_s * total_s + ALPHA)).alias(compound),
+        _published(total_s / F.sqrt(total_s * total_s + ALPHA), 4).alias(compound),
         share(neg).alias(neg_name),
         share(neu).alias(neu_name),
         share(pos).alias(pos_name),

@@ -40,7 +40,8 @@ def count_not_above(value: Column, cuts: list[float], strict: bool) -> Column:
 
     whole = F.size(F.filter(lasts, passed))
     part = F.coalesce(F.size(F.filter(F.get(table, whole), passed)), F.lit(0))
-    return whole * width + F.when(whole < len(chunks), part).otherwise(0)
+    # the last chunk may be shorter than the others
+    return F.when(whole < len(chunks), whole * width + part).otherwise(len(cuts))
 
 
 def quantile_cuts(df: DataFrame, key: str, group: str | None = None) -> dict:

@@ -90,6 +90,13 @@ def page_mail(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and pages together, so that URL features have something to find."""
+    m = mail(spark, sf).select("msg_id", "from", "reply_to", "subject", "body", "label")
+    p = page_mail(spark, sf).withColumn("msg_id", F.col("msg_id") + 1_000_000_000)
+    return m.unionByName(p, allowMissingColumns=True)
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents with a score: the share of repeated words."""
     d = documents(spark, sf).select("doc_id", "source", "lang", tokens(F.col("text")).alias("w"))
@@ -153,7 +160,7 @@ CTE: dict[str, tuple[list[str], str]] = {
         [],
         r"""SELECT page_id AS msg_id,
              CASE WHEN page_id % 7 = 0 THEN 'X <bot@' || h || '>' ELSE 'bot@' || h END AS "from",
-             'bot@' || array_to_string(list_slice(string_split(h, '.'), -2, NULL), '.') AS reply_to
+             'bot@' || array_to_string(list_slice(string_split(h, '.'), greatest(len(string_split(h, '.')) - 1, 1), len(string_split(h, '.'))), '.') AS reply_to
            FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS h FROM pages)""",
     ),
     "url_tbl": ([], "SELECT page_id AS msg_id, url || ' ' || html AS text FROM pages"),
@@ -161,6 +168,11 @@ CTE: dict[str, tuple[list[str], str]] = {
         ["addr"],
         """SELECT a.*, p.url AS subject, p.html AS body FROM addr a JOIN pages p ON a.msg_id = p.page_id""",
     ),
+    "corpus": (
+        ["mail", "page_mail"],
+        """SELECT msg_id, "from", reply_to, subject, body, label FROM mail
+           UNION ALL SELECT msg_id + 1000000000, "from", reply_to, subject, body, NULL FROM page_mail""",
+    ),
     "scored": (
         [],
         f"""SELECT msg_id, y, round(1 - len(list_distinct(w)) / len(w)::double, 4) AS p, source_file, lang FROM (
