@@ -1,11 +1,12 @@
 """Keyword lists and their counters.
 
 A keyword counts once per list entry when it occurs anywhere in the lower-case
-text, also inside a longer word. ``match='word'`` asks for whole words instead.
+text, also inside a longer word; ``whole_word_count`` asks for whole words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import add
 
@@ -63,32 +64,54 @@ REQUESTS = ["please", "kindly", "would you", "could you", "can you"]
 # -----------------------------------------------------------------------------
 
 
-def keyword_count(lowered: Column, words: list[str], match: str = "substring") -> Column:
-    """Number of list entries found in an already lower-cased text."""
-    if match == "substring":
-        hits = [lowered.contains(w).cast("int") for w in words]
-    elif match == "word":
-        hits = [has_phrase(lowered, [w]).cast("int") for w in words]
-    else:
-        raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
-    return reduce(add, hits)
+def keyword_count(lowered: Column, entries: list[str]) -> Column:
+    """Number of list entries found anywhere in a lower-cased text."""
+    return reduce(add, [lowered.contains(w).cast("int") for w in entries])
 
 
-def context_flags(lowered: Column) -> dict[str, Column]:
+def whole_word_count(lowered: Column, words: Column, entries: list[str]) -> Column:
+    """Number of list entries found as whole words.
+
+    ``words`` is the word array of ``lowered``; single words are looked up there
+    in one pass, only phrases search the text.
+    """
+    by_times: dict[int, list[str]] = {}
+    for entry, times in Counter(e for e in entries if " " not in e).items():
+        by_times.setdefault(times, []).append(entry)
+    parts = [
+        F.size(F.array_intersect(words, F.array(*[F.lit(e) for e in group]))) * times
+        for times, group in by_times.items()
+    ]
+    parts += [has_phrase(lowered, e).cast("int") for e in entries if " " in e]
+    return reduce(add, parts)
+
+
+def has_any(lowered: Column, words: Column, entries: list[str]) -> Column:
+    """1 if some entry occurs as a whole word or phrase."""
+    single = F.array(*[F.lit(e) for e in entries if " " not in e])
+    found = F.arrays_overlap(words, single)
+    for phrase in entries:
+        if " " in phrase:
+            found = found | has_phrase(lowered, phrase)
+    return found.cast("int")
+
+
+def context_flags(lowered: Column, words: Column) -> dict[str, Column]:
     return {
-        "has_greeting": has_phrase(lowered, GREETINGS).cast("int"),
-        "has_signature": has_phrase(lowered, SIGNATURES).cast("int"),
-        "has_request": has_phrase(lowered, REQUESTS).cast("int"),
+        "has_greeting": has_any(lowered, words, GREETINGS),
+        "has_signature": has_any(lowered, words, SIGNATURES),
+        "has_request": has_any(lowered, words, REQUESTS),
         "has_question": lowered.contains("?").cast("int"),
     }
 
 
 def context_counts(
     lowered: Column,
+    words: Column,
     business: list[str] = BUSINESS,
     personal: list[str] = PERSONAL_TERMS,
 ) -> dict[str, Column]:
     return {
         "business_term_count": keyword_count(lowered, business),
-        "personal_term_count": keyword_count(lowered, personal, match="word"),
+        "personal_term_count": whole_word_count(lowered, words, personal),
     }

@@ -76,13 +76,14 @@ NEGATIONS = [
     "wont", "wouldnt",
 ]
 
-PUNCT = r"""[.!?,;:'"-]"""
+EDGE = """.!?,;:'"-"""
+PUNCT = f"[{EDGE}]"
 
 
 def sentiment_words(c: Column) -> Column:
     """Words without edge punctuation, single characters dropped."""
-    spaced = F.regexp_replace(c, f"^{PUNCT}+|{PUNCT}*{WS}+{PUNCT}*|{PUNCT}+$", " ")
-    return F.filter(F.split(spaced, " +"), lambda w: F.length(w) > 1)
+    inner = F.btrim(c, F.lit(EDGE))
+    return F.filter(F.split(inner, f"{PUNCT}*{WS}+{PUNCT}*"), lambda w: F.length(w) > 1)
 
 
 def _valence_map(lexicon: dict[str, float]) -> Column:
@@ -138,7 +139,7 @@ def with_sentiment(
     )
     # Capitals, "but" and emphasis matter only when some word has a valence.
     hits = F.col("_hits")
-    capitals = F.size(F.filter(w, _is_upper))
+    capitals = F.size(F.filter(w, lambda t, i: (t != F.get(l, i)) & _is_upper(t)))
     df = df.withColumn(
         "_caps", (F.size(hits) > 0) & (capitals > 0) & (capitals < n)
     ).withColumn("_but", F.array_position(l, pivot))

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 # Explicit character classes, because the shorthand \s, \w and \b cover only
 # ASCII in Java while mail text is Unicode.
 WS_SET = (
-    r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WS = f"[{WS_SET}]"
+# The intersection lets Java reject a Latin character after two comparisons.
+WS = (
+    r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x{85}\x{A0}"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
+)
 NOT_WS = f"[^{WS_SET}]"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -54,13 +58,20 @@ def tokens(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"{NOT_WS}+")).cast("int")
+    return F.size(tokens(c))
+
 
+def words_of(c: Column) -> Column:
+    """Runs of word characters."""
+    return F.regexp_extract_all(c, F.lit(WORD + "+"), F.lit(0))
 
-def has_phrase(lowered: Column, phrases: list[str]) -> Column:
-    """Any of the phrases as whole words, Unicode-aware."""
-    body = "|".join(phrases)
-    return lowered.rlike(f"(?:^|{NOT_WORD})(?:{body})(?:{NOT_WORD}|$)")
+
+def has_phrase(lowered: Column, phrase: str) -> Column:
+    """A phrase of several words at word borders, Unicode-aware.
+
+    The plain substring test rules out nearly all texts before the pattern runs.
+    """
+    return lowered.contains(phrase) & lowered.rlike(f"(?:^|{NOT_WORD}){phrase}(?:{NOT_WORD}|$)")
 
 
 def mean_word_length(words: Column) -> Column:
@@ -134,9 +145,10 @@ def word_ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` neighbouring words, joined with one space."""
     if n == 1:
         return words
-    count = F.size(words)
-    runs = F.transform(
-        F.sequence(F.lit(1), count - (n - 1)),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
-    )
-    return F.when(count >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def run(word, i):
+        return F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, n)])
+
+    # start positions without n - 1 followers are cut off first
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(starts, run)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions import address, lexicons, text, urls
@@ -42,16 +42,41 @@ def url_features(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in urls.url_aggregates(F.col("_urls")).items()])
 
 
+def _with_parts(df: DataFrame, column: str) -> DataFrame:
+    """Lower-case text, white-space tokens and lower-case words, made once."""
+    df = df.withColumns({"_low": F.lower(column), "_tokens": text.tokens(F.col(column))})
+    return df.withColumn("_words", text.words_of(F.col("_low")))
+
+
+def _complexity(column: str) -> dict[str, Column]:
+    tokens = F.col("_tokens")
+    return {
+        "avg_word_length": text.alpha_word_length(tokens),
+        "unique_words_ratio": text.unique_ratio(tokens),
+        "capital_letters_ratio": text.capital_ratio(F.col(column)),
+    }
+
+
+def _keywords(urgency: list[str], financial: list[str], personal: list[str]) -> dict[str, Column]:
+    low = F.col("_low")
+    return {
+        "urgency_count": lexicons.keyword_count(low, urgency),
+        "financial_count": lexicons.keyword_count(low, financial),
+        "personal_info_count": lexicons.keyword_count(low, personal),
+    }
+
+
+def _context() -> dict[str, Column]:
+    low, words = F.col("_low"), F.col("_words")
+    return {**lexicons.context_flags(low, words), **lexicons.context_counts(low, words)}
+
+
+def _named(parts: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in parts.items()]
+
+
 def text_complexity(df: DataFrame, column: str = "text") -> DataFrame:
-    keep = df.columns
-    df = df.withColumn("_words", text.tokens(F.col(column)))
-    words = F.col("_words")
-    return df.select(
-        *keep,
-        text.alpha_word_length(words).alias("avg_word_length"),
-        text.unique_ratio(words).alias("unique_words_ratio"),
-        text.capital_ratio(F.col(column)).alias("capital_letters_ratio"),
-    )
+    return _with_parts(df, column).select(*df.columns, *_named(_complexity(column)))
 
 
 def keyword_features(
@@ -61,33 +86,36 @@ def keyword_features(
     financial: list[str] = lexicons.FINANCIAL,
     personal: list[str] = lexicons.PERSONAL_INFO,
 ) -> DataFrame:
-    keep = df.columns
-    low = F.col("_low")
-    return df.withColumn("_low", F.lower(column)).select(
-        *keep,
-        lexicons.keyword_count(low, urgency).alias("urgency_count"),
-        lexicons.keyword_count(low, financial).alias("financial_count"),
-        lexicons.keyword_count(low, personal).alias("personal_info_count"),
-    )
+    parts = _keywords(urgency, financial, personal)
+    return _with_parts(df, column).select(*df.columns, *_named(parts))
 
 
-def context_features(df: DataFrame, column: str = "text") -> DataFrame:
-    keep = df.columns
-    low = F.col("_low")
-    parts = {**lexicons.context_flags(low), **lexicons.context_counts(low)}
-    return df.withColumn("_low", F.lower(column)).select(
-        *keep, *[c.alias(n) for n, c in parts.items()]
-    )
+def context_features(
+    df: DataFrame,
+    column: str = "text",
+    business: list[str] = lexicons.BUSINESS,
+    personal: list[str] = lexicons.PERSONAL_TERMS,
+) -> DataFrame:
+    low, words = F.col("_low"), F.col("_words")
+    parts = {**lexicons.context_flags(low, words), **lexicons.context_counts(low, words, business, personal)}
+    return _with_parts(df, column).select(*df.columns, *_named(parts))
 
 
 def numeric_features(df: DataFrame, lexicon: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
     """The 30 training features, one narrow plan without a shuffle."""
     keep = ["msg_id"] if keep is None else keep
-    df = with_text(df).withColumn("word_count", text.word_count(F.col("text")))
-    df = df.withColumn("spoofing", address.spoofing(F.col("from"), F.col("reply_to")))
-    df = with_sentiment(url_features(df), "text", lexicon)
-    df = context_features(text_complexity(keyword_features(df)))
-    return df.select(*keep, *[F.col(c) for c in NUMERIC_FEATURES])
+    rows = with_text(df)
+    scored = url_features(with_sentiment(rows, "text", lexicon))
+    parts = {
+        "word_count": F.size("_tokens"),
+        "spoofing": address.spoofing(F.col("from"), F.col("reply_to")),
+        **_complexity("text"),
+        **_keywords(lexicons.URGENCY, lexicons.FINANCIAL, lexicons.PERSONAL_INFO),
+        **_context(),
+        **{c: F.col(c) for c in [*SENTIMENT, *urls.URL_AGGREGATES]},
+    }
+    full = _with_parts(scored, "text")
+    return full.select(*keep, *[parts[c].alias(c) for c in NUMERIC_FEATURES])
 
 
 def serving_features(df: DataFrame, lexicon: dict[str, float] | None = None) -> DataFrame:

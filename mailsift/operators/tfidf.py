@@ -102,20 +102,41 @@ def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
     )
 
 
+def _in_list(values: list[str]) -> str:
+    # terms consist of letters, digits, '_' and single spaces: safe to quote
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _gram_sql(n: int) -> str:
+    """SQL for the n-gram that starts at word ``w`` with index ``i``; null at the end."""
+    return "concat(w" + "".join(f", ' ', get(_words, i + {k})" for k in range(1, n)) + ")"
+
+
 def _supported_grams(n: int, parts: list[str] | None) -> Column:
-    """n-grams of ``_words`` whose two (n-1)-grams are both in ``parts``."""
+    """n-grams of ``_words`` whose two (n-1)-grams are both in ``parts``.
+
+    ``_ok`` holds, per start position, the (n-1)-gram if it is in ``parts``.
+    """
     if n == 1:
         return F.col("_words")
     if parts is None:
         return word_ngrams(F.col("_words"), n)
-    if not parts:
-        return F.array().cast("array<string>")
-    # terms consist of letters, digits, '_' and single spaces: safe to quote
-    known = ", ".join(f"'{p}'" for p in parts)
     return F.expr(
-        f"""filter(transform(_p, (g, i) -> CASE WHEN i + 1 < size(_p)
-              AND g IN ({known}) AND get(_p, i + 1) IN ({known})
-              THEN concat(g, ' ', get(_words, i + {n - 1})) END), g -> g IS NOT NULL)"""
+        f"""filter(transform(_ok, (g, i) -> IF(get(_ok, i + 1) IS NOT NULL,
+              concat(g, ' ', get(_words, i + {n - 1})), NULL)), g -> g IS NOT NULL)"""
+    )
+
+
+def _with_supported(df: DataFrame, n: int, parts: list[str] | None) -> DataFrame:
+    if n == 1 or parts is None:
+        return df
+    if not parts:
+        return df.withColumn("_ok", F.array().cast("array<string>"))
+    return df.withColumn(
+        "_ok",
+        F.expr(
+            f"transform(transform(_words, (w, i) -> {_gram_sql(n - 1)}), g -> IF(g IN {_in_list(parts)}, g, NULL))"
+        ),
     )
 
 
@@ -132,11 +153,11 @@ def fit(
     total = df.count()
     words = with_words(df.select(text), text, stop_words).select("_words")
     ceiling = max_df * total
-    room = 2 * max_terms + 20_000
+    room = 2 * max_terms + 2_000
     best: list[tuple[int, str, int]] = []
     parts: list[str] | None = None
     for n in range(1, max(orders) + 1):
-        source = words if n <= 1 else words.withColumn("_p", word_ngrams(F.col("_words"), n - 1))
+        source = _with_supported(words, n, parts)
         counted = gram_counts(source, _supported_grams(n, parts)).where(F.col("df") >= min_df)
         ranked = counted.orderBy(F.desc("cf"), F.asc("term"))
         rows = ranked.limit(room).collect()
@@ -169,8 +190,7 @@ def transform(df: DataFrame, model: TfidfModel, text: str = "text") -> DataFrame
     """
     keep = df.columns
     words = with_words(df, text, model.stop_words)
-    grams = F.concat(*[word_ngrams(F.col("_words"), n) for n in model.orders])
-    counted = _count_vector(words.withColumn("_grams", grams), model.terms, keep)
+    counted = _count_vector(words.withColumn("_grams", _known_grams(model)), model.terms, keep)
     idf = literal_doubles(model.idf)
     weighted = counted.select(
         *keep,
@@ -182,10 +202,23 @@ def transform(df: DataFrame, model: TfidfModel, text: str = "text") -> DataFrame
     return normed.select(
         *keep,
         F.col("_index").alias("tfidf_index"),
-        F.transform("_w", lambda x: x / F.col("_norm")).alias("tfidf_weight"),
+        # two uses of _norm keep the optimizer from moving its sum into the lambda
+        F.transform("_w", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0)).alias("tfidf_weight"),
     )
 
 
+def _known_grams(model: TfidfModel) -> Column:
+    """All n-grams of ``_words`` that are in the vocabulary, by a hash set test."""
+    parts = []
+    for n in model.orders:
+        known = [t for t in model.terms if t.count(" ") == n - 1]
+        if known:
+            parts.append(
+                F.expr(f"filter(transform(_words, (w, i) -> {_gram_sql(n)}), g -> g IN {_in_list(known)})")
+            )
+    return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+
 def _count_vector(df: DataFrame, vocabulary: list[str], keep: list[str]) -> DataFrame:
     if not vocabulary:
         return df.select(

@@ -173,7 +173,8 @@ def lexicon_counts_v2(spark, sf):
     ),
 )
 def lexicon_counts_words(spark, sf):
-    m = mail_text(spark, sf).withColumn("whole_words", lexicons.keyword_count(F.lower("text"), SEEN_URGENCY, match="word"))
+    low = F.lower("text")
+    m = mail_text(spark, sf).withColumn("whole_words", lexicons.whole_word_count(low, text.words_of(low), SEEN_URGENCY))
     f = features.keyword_features(m, "text", SEEN_URGENCY, SEEN_FINANCIAL, SEEN_PERSONAL)
     return f.select("msg_id", "urgency_count", "financial_count", "personal_info_count", "whole_words")
 
@@ -210,21 +211,21 @@ FLAGS_SQL = f"""regexp_matches(lower(t), {word_re(lexicons.GREETINGS)})::int AS
 
 @query("context_flags", oracle(f"SELECT msg_id, {FLAGS_SQL} FROM t", "corpus", extra=[TEXT_CTE]))
 def context_flags(spark, sf):
-    f = features.with_text(views.corpus(spark, sf))
-    return f.select("msg_id", *[c.alias(n) for n, c in lexicons.context_flags(F.lower("text")).items()])
+    f = features.context_features(features.with_text(views.corpus(spark, sf)))
+    return f.select("msg_id", "has_greeting", "has_signature", "has_request", "has_question")
 
 
 @query("context_counts", oracle(f"SELECT msg_id, {kw_sql(lexicons.BUSINESS)} AS business_term_count, {word_sum(lexicons.PERSONAL_TERMS)} AS personal_term_count FROM t", "corpus", extra=[TEXT_CTE]))
 def context_counts(spark, sf):
-    f = features.with_text(views.corpus(spark, sf))
-    return f.select("msg_id", *[c.alias(n) for n, c in lexicons.context_counts(F.lower("text")).items()])
+    f = features.context_features(features.with_text(views.corpus(spark, sf)))
+    return f.select("msg_id", "business_term_count", "personal_term_count")
 
 
 @query("context_counts_words", oracle(f"SELECT msg_id, {kw_sql(SEEN_FINANCIAL)} AS business_term_count, {word_sum(SEEN_TERMS)} AS personal_term_count FROM t", "corpus", extra=[TEXT_CTE]))
 def context_counts_words(spark, sf):
     f = features.with_text(views.corpus(spark, sf))
-    parts = lexicons.context_counts(F.lower("text"), SEEN_FINANCIAL, SEEN_TERMS)
-    return f.select("msg_id", *[c.alias(n) for n, c in parts.items()])
+    f = features.context_features(f, "text", SEEN_FINANCIAL, SEEN_TERMS)
+    return f.select("msg_id", "business_term_count", "personal_term_count")
 
 
 DOMAIN_SQL = f"""(d IN {_in(address.PROVIDERS)})::int AS is_common_domain, length(d)::int AS domain_length"""

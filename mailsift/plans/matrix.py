@@ -163,6 +163,10 @@ def scaler_transform(spark, sf):
     return out.select("msg_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in NUMERIC])
 
 
+# the same features with rounding far below the compared digits
+EXACT_CTES = [(n, q.replace(", 6)", ", 13)")) for n, q in [*NUMERIC_CTES, _NUM]]
+
+
 def _cell_sql():
     cells = " UNION ALL ".join(
         f"SELECT msg_id, (SELECT count(*) FROM vocab)::int + {i} AS feature_index, (coalesce({c}, 0) - (SELECT mean FROM mom WHERE feature = '{c}')) / (SELECT scale FROM mom WHERE feature = '{c}') AS value FROM num"
@@ -176,7 +180,7 @@ def _cell_sql():
     oracle(
         f"SELECT msg_id, feature_index, round(value, 4) AS value FROM ({_cell_sql()})",
         "corpus",
-        extra=[*NUMERIC_CTES, _NUM, _MOMENTS, *[(n if n != "w" else "w", q) for n, q in vocab_ctes()]],
+        extra=[*EXACT_CTES, _MOMENTS, *vocab_ctes()],
     ),
 )
 def feature_matrix(spark, sf):
