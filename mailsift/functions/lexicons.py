@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsift.functions.text import has_phrase
+from mailsift.functions.text import constant_strings, has_phrase
 
 # --- fixed values: word lists ------------------------------------------------
 # 'urgent' stands twice in the urgency lists and therefore counts twice.
@@ -65,8 +65,13 @@ REQUESTS = ["please", "kindly", "would you", "could you", "can you"]
 
 
 def keyword_count(lowered: Column, entries: list[str]) -> Column:
-    """Number of list entries found anywhere in a lower-cased text."""
-    return reduce(add, [lowered.contains(w).cast("int") for w in entries])
+    """Number of list entries found anywhere in a lower-cased text.
+
+    The text is bound to a lambda variable, so it is computed once however many
+    entries are tried.
+    """
+    words = constant_strings(entries)
+    return F.transform(F.array(lowered), lambda t: F.size(F.filter(words, lambda w: t.contains(w))))[0]
 
 
 def whole_word_count(lowered: Column, words: Column, entries: list[str]) -> Column:
@@ -79,7 +84,7 @@ def whole_word_count(lowered: Column, words: Column, entries: list[str]) -> Colu
     for entry, times in Counter(e for e in entries if " " not in e).items():
         by_times.setdefault(times, []).append(entry)
     parts = [
-        F.size(F.array_intersect(words, F.array(*[F.lit(e) for e in group]))) * times
+        F.size(F.array_intersect(words, constant_strings(group))) * times
         for times, group in by_times.items()
     ]
     parts += [has_phrase(lowered, e).cast("int") for e in entries if " " in e]
@@ -88,7 +93,7 @@ def whole_word_count(lowered: Column, words: Column, entries: list[str]) -> Colu
 
 def has_any(lowered: Column, words: Column, entries: list[str]) -> Column:
     """1 if some entry occurs as a whole word or phrase."""
-    single = F.array(*[F.lit(e) for e in entries if " " not in e])
+    single = constant_strings([e for e in entries if " " not in e])
     found = F.arrays_overlap(words, single)
     for phrase in entries:
         if " " in phrase:

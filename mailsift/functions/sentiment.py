@@ -12,12 +12,13 @@ letter and is consulted for the few words that are members.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.functions.text import WS
+from mailsift.functions.text import WS, constant_strings, sql_list
 
 # --- fixed values: published constants of the rule set ---------------------------
 BOOST = 0.293
@@ -87,14 +88,11 @@ def sentiment_words(c: Column) -> Column:
 
 
 def _valence_map(lexicon: dict[str, float]) -> Column:
+    """A constant map nested by first letter."""
     nested = defaultdict(dict)
     for word, value in lexicon.items():
         nested[word[:1]][word] = float(value)
-    pairs = []
-    for letter, words in nested.items():
-        inner = [F.lit(x) for pair in words.items() for x in pair]
-        pairs += [F.lit(letter), F.create_map(*inner)]
-    return F.create_map(*pairs)
+    return F.from_json(F.lit(json.dumps(nested)), "map<string,map<string,double>>")
 
 
 def _published(c: Column, digits: int) -> Column:
@@ -123,17 +121,18 @@ def with_sentiment(
     Rounded like the published scorer: four decimals for compound, three else.
     """
     lexicon = VALENCE if lexicon is None else lexicon
-    scored_words = [w for w in lexicon if w not in boosters_up + boosters_down]
     valence = _valence_map(lexicon)
     keep = df.columns
 
     df = df.withColumn("_w", sentiment_words(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_l", F.transform("_w", F.lower))
     w, l, n = F.col("_w"), F.col("_l"), F.size("_w")
+    df = df.withColumn("_known", F.expr(f"transform(_l, t -> t IN {sql_list(list(lexicon))})"))
+    known, boosters = F.col("_known"), constant_strings([*boosters_up, *boosters_down])
     df = df.withColumn(
         "_hits",
         F.filter(
-            F.transform(l, lambda t, i: F.when(t.isin(scored_words), i + 1)),
+            F.transform(known, lambda k, i: F.when(k & ~F.array_contains(boosters, F.get(l, i)), i + 1)),
             lambda i: i.isNotNull(),
         ),
     )
@@ -156,7 +155,7 @@ def with_sentiment(
         damp = F.when(d == 1, DAMP[0]).when(d == 2, DAMP[1]).otherwise(DAMP[2])
         boost = F.coalesce((scale * sign + emphasised(value, prev_raw)) * damp, F.lit(0.0))
         turned = F.when(prev.isin(negations) | prev.contains("n't"), F.lit(NEGATE)).otherwise(F.lit(1.0))
-        applies = (at >= 1) & ~prev.isin(list(lexicon))
+        applies = (at >= 1) & ~F.get(known, at - 1)
         return F.when(applies, (value + boost) * turned).otherwise(value)
 
     def word_valence(i):

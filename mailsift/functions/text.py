@@ -25,6 +25,18 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 HTML_TAG = r"<[^>]+>"
 
 
+def constant_strings(values: list[str]) -> Column:
+    """A constant string array from one literal; no value may hold a line break."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def sql_list(values: list[str]) -> str:
+    """The values as an SQL list, for membership tests against a hash set."""
+    return "(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
+
+
 def blank(c: Column) -> Column:
     """True for null and for the empty string."""
     return c.isNull() | (c == "")

@@ -20,7 +20,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.functions.text import analyzed, terms, without, word_ngrams
+from mailsift.functions.text import analyzed, constant_strings, sql_list, terms, without, word_ngrams
 
 # --- fixed values: default English stop words, a parameter everywhere ---------------
 STOP_WORDS = [
@@ -67,15 +67,8 @@ class TfidfModel:
         return [math.log((1 + n) / (1 + d)) + 1 for d in self.document_counts]
 
 
-def literal_strings(values: list[str]) -> Column:
-    """A constant string array; terms hold no line breaks."""
-    if not values:
-        return F.array().cast("array<string>")
-    return F.split(F.lit("\n".join(values)), "\n")
-
-
 def literal_doubles(values: list[float]) -> Column:
-    return literal_strings([repr(float(v)) for v in values]).cast("array<double>")
+    return constant_strings([repr(float(v)) for v in values]).cast("array<double>")
 
 
 def with_words(df: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
@@ -102,11 +95,6 @@ def gram_counts(df: DataFrame, grams: Column) -> DataFrame:
     )
 
 
-def _in_list(values: list[str]) -> str:
-    # terms consist of letters, digits, '_' and single spaces: safe to quote
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
-
-
 def _gram_sql(n: int) -> str:
     """SQL for the n-gram that starts at word ``w`` with index ``i``; null at the end."""
     return "concat(w" + "".join(f", ' ', get(_words, i + {k})" for k in range(1, n)) + ")"
@@ -135,7 +123,7 @@ def _with_supported(df: DataFrame, n: int, parts: list[str] | None) -> DataFrame
     return df.withColumn(
         "_ok",
         F.expr(
-            f"transform(transform(_words, (w, i) -> {_gram_sql(n - 1)}), g -> IF(g IN {_in_list(parts)}, g, NULL))"
+            f"transform(transform(_words, (w, i) -> {_gram_sql(n - 1)}), g -> IF(g IN {sql_list(parts)}, g, NULL))"
         ),
     )
 
@@ -214,7 +202,7 @@ def _known_grams(model: TfidfModel) -> Column:
         known = [t for t in model.terms if t.count(" ") == n - 1]
         if known:
             parts.append(
-                F.expr(f"filter(transform(_words, (w, i) -> {_gram_sql(n)}), g -> g IN {_in_list(known)})")
+                F.expr(f"filter(transform(_words, (w, i) -> {_gram_sql(n)}), g -> g IN {sql_list(known)})")
             )
     return F.concat(*parts) if parts else F.array().cast("array<string>")
 
@@ -233,7 +221,7 @@ def _count_vector(df: DataFrame, vocabulary: list[str], keep: list[str]) -> Data
 
 def long_form(df: DataFrame, model: TfidfModel, keep: list[str] | None = None) -> DataFrame:
     """One (id, term, weight) row per document and known term."""
-    names = literal_strings(model.terms)
+    names = constant_strings(model.terms)
     pair = F.arrays_zip(F.col("tfidf_index").alias("i"), F.col("tfidf_weight").alias("w"))
     rows = df.select(*(keep or ["msg_id"]), F.explode(pair).alias("x"))
     return rows.select(
@@ -244,9 +232,9 @@ def long_form(df: DataFrame, model: TfidfModel, keep: list[str] | None = None) -
 def vocabulary_table(spark, model: TfidfModel) -> DataFrame:
     """The vocabulary as rows: at most ``max_terms``."""
     cols = [
-        literal_strings(model.terms).alias("term"),
-        literal_strings([str(d) for d in model.document_counts]).cast("array<bigint>").alias("df"),
-        literal_strings([str(c) for c in model.corpus_counts]).cast("array<bigint>").alias("cf"),
+        constant_strings(model.terms).alias("term"),
+        constant_strings([str(d) for d in model.document_counts]).cast("array<bigint>").alias("df"),
+        constant_strings([str(c) for c in model.corpus_counts]).cast("array<bigint>").alias("cf"),
         literal_doubles(model.idf).alias("idf"),
     ]
     zipped = spark.range(1).select(F.posexplode(F.arrays_zip(*cols)).alias("idx", "x"))
@@ -254,7 +242,7 @@ def vocabulary_table(spark, model: TfidfModel) -> DataFrame:
 
 
 def feature_names(spark, model: TfidfModel, numeric: list[str]) -> DataFrame:
-    names = literal_strings([*model.terms, *numeric])
+    names = constant_strings([*model.terms, *numeric])
     return spark.range(1).select(F.posexplode(names).alias("feature_index", "name"))
 
 
