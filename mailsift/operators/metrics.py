@@ -111,20 +111,12 @@ def _cumulative(df: DataFrame, y: str, p: str) -> DataFrame:
     return running_sums(flags, "p", ["pos", "neg"], descending=True)
 
 
-def _class_totals(df: DataFrame, y: str, p: str) -> tuple[Column, Column]:
-    known = df.where(F.col(p).isNotNull())
-    pos = known.agg(F.sum((F.col(y) == 1).cast("bigint"))).scalar()
-    neg = known.agg(F.sum((F.col(y) == 0).cast("bigint"))).scalar()
-    return pos, neg
-
-
 def roc_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """False and true positive rate at every distinct score."""
-    pos, neg = _class_totals(df, y, p)
     return _cumulative(df, y, p).select(
         F.col("p").alias("threshold"),
-        ratio(F.col("cum_neg"), neg).alias("fpr"),
-        ratio(F.col("cum_pos"), pos).alias("tpr"),
+        ratio(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
+        ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
     )
 
 
@@ -141,11 +133,10 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Precision and recall at every distinct score."""
-    pos, _ = _class_totals(df, y, p)
     return _cumulative(df, y, p).select(
         F.col("p").alias("threshold"),
         ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
-        ratio(F.col("cum_pos"), pos).alias("recall"),
+        ratio(F.col("cum_pos"), F.col("all_pos")).alias("recall"),
     )
 
 

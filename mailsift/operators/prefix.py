@@ -63,8 +63,11 @@ def running_sums(
 ) -> DataFrame:
     """One row per distinct key with inclusive running sums ``cum_<name>``.
 
-    ``sums`` must be integer columns, so the order of addition is irrelevant.
+    ``all_<name>`` is the total of the group. ``sums`` must be integer columns,
+    so the order of addition is irrelevant.
     """
+    # a computed key, so that both uses of the totals keep their own column
+    df = df.withColumn(key, F.col(key) + F.lit(0))
     cuts = quantile_cuts(df, key, group)
     keys = [key] if group is None else [group, key]
     per_key = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
@@ -81,10 +84,12 @@ def running_sums(
     # at most MAX_SLICES rows per group
     totals = per_key.groupBy(*by, "_slice").agg(*[F.sum(c).alias(c) for c in sums])
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
         *[F.col(b).alias(f"_g_{b}") for b in by],
         F.col("_slice").alias("_o"),
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
+        *[F.sum(c).over(whole).alias(f"all_{c}") for c in sums],
     )
     on = F.col("_slice") == F.col("_o")
     for b in by:
@@ -98,6 +103,7 @@ def running_sums(
         *keys,
         *sums,
         *[(F.sum(c).over(inside) + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sums],
+        *[f"all_{c}" for c in sums],
     )
 
 
@@ -106,9 +112,7 @@ def exact_quantiles(df: DataFrame, key: str, probs: dict[str, float], group: str
     ones = df.where(F.col(key).isNotNull()).select(
         group, F.col(key).cast("double").alias(key), F.lit(1).cast("bigint").alias("n")
     )
-    ranks = running_sums(ones, key, ["n"], group)
-    sizes = ones.groupBy(group).agg(F.sum("n").alias("_total"))
-    at = ranks.join(F.broadcast(sizes), group)
+    at = running_sums(ones, key, ["n"], group)
 
     def value_at(position):
         inside = (position < F.col("cum_n")) & (position >= F.col("cum_n") - F.col("n"))
@@ -116,7 +120,7 @@ def exact_quantiles(df: DataFrame, key: str, probs: dict[str, float], group: str
 
     cols = []
     for name, q in probs.items():
-        pos = F.lit(float(q)) * (F.col("_total") - 1)
+        pos = F.lit(float(q)) * (F.col("all_n") - 1)
         low, high = value_at(F.floor(pos)), value_at(F.ceil(pos))
         frac = F.max(pos - F.floor(pos))
         cols.append((low + (high - low) * frac).alias(name))

@@ -100,7 +100,8 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents with a score: the share of repeated words."""
     d = documents(spark, sf).select("doc_id", "source", "lang", tokens(F.col("text")).alias("w"))
-    p = F.round(1 - F.size(F.array_distinct("w")) / F.size("w"), 4)
+    # never null, so filters on the score need no second evaluation of the text
+    p = F.coalesce(F.round(1 - F.size(F.array_distinct("w")) / F.size("w"), 4), F.lit(0.0))
     return d.join(table(spark, sf, "labels"), "doc_id").select(
         F.col("doc_id").alias("msg_id"),
         (1 - F.col("quality")).cast("int").alias("y"),
@@ -175,7 +176,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     ),
     "scored": (
         [],
-        f"""SELECT msg_id, y, round(1 - len(list_distinct(w)) / len(w)::double, 4) AS p, source_file, lang FROM (
+        f"""SELECT msg_id, y, coalesce(round(1 - len(list_distinct(w)) / nullif(len(w), 0)::double, 4), 0)::double AS p, source_file, lang FROM (
              SELECT d.doc_id AS msg_id, (1 - l.quality)::int AS y, d.source AS source_file, d.lang,
                list_filter(regexp_split_to_array(d.text, '{WS}+'), lambda x: x <> '') AS w
              FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""",
