@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import SparkSession
 
@@ -32,8 +33,11 @@ def save_model(spark: SparkSession, model: MailModel, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> MailModel:
     settings = spark.read.parquet(f"{path}/settings").head()
     vocabulary = spark.read.parquet(f"{path}/vocabulary").orderBy("term").collect()
-    params = {r["feature"]: r for r in spark.read.parquet(f"{path}/scaler").collect()}
     columns = list(settings["columns"])
+    try:
+        params = {r["feature"]: r for r in spark.read.parquet(f"{path}/scaler").collect()}
+    except AnalysisException:  # stored without a scaler: features stay unscaled
+        params = {c: {"mean": 0.0, "scale": 1.0} for c in columns}
     return MailModel(
         features=FeatureModel(
             TfidfModel(
