@@ -111,12 +111,14 @@ def capital_ratio(c: Column) -> Column:
 def is_meaningful(c: Column) -> Column:
     """Mean word length within [2, 15]; no word at all counts as meaningless.
 
-    The mean needs only the number of word characters and of words, so no
-    word array is built.
+    The word array is bound to a lambda variable, so it is extracted once.
     """
-    letters = F.length(F.regexp_replace(c, f"{NOT_WORD}+", ""))
-    words = F.regexp_count(c, F.lit(f"{WORD}+"))
-    return (words > 0) & (letters >= 2 * words) & (letters <= 15 * words)
+
+    def sound(words):
+        n, letters = F.size(words), F.length(F.array_join(words, ""))
+        return (n > 0) & (letters >= 2 * n) & (letters <= 15 * n)
+
+    return F.transform(F.array(words_of(c)), sound)[0]
 
 
 @lru_cache(maxsize=1)
