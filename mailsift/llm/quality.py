@@ -1,9 +1,9 @@
 """Quality by weak supervision.
 
-Rules vote good (1), bad (-1) or abstain (0). Expectation-maximisation on the
-counts of vote patterns estimates how often each rule votes each way on good and
-on bad documents; a document is kept if the posterior probability of good says
-so.
+Rules vote good (1), bad (-1) or abstain (0). A document is good, or bad in the
+way that one of the rules looks for. Expectation-maximisation on the counts of
+vote patterns estimates how often each rule votes each way on each of these; a
+document is kept if the posterior probability of good says so.
 """
 
 from __future__ import annotations
@@ -79,68 +79,68 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
+def _defect(applies: Column, bad: Column) -> Column:
+    return F.when(applies & bad, -1).otherwise(0)
+
+
 def rules() -> dict[str, Column]:
-    """One vote per rule. Rules on shares abstain where a text has too little of
-    what they look at."""
+    """One vote per rule. Rules that look for a defect say bad or abstain: a
+    text without this defect may have another. The first three also say good."""
     words, c = F.col("n_words"), F.col
     letters = c("n_capital") + c("n_lower")
     return {
         "length": _vote(words.between(50, 100_000), words < 20),
         "word_length": F.when(words >= 20, _vote(c("word_chars").between(3 * words, 12 * words), ~c("word_chars").between(2 * words, 20 * words))).otherwise(0),
-        "symbols": F.when(words >= 20, _vote(50 * c("n_symbols") <= words, 10 * c("n_symbols") > words)).otherwise(0),
-        "same_lines": F.when(c("n_lines") >= 4, _vote(20 * c("n_dup_lines") <= c("n_lines"), 3 * c("n_dup_lines") > c("n_lines"))).otherwise(0),
-        "same_words": F.when(words >= 20, _vote(10 * c("n_repeat_words") <= words, 3 * c("n_repeat_words") > words)).otherwise(0),
-        "capitals": F.when(letters >= 100, _vote(5 * c("n_capital") <= letters, 2 * c("n_capital") > letters)).otherwise(0),
         "endings": F.when(c("n_lines") >= 1, _vote(2 * c("n_ended") >= c("n_lines"), 10 * c("n_ended") < c("n_lines"))).otherwise(0),
-        "variety": F.when(words.between(50, 2000), _vote(4 * c("n_distinct") >= words, 8 * c("n_distinct") < words)).otherwise(0),
-        "loudness": F.when(words >= 20, _vote(50 * c("n_loud") <= words, 5 * c("n_loud") > words)).otherwise(0),
+        "symbols": _defect(words >= 20, 10 * c("n_symbols") > words),
+        "same_lines": _defect(c("n_lines") >= 4, 3 * c("n_dup_lines") > c("n_lines")),
+        "same_words": _defect(words >= 20, 3 * c("n_repeat_words") > words),
+        "capitals": _defect(letters >= 100, 2 * c("n_capital") > letters),
+        "variety": _defect(words.between(50, 2000), 8 * c("n_distinct") < words),
+        "loudness": _defect(words >= 20, 5 * c("n_loud") > words),
     }
 
 
 @dataclass(frozen=True)
 class Reliability:
-    """prior: share of good documents. table[rule][vote]: log-odds for good."""
+    """good: posterior of each vote pattern. shares: good first, then bad by
+    rule. chances[class, rule, vote + 1]. accuracy: right votes among votes."""
 
-    prior: float
-    table: dict[str, dict[int, float]]
+    good: np.ndarray
+    shares: np.ndarray
+    chances: np.ndarray
     accuracy: dict[str, float]
 
-    def posterior(self) -> Column:
-        """Probability of good, from the columns named after the rules."""
-        total = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for rule, odds in self.table.items():
-            total = total + F.when(F.col(rule) == 1, odds[1]).when(F.col(rule) == -1, odds[-1]).otherwise(odds[0])
-        return 1 / (1 + F.exp(-total))
-
 
-def estimate(votes: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 50, smooth: float = 1.0) -> Reliability:
+def estimate(votes: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 60, smooth: float = 0.1) -> Reliability:
     """Expectation-maximisation over distinct vote patterns.
 
-    Starts from "bad if any rule says bad". Abstaining says nothing on its own,
-    so only votes count; a bad vote never speaks for good, nor a good one for
-    bad. The share of good stays within 0.5 and 0.99.
+    Starts from "good if no rule says bad, else bad in the ways that rules say".
+    Kinds of bad documents seldom come together, so one class for all of them
+    would take the commonest kind for good; each has a class of its own.
     """
-    good = np.where((votes == -1).any(1), 0.1, 0.95)
-    weight = counts.astype(float)
-    odds, prior = np.zeros((len(names), 3)), 0.9
+    n, weight = len(names), counts.astype(float)
+    bad = (votes == -1).astype(float)
+    none = bad.sum(1) == 0
+    q = np.column_stack([none * 0.98, bad * 0.98]) + 0.02 / (n + 1)
+    q /= q.sum(1, keepdims=True)
+    shares, chances = np.full(n + 1, 1 / (n + 1)), np.full((n + 1, n, 3), 1 / 3)
     for _ in range(rounds if len(votes) else 0):
-        prior = float(np.clip((weight * good).sum() / weight.sum(), 0.5, 0.99))
-        for j in range(len(names)):
-            share = {}
-            for y, q in ((1, good), (-1, 1 - good)):
-                up, down = ((weight * q)[votes[:, j] == v].sum() + smooth for v in (1, -1))
-                share[y] = (up / (up + down), down / (up + down))
-            odds[j] = (min(0.0, np.log(share[1][1] / share[-1][1])), 0.0, max(0.0, np.log(share[1][0] / share[-1][0])))
-        logit = np.log(prior / (1 - prior)) + odds[np.arange(len(names)), votes + 1].sum(1)
-        new = 1 / (1 + np.exp(-logit))
-        if np.abs(new - good).max() < 1e-9:
+        w = weight[:, None] * q
+        shares = (w.sum(0) + smooth) / (w.sum() + smooth * (n + 1))
+        said = np.stack([w.T @ (votes == v) + smooth for v in (-1, 0, 1)], axis=2)
+        chances = said / said.sum(2, keepdims=True)
+        fit = np.log(shares) + np.log(chances)[:, np.arange(n), votes + 1].sum(2).T
+        new = np.exp(fit - fit.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        done = np.abs(new - q).max() < 1e-10
+        q = new
+        if done:
             break
-        good = new
-    accuracy = {}
-    for j, name in enumerate(names):
-        right = (weight * np.where(votes[:, j] == 1, good, np.where(votes[:, j] == -1, 1 - good, 0))).sum() if len(votes) else 0.0
-        accuracy[name] = float(right / max((weight[votes[:, j] != 0]).sum(), 1e-9)) if len(votes) else 0.0
-    return Reliability(prior, {n: {v: float(odds[j, v + 1]) for v in (-1, 0, 1)} for j, n in enumerate(names)}, accuracy)
+    good = q[:, 0] if len(votes) else np.zeros(0)
+    cast = [(weight * (votes[:, j] != 0)).sum() for j in range(n)] if len(votes) else [0.0] * n
+    right = [(weight * np.where(votes[:, j] == 1, good, np.where(votes[:, j] == -1, 1 - good, 0.0))).sum() if c else 0.0 for j, c in enumerate(cast)]
+    return Reliability(good, shares, chances, {m: float(r / c) if c else 0.0 for m, r, c in zip(names, right, cast, strict=True)})
 
 
 def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -156,6 +156,8 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     voted = measures(docs, text_col, keep).select("*", *[v.cast("int").alias(n) for n, v in rules().items()])
     thin = measures(docs, text_col, [text_col]).select(*[v.cast("int").alias(n) for n, v in rules().items()])
     patterns = thin.groupBy(*names).count().orderBy(*names).collect()
-    found = estimate(np.array([[r[n] for n in names] for r in patterns]).reshape(-1, len(names)), np.array([r["count"] for r in patterns]), names)
+    found = estimate(np.array([[r[n] for n in names] for r in patterns], dtype=int).reshape(-1, len(names)), np.array([r["count"] for r in patterns]), names)
+    table = [(*[r[n] for n in names], float(g)) for r, g in zip(patterns, found.good, strict=True)]
+    posterior = F.broadcast(docs.sparkSession.createDataFrame(table, ", ".join(f"{n} int" for n in names) + ", posterior double"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.withColumn("posterior", found.posterior()).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= threshold))
+    return voted.join(posterior, names).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= threshold))

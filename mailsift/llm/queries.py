@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import itq, mixing, quality, secrets, simhash, toxicity, urls
+from mailsift.llm import itq, mixing, pii, quality, secrets, simhash, suffix_lm, toxicity, urls
 from mailsift.plans.book import Book
 from mailsift.sources.tables import table
 
@@ -45,6 +45,18 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@book.query("op4_pii")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents"), keep=["doc_id"])
+    counts = [_count(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("row.doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@book.query("op5_suffix_lm")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_lm.score(table(spark, sf, "documents"))
+
+
 @book.query("op7_mixing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", "taken")
