@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import itq, mixing, pii, quality, secrets, simhash, suffix_lm, toxicity, urls
+from mailsift.llm import dropout_bpe, itq, mixing, pii, quality, secrets, simhash, suffix_lm, toxicity, urls
 from mailsift.plans.book import Book
 from mailsift.sources.tables import table
 
@@ -57,6 +57,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf, "documents"))
 
 
+@book.query("op6_dropout_bpe")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return dropout_bpe.encoded(table(spark, sf, "documents"), keep=["doc_id"]).select("row.doc_id", "ids", "n_ids", "lossless")
+
+
 @book.query("op7_mixing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "text", "source")).select("row.doc_id", "size", "source_size", "target", "taken")

@@ -56,16 +56,16 @@ def _majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): fp is the fingerprint as a signed long."""
+    """(id_col, fp, h): the fingerprint as a signed long, and a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
         for b in frames(batches):
             f = np.array([fingerprint(t) for t in b["t"]], dtype=np.uint64)
-            yield pd.DataFrame({"k": b["k"], "fp": f.view(np.int64)})
+            yield pd.DataFrame({"k": b["k"], "fp": f.view(np.int64), "h": b["h"]})
 
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(work, f"k {kind}, fp bigint")
-    return rows.select(F.col("k").alias(id_col), "fp")
+    text = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    return text.mapInPandas(work, f"k {kind}, fp bigint, h bigint").select(F.col("k").alias(id_col), "fp", "h")
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,7 @@ def bucket_rows(fps: DataFrame, parts: list[Part]) -> DataFrame:
 
 def _rows(number: int, key: np.ndarray, own: bool, fp: np.ndarray) -> pd.DataFrame:
     """Part number and key in one long: a key of all 64 bits is alone in its part."""
-    mixed = (key ^ (np.uint64(number) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+    mixed = (key ^ np.uint64(number * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
     return pd.DataFrame({"bucket": mixed, "own": own, "id": fp})
 
 
@@ -224,7 +224,7 @@ def links(fps: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, block: int = BLOCK) -> DataFrame:
-    """(id_col, fp, component_id) for every row of ``docs``.
+    """(id_col, fp, h, component_id) for every row of ``docs``.
 
     component_id is the smallest id reachable over links of at most ``k`` bits.
     Null and empty texts share fingerprint zero and are linked like any other.
@@ -238,7 +238,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.join(low, "component").select("fp", "component_id")
-    return each.join(of, "fp").select(id_col, "fp", "component_id")
+    return each.join(of, "fp").select(id_col, "fp", "h", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
+    """The row of smallest id of each component, with all its columns.
+
+    Of rows that share this id the one of smallest text hash stays, of rows that
+    repeat, one. A component without an id keeps one row.
+    """
+    found = near_duplicates(docs, id_col, text_col, k)
+    # a component has one lowest id, but components without any id share the null
+    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
+    best = best.agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("k"), "h")).alias("b")).select("b.k", "b.h")
+    rows = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("h"), F.struct("*").alias("row"))
+    kept = rows.join(best.withColumnsRenamed({"k": "bk", "h": "bh"}), F.col("k").eqNullSafe(F.col("bk")) & (F.col("h") == F.col("bh")), "left_semi")
+    return kept.groupBy("k", "h").agg(F.first("row").alias("row")).select("row.*")
 
 
 def hexadecimal(fp) -> "F.Column":
