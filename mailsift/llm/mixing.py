@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from mailsift.llm.common import WORD, blank, stored
 
 #: Largest remaining budget, in words, that the knapsack fits exactly.
-KNAPSACK = 2048
+KNAPSACK = 8192
 #: Slices of the hash range in which the rank of a document is found.
 SLICES = 1024
 
@@ -50,7 +50,7 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNA
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take, share, words, used = np.zeros(len(sizes), np.int64), budget / total, 0, 0
+    take, share, words, used = np.zeros(len(sizes), np.int64), max(0, budget - knapsack) / total, 0, 0
     for k in np.argsort(sizes, kind="stable"):
         words += int(sizes[k] * counts[k])
         if sizes[k]:
@@ -59,11 +59,11 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNA
     left = budget - used
     longest = np.argsort(-sizes, kind="stable")
     for k in longest:
-        if left <= knapsack:
-            break
-        more = min(int(counts[k] - take[k]), (left - knapsack // 2) // int(sizes[k])) if sizes[k] else 0
-        take[k] += more
-        left -= more * int(sizes[k])
+        if left > knapsack and 0 < sizes[k] <= left:
+            size = int(sizes[k])
+            more = min(int(counts[k] - take[k]), left // size, -(-(left - knapsack) // size))
+            take[k] += more
+            left -= more * size
     # before[s]: sum s can be made of the documents so far, in lots of 1, 2, 4, ...
     goal = int(min(left, knapsack))
     before, steps = np.zeros(goal + 1, bool), []

@@ -75,9 +75,9 @@ def _logits(bias, weight, factor, idx, starts):
     return bias + _sums(weight[idx], starts) + 0.5 * ((s**2).sum(1) - _sums((v**2).sum(1), starts)), s, v
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray, least: float = 12.0) -> np.ndarray:
-    """Terms whose counts in the two classes differ: likelihood ratio of
-    ``least`` or more. The rest would only add noise to long texts."""
+def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Terms whose counts in the two classes differ: a likelihood ratio above the
+    Bayesian information criterion. The rest would only add noise to long texts."""
     n, n1 = len(rows), float(y.sum())
 
     def counts(keep):
@@ -90,11 +90,12 @@ def telling(rows: list[np.ndarray], y: np.ndarray, least: float = 12.0) -> np.nd
         for hit, rate in ((seen, (a + b) / max(n, 1)), (size - seen, 1 - (a + b) / max(n, 1))):
             with np.errstate(divide="ignore", invalid="ignore"):
                 g += np.where(hit > 0, 2 * hit * np.log(hit / np.maximum(size * rate, 1e-300)), 0.0)
-    return g >= least
+    return g >= np.log(max(n, 2))
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 3) -> Machine:
-    """AdaGrad on logistic loss in seeded mini-batches over the telling terms."""
+def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 12, steps: int = 2000, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> Machine:
+    """AdaGrad on logistic loss in seeded mini-batches over the telling terms:
+    ``epochs`` rounds, or as many as make ``steps`` batches."""
     rng, n = np.random.default_rng(seed), len(rows)
     ok = telling(rows, y) if n else np.zeros(BUCKETS, bool)
     rows = [r[ok[r]] for r in rows]
@@ -102,7 +103,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs:
     bias, w = float(np.log(share / (1 - share))), np.zeros(BUCKETS)
     v = np.where(ok[:, None], rng.normal(0, 0.01, (BUCKETS, factors)), 0.0)
     gw, gv, gb = np.full(BUCKETS, 1e-6), np.full((BUCKETS, factors), 1e-6), 1e-6
-    for _ in range(epochs if 0 < y.sum() < n else 0):
+    for _ in range(max(epochs, -(-64 * steps // max(n, 1))) if 0 < y.sum() < n else 0):
         order = rng.permutation(n)
         for k in range(0, n, 64):
             batch = order[k : k + 64]
