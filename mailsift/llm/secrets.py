@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import blank, frames
+from mailsift.llm.common import blank, frames, stored
 
 LEDGER = "blob string, version string, spans array<struct<start:int,kind:string,stop:int>>"
 
@@ -94,7 +94,8 @@ def findings(versions: DataFrame, ledger: DataFrame, text_col: str = "text", kee
     rank = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("s.kind"))
     found = ledger.where(F.col("version").isin(list(RULES))).unionByName(fresh).select("blob", F.explode("spans").alias("s"))
     found = found.select("blob", F.struct("s.start", rank.alias("rank"), "s.kind", "s.stop").alias("s")).groupBy("blob").agg(F.sort_array(F.collect_set("s")).alias("spans"))
-    return each.select("row", "blob").join(found, "blob", "left")
+    # stored, so that a blob with very many paths can be split in the join
+    return each.select("row", "blob").join(stored(found), "blob", "left")
 
 
 def digest(spans: list[tuple[int, str, int]]) -> str:
