@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SLICES = 4096
+CHUNK = 64
 
 
 def slice_count(df: DataFrame) -> int:
@@ -44,18 +45,35 @@ def count_not_above(value: Column, cuts: list[float], strict: bool) -> Column:
     return F.when(whole < len(chunks), whole * width + part).otherwise(len(cuts))
 
 
-def quantile_cuts(df: DataFrame, key: str, group: str | None = None) -> dict:
-    """Approximate inner quantiles per group, as sorted lists of doubles."""
+def _quantiles(df: DataFrame, key: str) -> Column:
     n = slice_count(df)
-    probs = [i / n for i in range(1, n)]
-    agg = F.percentile_approx(
-        F.col(key).cast("double"), F.array(*[F.lit(p) for p in probs]), F.lit(10 * MAX_SLICES)
-    ).alias("cuts")
-    if group is None:
-        rows = df.agg(agg).collect()
-        return {None: sorted(set(rows[0]["cuts"] or []))}
-    # one short list per class, feature or split name
-    return {r[0]: sorted(set(r["cuts"] or [])) for r in df.groupBy(group).agg(agg).collect()}
+    # one literal, whatever the number of slices
+    probs = F.split(F.lit(",".join(repr(i / n) for i in range(1, n))), ",").cast("array<double>")
+    cuts = F.percentile_approx(F.col(key).cast("double"), probs, F.lit(10 * MAX_SLICES))
+    return F.array_sort(F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))))
+
+
+def quantile_cuts(df: DataFrame, key: str) -> list[float]:
+    """Approximate inner quantiles as a sorted list of doubles."""
+    return df.agg(_quantiles(df, key).alias("cuts")).first()["cuts"]
+
+
+def group_cuts(df: DataFrame, key: str, group: str) -> DataFrame:
+    """(_c_group, _cuts): the quantiles of each group in chunks of ``CHUNK``.
+
+    One row per class, feature or split name; the cuts stay data, so the plan
+    does not grow with them.
+    """
+    cuts = df.groupBy(F.col(group).alias("_c_group")).agg(_quantiles(df, key).alias("_all"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_all"), F.lit(1)), F.lit(CHUNK))
+    return cuts.select("_c_group", F.transform(starts, lambda i: F.slice("_all", i, CHUNK)).alias("_cuts"))
+
+
+def below_in_chunks(value: Column, chunks: Column) -> Column:
+    """How many of the sorted, chunked cuts are < value."""
+    whole = F.size(F.filter(chunks, lambda c: F.coalesce(F.element_at(c, -1) < value, F.lit(False))))
+    part = F.coalesce(F.size(F.filter(F.get(chunks, whole), lambda x: x < value)), F.lit(0))
+    return whole * CHUNK + part
 
 
 def running_sums(
@@ -68,16 +86,15 @@ def running_sums(
     """
     # a computed key, so that both uses of the totals keep their own column
     df = df.withColumn(key, F.col(key) + F.lit(0))
-    cuts = quantile_cuts(df, key, group)
     keys = [key] if group is None else [group, key]
     per_key = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
     value = F.col(key).cast("double")
     if group is None:
-        slot = count_not_above(value, cuts[None], strict=True)
+        slot = count_not_above(value, quantile_cuts(df, key), strict=True)
     else:
-        slot = F.lit(0)
-        for name, marks in cuts.items():
-            slot = F.when(F.col(group).eqNullSafe(F.lit(name)), count_not_above(value, marks, True)).otherwise(slot)
+        cuts = group_cuts(df, key, group)
+        per_key = per_key.join(F.broadcast(cuts), F.col(group).eqNullSafe(F.col("_c_group")))
+        slot = below_in_chunks(value, F.col("_cuts"))
     per_key = per_key.withColumn("_slice", -slot if descending else slot)
 
     by = [] if group is None else [group]

@@ -30,13 +30,22 @@ def length_stats(df: DataFrame, columns: list[str]) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("field"), F.length(F.col(c)).alias("len")) for c in columns])
         ).alias("x")
     ).select("x.*")
-    basic = long.groupBy("field").agg(
-        F.round(F.avg("len"), 6).alias("mean_len"),
+    # one row per field and distinct length: all else follows from these few
+    per = long.where("len is not null").groupBy("field", "len").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("field").orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("field")
+    per = per.withColumns({"cum": F.sum("n").over(upto), "total": F.sum("n").over(whole)})
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+
+    def at(position):
+        return F.max(F.when((position < F.col("cum")) & (position >= F.col("cum") - F.col("n")), F.col("len")))
+
+    return per.groupBy("field").agg(
+        F.round(F.sum(F.col("len") * F.col("n")) / F.max("total"), 6).alias("mean_len"),
         F.min("len").cast("bigint").alias("min_len"),
         F.max("len").cast("bigint").alias("max_len"),
+        ((at(low) + at(high)) / 2).alias("median_len"),
     )
-    median = exact_quantiles(long, "len", {"median_len": 0.5}, "field")
-    return basic.join(F.broadcast(median), "field")  # one row per column on both sides
 
 
 def top_values(df: DataFrame, column: str, k: int = 3) -> DataFrame:

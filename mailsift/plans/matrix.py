@@ -71,11 +71,11 @@ def ngrams(spark, sf):
     return w.select("msg_id", F.array_join(two, "|").alias("bigrams"), F.array_join(three, "|").alias("trigrams"), F.size(three).alias("n_trigrams"))
 
 
-@query("doc_freq", oracle("SELECT term, cf, df FROM counts WHERE df >= 5", "mail", extra=VOCAB[:5]))
+@query("doc_freq", oracle("SELECT term, cf, df FROM counts", "mail", extra=VOCAB[:5]))
 def doc_freq(spark, sf):
     w = tfidf.with_words(mail_text(spark, sf), "text", tfidf.STOP_WORDS)
     grams = F.concat(*[text.word_ngrams(F.col("_words"), n) for n in (1, 2, 3)])
-    return tfidf.gram_counts(w.select("_words"), grams).where(F.col("df") >= 5)
+    return tfidf.gram_counts(w.select("_words"), grams)
 
 
 def fitted(spark, sf):

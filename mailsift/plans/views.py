@@ -6,11 +6,10 @@ query starts from one of these views. They scan whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import tokens
-from mailsift.session import spread
 from mailsift.sources.tables import table
 
 RAW_LABELS = [
@@ -20,11 +19,11 @@ RAW_LABELS = [
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 def mail(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,17 +64,22 @@ def mail_raw(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """Sender and reply addresses built from the host of each page."""
+def _with_addresses(pages: DataFrame, *more: Column) -> DataFrame:
     host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
     sender = F.concat(F.lit("bot@"), host)
-    return pages(spark, sf).select(
+    return pages.select(
         F.col("page_id").alias("msg_id"),
         F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("X <"), sender, F.lit(">"))).otherwise(sender).alias("from"),
         F.concat(F.lit("bot@"), F.substring_index(host, ".", -2)).alias("reply_to"),
+        *more,
     )
 
 
+def addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Sender and reply addresses built from the host of each page."""
+    return _with_addresses(pages(spark, sf))
+
+
 def url_texts(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).select(
         F.col("page_id").alias("msg_id"), F.concat("url", F.lit(" "), "html").alias("text")
@@ -84,10 +88,7 @@ def url_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_mail(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as mail: the URL as subject, the markup as body."""
-    return addresses(spark, sf).join(
-        pages(spark, sf).select(F.col("page_id").alias("msg_id"), F.col("url").alias("subject"), F.col("html").alias("body")),
-        "msg_id",
-    )
+    return _with_addresses(pages(spark, sf), F.col("url").alias("subject"), F.col("html").alias("body"))
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:

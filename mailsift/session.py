@@ -17,6 +17,9 @@ def local_session(cores: str = "8", app: str = "mailsift") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "1m")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -27,24 +30,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder named by the session.
 
     ``spark.checkpoint.dir`` is a shared folder on a cluster, so the result
-    survives the loss of executors. Only when nothing is configured (tests on
-    one machine) a fresh temporary folder is set.
+    survives the loss of executors; with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes it once
+    nothing refers to it. A fresh temporary folder is set only where none is
+    named and the whole session runs on one machine.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mailsift-ckpt-"))
     return df.checkpoint()
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a source that has fewer splits than the session has cores.
-
-    A small file arrives as a single split and would keep one core busy. A
-    large table always has more splits than cores, so nothing is shuffled.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > want:
-        return df
-    return df.repartition(want, key)
