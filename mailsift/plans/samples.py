@@ -100,34 +100,37 @@ def _smote_ctes(majority: str):
     ]
 
 
+CELLS = 64
+_CELLS_SQL = ", ".join(f"round(x[{i}], 6) AS x{i}" for i in range(1, CELLS + 1))
+_MAJORITY = """CASE WHEN sum(1 - y) / sum(y)::double < 1.5 THEN sum(1 - y)
+  ELSE floor(sum(1 - y) * greatest(0.6, sum(y) / sum(1 - y)::double)) END::bigint"""
+
+
 @query(
     "smote",
     oracle(
-        "SELECT msg_id, replica::int AS replica, neighbor, round(lam, 6) AS lam, round(x[1], 6) AS x1, round(x[64], 6) AS x64, round(list_sum(x), 6) AS total FROM synth",
+        f"SELECT msg_id, replica::int AS replica, neighbor, round(lam, 6) AS lam, {_CELLS_SQL} FROM synth",
         "vectors",
         extra=_smote_ctes("sum(1 - y)::bigint"),
     ),
 )
 def smote(spark, sf):
     s = balance.smote(views.vectors(spark, sf), k=5)
-    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
-    return s.select(
-        "msg_id", "replica", "neighbor", r6("lam").alias("lam"), r6(F.get("x", F.lit(0))).alias("x1"),
-        r6(F.get("x", F.lit(63))).alias("x64"), r6(total).alias("total"),
-    )
+    cells = [r6(F.get("x", F.lit(i))).alias(f"x{i + 1}") for i in range(CELLS)]
+    return s.select("msg_id", "replica", "neighbor", r6("lam").alias("lam"), *cells)
 
 
 @query(
     "balance_combined",
     oracle(
-        """SELECT 0 AS y, m AS n, 0::bigint AS synthetic FROM s UNION ALL SELECT 1, m, m - n_min FROM s""",
+        """SELECT msg_id, y, false AS synthetic, round(list_sum(x), 6) AS total FROM (
+             SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(msg_id || '-42')) AS place FROM vectors), sizes WHERE y = 1 OR place <= n_maj
+           UNION ALL SELECT NULL, 1, true, round(list_sum(x), 6) FROM synth""",
         "vectors",
-        extra=[
-            ("c", "SELECT sum(y)::bigint AS n_min, sum(1 - y)::bigint AS n_maj FROM vectors"),
-            ("s", "SELECT n_min, CASE WHEN n_maj / n_min::double < 1.5 THEN n_maj ELSE floor(n_maj * greatest(0.6, n_min / n_maj::double)) END::bigint AS m FROM c"),
-        ],
+        extra=_smote_ctes(_MAJORITY),
     ),
 )
 def balance_combined(spark, sf):
     b = balance.balance(views.vectors(spark, sf), "combined")
-    return b.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("synthetic").cast("bigint")).alias("synthetic"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return b.select("msg_id", "y", "synthetic", r6(total).alias("total"))
