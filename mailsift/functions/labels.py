@@ -53,6 +53,12 @@ def from_path(path: Column) -> Column:
     )
 
 
+def from_dump_name(path: Column) -> Column:
+    """Class of the records of a dump: phishing if the file name says so."""
+    name = F.substring_index(F.lower(path), "/", -1)
+    return F.when(name.contains("phish"), PHISHING).otherwise("unknown")
+
+
 def evaluation_target(label: Column) -> Column:
     """1 for phishing after trimming, 0 for anything else."""
     return F.coalesce((strip_ws(F.lower(label)) == PHISHING).cast("int"), F.lit(0))

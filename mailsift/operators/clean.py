@@ -94,9 +94,9 @@ def content_digest(columns: list[str]) -> Column:
 def dedup(df: DataFrame, columns: list[str], order: str = "msg_id") -> DataFrame:
     """Keep the row with the smallest ``order`` among equal ``columns``.
 
-    Grouping by digest moves 32 bytes of key instead of the text, and each map
-    task keeps one row per digest, so a text that fills a third of the table
-    does not pile up in one reducer.
+    Each map task keeps one row per digest before the shuffle, so a text that
+    fills a third of the table does not pile up in one reducer. The kept rows
+    move whole, once; ``order`` need not be stable over runs.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return (

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsift.functions.labels import from_dump_name
 from mailsift.functions.text import strip_ws
 
 HEADERS = {"subject": "Subject:", "from": "From:", "receiver": "To:", "date": "Date:"}
@@ -62,7 +63,7 @@ def assemble(
     rows = running_count(rows, F.col("kind") == boundary, "line_no", "seg").where(F.col("kind") != "blank")
     segs = rows.groupBy("file", "seg").agg(
         F.min("block").alias("block"),
-        F.array_sort(F.collect_list(F.struct("line_no", "kind", "line"))).alias("lines"),
+        F.array_sort(F.collect_list(F.struct("block", "line_no", "kind", "line"))).alias("lines"),
     )
     segs = segs.withColumn("full", _has_content(F.col("lines")))
     segs = running_count(segs, F.col("full"), "seg", "done")
@@ -93,4 +94,5 @@ def assemble(
         body = F.when(F.size(body_lines) > 0, F.concat(F.lit(" "), body)).otherwise("")
     fields = {n: _last(x, n, p) for n, p in headers.items()}
     fields["subject"] = F.coalesce(fields["subject"], F.lit(""))
-    return ends.select("file", "rec", *[c.alias(n) for n, c in fields.items()], body.alias("body"))
+    label = from_dump_name(F.col("file")).alias("label")
+    return ends.select("file", "rec", *[c.alias(n) for n, c in fields.items()], body.alias("body"), label)

@@ -149,7 +149,8 @@ def dump_lines(spark, sf):
     text = F.when(kind == 0, F.lit("From: ghost\nSubject:\n")).otherwise(
         F.concat(F.lit("Subject: "), "subject", F.lit("\nFrom: "), "from", F.lit("\nTo: me\n"), body, F.lit("\n"))
     )
-    rows = m.select(F.col("source_file").alias("file"), "msg_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    name = F.when(F.col("source_file").endswith("2"), F.concat(F.lit("phish-"), "source_file")).otherwise(F.col("source_file"))
+    rows = m.select(name.alias("file"), "msg_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     # a block is a bounded run of lines: a thousand documents
     return rows.select(
         "file", F.floor(F.col("msg_id") / 1000).alias("block"), (F.col("msg_id") * 1_000_000 + F.col("pos")).alias("line_no"), "line"
@@ -159,7 +160,7 @@ def dump_lines(spark, sf):
 DUMP = (
     "dump",
     f"""SELECT file, msg_id * 1000000 + pos AS ord, {strip_sql('line')} AS line FROM (SELECT file, msg_id, unnest(string_split(txt, chr(10))) AS line, unnest(range(0, len(string_split(txt, chr(10))))) AS pos FROM (
-      SELECT source_file AS file, msg_id, CASE WHEN msg_id % 5 = 0 THEN 'From: ghost' || chr(10) || 'Subject:' || chr(10)
+      SELECT CASE WHEN ends_with(source_file, '2') THEN 'phish-' || source_file ELSE source_file END AS file, msg_id, CASE WHEN msg_id % 5 = 0 THEN 'From: ghost' || chr(10) || 'Subject:' || chr(10)
         ELSE 'Subject: ' || subject || chr(10) || 'From: ' || "from" || chr(10) || 'To: me' || chr(10) ||
           CASE msg_id % 5 WHEN 1 THEN replace(body, chr(10), chr(10) || 'Date: 2024' || chr(10)) WHEN 2 THEN replace(body, chr(10), chr(10) || ' ' || chr(10)) ELSE body END || chr(10) END AS txt FROM mail))""",
 )
@@ -179,7 +180,8 @@ def assemble_sql(boundary, reset=True, with_date=True):
     )
     dates = f", {last('date', 6)} AS date" if with_date else ""
     return oracle(
-        f"""SELECT file, rec, coalesce({last('subject', 9)}, '') AS subject, {last('from', 6)} AS sender, {last('receiver', 4)} AS receiver{dates}, {body} AS body
+        f"""SELECT file, rec, coalesce({last('subject', 9)}, '') AS subject, {last('from', 6)} AS sender, {last('receiver', 4)} AS receiver{dates}, {body} AS body,
+          CASE WHEN contains(lower(file), 'phish') THEN 'phishing' ELSE 'unknown' END AS label
         FROM (SELECT *, coalesce(max(CASE WHEN kind <> 'body' AND ord < e THEN ord END) OVER (PARTITION BY file, rec), -1) AS h
           FROM (SELECT *, max(CASE WHEN kind = 'body' THEN ord END) OVER (PARTITION BY file, rec) AS e FROM recs))
         GROUP BY file, rec HAVING coalesce({last('subject', 9)}, '') <> '' OR count(*) FILTER (kind = 'body') > 0""",
@@ -221,12 +223,12 @@ COMMAS = f"(length({HEAD20}) - length(replace({HEAD20}, ',', '')))"
 
 @query(
     "split_two",
-    f"""SELECT doc_id, line_no, {strip_sql("string_split(line, ',')[1]")} AS subject, {strip_sql("string_split(line, ',')[2]")} AS body FROM (
-      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::int AS line_no FROM documents WHERE {COMMAS} > 20)
+    f"""SELECT doc_id, label, line_no, {strip_sql("string_split(line, ',')[1]")} AS subject, {strip_sql("string_split(line, ',')[2]")} AS body FROM (
+      SELECT doc_id, CASE WHEN contains(lower(source), 'phish') THEN 'phishing' ELSE 'unknown' END AS label, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::int AS line_no FROM documents WHERE {COMMAS} > 20)
       WHERE {strip_sql('line')} <> '' AND len(string_split(line, ',')) >= 2""",
 )
 def split_two(spark, sf):
-    return csv.split_two(views.documents(spark, sf), "text", ["doc_id"])
+    return csv.split_two(views.documents(spark, sf), "text", ["doc_id"], "source")
 
 
 def _votes():

@@ -135,8 +135,14 @@ def looks_like_csv(text: Column, lines: int = 20, commas: int = 20) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit(","), F.lit(""))) > commas
 
 
-def split_two(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Texts that look like CSV: the first two comma parts of every line."""
+def split_two(df: DataFrame, text: str, keep: list[str], file: str | None = None) -> DataFrame:
+    """Texts that look like CSV: the first two comma parts of every line.
+
+    With ``file``, the column of file names, records get the label it implies.
+    """
+    if file is not None:
+        df = df.withColumn("label", labels.from_dump_name(F.col(file)))
+        keep = [*keep, "label"]
     lines = df.where(looks_like_csv(F.col(text))).select(*keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     parts = F.split("line", ",")
     return lines.where((strip_ws(F.col("line")) != "") & (F.size(parts) >= 2)).select(

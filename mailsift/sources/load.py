@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections import defaultdict
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +33,29 @@ def list_files(spark: SparkSession, paths: list[str], pattern: str) -> list[str]
     return sorted(set(found))
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.option("encoding", "ISO-8859-1").text(path).head()
-    return csv.header_names(first[0].split(",")) if first else []
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Column names of every file from its first line: one job for all files."""
+    if not files:
+        return {}
+    lines = spark.read.option("encoding", "ISO-8859-1").text(files)
+    first = lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n")
+    )
+    rows = first.groupBy("path").agg(F.min_by("value", "n").alias("value")).collect()
+    return {unquote(r["path"]): csv.header_names(r["value"].split(",")) for r in rows}
 
 
 def read_csv_files(spark: SparkSession, files: list[str], quoting: bool = False) -> list[DataFrame]:
     """One reader per layout: known names first, then files grouped by header."""
     by_layout: dict[tuple, list[str]] = defaultdict(list)
+    headers = _headers(spark, [f for f in files if f.rsplit("/", 1)[-1] not in csv.POSITIONAL])
     for path in files:
         name = path.rsplit("/", 1)[-1]
         if name in csv.POSITIONAL:
             by_layout[("positional", name in csv.ONLY_PHISHING, *csv.POSITIONAL[name])].append(path)
         else:
             kind = "wide" if name == csv.WIDE else "lenient"
-            by_layout[(kind, False, *_header(spark, path))].append(path)
+            by_layout[(kind, False, *headers.get(unquote(path), []))].append(path)
     frames = []
     for (kind, only_phishing, *names), group in by_layout.items():
         if not names:
@@ -55,7 +64,7 @@ def read_csv_files(spark: SparkSession, files: list[str], quoting: bool = False)
         if kind == "positional":
             df = csv.positional(df, only_phishing)
         elif kind == "wide":
-            df = csv.wide(df)
+            df = clean.numeric_labels(csv.wide(df)) if {"label", "class"} & set(df.columns) else csv.wide(df)
         frames.append(clean.require_mail_columns(clean.coalesce_aliases(clean.normalize_headers(df))))
     return frames
 
@@ -85,7 +94,7 @@ def read_mail(spark: SparkSession, path: str, index: int = 0) -> DataFrame:
     if low.endswith(".eml"):
         return eml.read_eml(spark, [path], "concat").select(*clean.MAIL_COLUMNS[:4])
     if low.endswith(".csv"):
-        names = _header(spark, path)
+        names = next(iter(_headers(spark, [path]).values()), [])
         df = csv.read_lenient(spark, [path], names, encoding="UTF-8", quoting=True)
         df = clean.require_mail_columns(df, default="")
         df = df.withColumn("_row", F.monotonically_increasing_id())

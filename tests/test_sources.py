@@ -32,6 +32,16 @@ def test_load_messages(spark, folder):
     assert rows[("Café", "Pay now")]["label"] == "phishing"
 
 
+def test_many_files_and_numeric_wide_labels(spark, tmp_path):
+    for k in range(120):
+        (tmp_path / f"m {k}.csv").write_text(f"{'subject,body' if k % 2 else 'body,subject'},label\nleft {k},right {k},spam\n")
+    (tmp_path / "phishing_email.csv").write_text("text,class\nwide one,1.00\nwide two,0.00\n")
+    rows = load.load_messages(spark, [str(tmp_path)]).collect()
+    assert len(rows) == 122
+    assert {(r["body"], r["label"]) for r in rows if r["body"].startswith("wide")} == {("wide one", "phishing"), ("wide two", "legitimate")}
+    assert all(r["subject"].startswith("left" if int(r["subject"].split()[1]) % 2 else "right") for r in rows if r["subject"])
+
+
 def test_load_nothing(spark, tmp_path):
     assert load.load_messages(spark, [str(tmp_path)]).columns[:5] == ["from", "reply_to", "subject", "body", "label"]
 
