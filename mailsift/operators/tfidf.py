@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import analyzed, constant_strings, sql_list, terms, without, word_ngrams
+from mailsift.session import cut_lineage
 
 # --- fixed values: default English stop words, a parameter everywhere ---------------
 STOP_WORDS = [
@@ -137,9 +138,13 @@ def fit(
     orders: tuple[int, ...] = (1, 2, 3),
     stop_words: list[str] = STOP_WORDS,
 ) -> TfidfModel:
-    """Vocabulary of the most frequent n-grams (ties by term) with its counts."""
-    total = df.count()
-    words = with_words(df.select(text), text, stop_words).select("_words")
+    """Vocabulary of the most frequent n-grams (ties by term) with its counts.
+
+    The words are made once and kept on shared storage for all levels; a column
+    ``_words`` made earlier is used as it is.
+    """
+    words = df.select("_words") if "_words" in df.columns else cut_lineage(with_words(df.select(text), text, stop_words).select("_words"))
+    total = words.count()
     ceiling = max_df * total
     room = 2 * max_terms + 2_000
     best: list[tuple[int, str, int]] = []
@@ -176,8 +181,8 @@ def transform(df: DataFrame, model: TfidfModel, text: str = "text") -> DataFrame
     Terms outside the vocabulary are ignored; a text without known terms gets
     empty arrays.
     """
-    keep = df.columns
-    words = with_words(df, text, model.stop_words)
+    keep = [c for c in df.columns if c != "_words"]
+    words = df if "_words" in df.columns else with_words(df, text, model.stop_words)
     counted = _count_vector(words.withColumn("_grams", _known_grams(model)), model.terms, keep)
     idf = literal_doubles(model.idf)
     weighted = counted.select(

@@ -10,6 +10,7 @@ from mailsift.plans import views
 from mailsift.plans.book import Book, r6, rounded
 from mailsift.plans.features import MAIL_TEXT, NUMERIC_CTES, NUMERIC_SQL, _in, mail_text
 from mailsift.plans.views import oracle
+from mailsift.session import cut_lineage
 from mailsift.sources.tables import table
 
 book = Book()
@@ -158,7 +159,7 @@ def scaler_fit(spark, sf):
     ),
 )
 def scaler_transform(spark, sf):
-    f = rounded(features.numeric_features(views.corpus(spark, sf)))
+    f = cut_lineage(rounded(features.numeric_features(views.corpus(spark, sf))))
     out = scale.transform(f, scale.fit(f, NUMERIC))
     return out.select("msg_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in NUMERIC])
 
@@ -184,7 +185,7 @@ def _cell_sql():
     ),
 )
 def feature_matrix(spark, sf):
-    rows = views.corpus(spark, sf)
+    rows = matrix.prepared(views.corpus(spark, sf), ["msg_id"])
     model = matrix.fit(rows, TERMS)
     out = matrix.long_matrix(matrix.transform(rows, model), model)
     return out.withColumn("value", F.round("value", 4) + F.lit(0.0))
