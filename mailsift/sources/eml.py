@@ -27,12 +27,20 @@ def _first_body(msg) -> str:
     return msg.get_content() if kind == "text/plain" else ""
 
 
+def _content(part) -> str:
+    """The part's text; if that cannot be decoded, its payload as Python shows it."""
+    try:
+        return part.get_content()
+    except Exception:  # unknown charset or damaged encoding
+        return str(part.get_payload(decode=True))
+
+
 def _all_bodies(msg) -> str:
     """All plain and html parts that are not attachments, one after another."""
     if not msg.is_multipart():
         return msg.get_content()
     texts = [
-        p.get_content()
+        _content(p)
         for p in msg.walk()
         if p.get_content_type() in ("text/plain", "text/html")
         and "attachment" not in str(p.get("Content-Disposition"))

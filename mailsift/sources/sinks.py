@@ -19,8 +19,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_processed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Per-source tables: one folder per source_file."""
-    write_table(df, path, mode=mode, by=["source_file"])
+    """Per-source tables: one folder per table file, and one for all single mails."""
+    name = F.substring_index("source_file", "/", -1)
+    tag = F.when(F.lower(name).endswith(".eml"), "eml").otherwise(name)
+    write_table(df.withColumn("source", tag), path, mode=mode, by=["source"])
 
 
 def write_json_results(df: DataFrame, path: str, p: str = "p", verbose: bool = False) -> None:

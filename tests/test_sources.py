@@ -66,6 +66,14 @@ def test_eml_policies(spark, tmp_path):
     assert "broken.eml" in both
 
 
+def test_undecodable_part_keeps_its_payload(spark, tmp_path):
+    (tmp_path / "p.eml").write_bytes(
+        b'Subject: s\r\nContent-Type: multipart/mixed; boundary="B"\r\n\r\n--B\r\nContent-Type: text/plain\r\n\r\nok\r\n'
+        b"--B\r\nContent-Type: text/plain; charset=nope\r\n\r\nraw\r\n--B--\r\n"
+    )
+    assert eml.read_eml(spark, [str(tmp_path)], "concat").head()["body"] == "okb'raw'"
+
+
 def test_read_mail_by_suffix(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Subject: Hi\n\nbody\nfrom: x@y.z\nFrom: last@y.z\n")
     row = load.read_mail(spark, str(tmp_path / "a.txt")).head()
@@ -139,6 +147,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_processed(df, path, mode="append")
     back = spark.read.parquet(path)
     assert back.count() == 4 and back.where("source_file = 'x'").count() == 2
+    mails = spark.createDataFrame([(f"/in/{k}.eml", "b") for k in range(9)], "source_file string, body string")
+    sinks.write_processed(mails, path + "m")
+    assert [r[0] for r in spark.read.parquet(path + "m").select("source").distinct().collect()] == ["eml"]
     sinks.write_table(df, path + "c", "csv")
     assert spark.read.option("header", True).csv(path + "c").count() == 2
     m = spark.createDataFrame([(0.5, 3, "note")], "accuracy double, n long, note string")
