@@ -12,6 +12,7 @@ with the corpus and is joined, never broadcast.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ LEAST_SHARE = 5e-6
 #: Mean log ratio (nats) to the shorter context's distribution.
 DIVERGENCE = 0.01
 END = 0x0A
+#: Symbols counted at once; bounds the arrays of a task.
+PART = 1 << 21
 _SHORT = 4
 
 
@@ -53,7 +56,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int
             use = np.repeat(np.array(marks, bool), lens)
             n = np.bincount(tokens[use], minlength=len(vocabulary)).astype(np.int64)
             words = b" ".join(vocabulary).decode()
-            return pd.DataFrame({"block": [number + made], "keys": [keys], "train": [marks], "lens": [lens], "ids": [tokens.tobytes()], "words": [words], "n": [n]})
+            return pd.DataFrame({"block": [number + made], "keys": [keys], "train": [marks], "lens": [lens], "ids": [zlib.compress(tokens.tobytes(), 1)], "words": [words], "n": [n]})
 
         for b in frames(batches):
             for k, t in zip(b["k"], b["t"], strict=True):
@@ -77,10 +80,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(work, schema)
 
 
+def _unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(ids), np.int32)
+
+
 def _streams(words: str, ids: bytes, lens, chosen) -> bytes:
     """Texts of the chosen documents, each closed by the end symbol."""
     named = words.encode().split(b" ") if words else []
-    tokens, out, at = np.frombuffer(ids, np.int32), [], 0
+    tokens, out, at = _unpacked(ids), [], 0
     for n, take in zip(lens, chosen, strict=True):
         if take:
             out.append(b" ".join([named[i] for i in tokens[at : at + n].tolist()]))
@@ -128,14 +135,22 @@ def _with_shorter(key: np.ndarray, n: np.ndarray, k: int, least: int, starts: li
 
 
 def _gram_frame(grams) -> pd.DataFrame:
-    return pd.DataFrame({"key": np.concatenate([g[0] for g in grams]), "n": np.concatenate([g[1] for g in grams])})
+    """One row per gram; the parts of a block have counted each on their own."""
+    key, back = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([g[1] for g in grams]), len(key)).astype(np.int64)
+    return pd.DataFrame({"key": key, "n": n})
 
 
-def _training_streams(batches):
+def _training_blocks(batches):
+    """The training texts of each block, in parts of whole texts; a part holds
+    about PART symbols, or one text that is longer."""
     for b in frames(batches):
         for r in b.itertuples(index=False):
             if any(r.train):
-                yield np.frombuffer(b"\n" + _streams(r.words, r.ids, r.lens, r.train), np.uint8)
+                whole = np.frombuffer(b"\n" + _streams(r.words, r.ids, r.lens, r.train), np.uint8)
+                ends = np.flatnonzero(whole == END)
+                cuts = np.unique(ends[np.searchsorted(ends, np.arange(0, len(whole), PART))])
+                yield [whole[a : z + 1] for a, z in zip(cuts, [*cuts[1:], len(whole) - 1], strict=True) if z > a]
 
 
 def _first_grams(stream: np.ndarray, k: int) -> np.ndarray:
@@ -148,13 +163,14 @@ def short_grams(held: DataFrame) -> DataFrame:
     """(key, n): all grams of up to four symbols in training texts."""
 
     def work(batches):
-        for s in _training_streams(batches):
-            key, _ = _windows(s, _SHORT, np.uint32)
-            starts = [np.zeros(0, np.uint64)] + [_first_grams(s, k) for k in range(1, _SHORT)]
-            starts[1] = np.zeros(0, np.uint64)
-            grams = _with_shorter(*_tally(key, _SHORT), _SHORT, 2, starts)
-            one, n = _tally(s[1:].astype(np.uint64), 1)
-            yield _gram_frame([*grams, (one, n)])
+        for parts in _training_blocks(batches):
+            grams = []
+            for s in parts:
+                key, _ = _windows(s, _SHORT, np.uint32)
+                starts = [np.zeros(0, np.uint64)] * 2 + [_first_grams(s, k) for k in range(2, _SHORT)]
+                grams += _with_shorter(*_tally(key, _SHORT), _SHORT, 2, starts)
+                grams.append(_tally(s[1:].astype(np.uint64), 1))
+            yield _gram_frame(grams)
 
     return _summed(held, work)
 
@@ -169,19 +185,22 @@ def long_grams(held: DataFrame, frequent: np.ndarray, depth: int) -> DataFrame:
 
     def work(batches):
         ok = np.unpackbits(shared.value).astype(bool)
-        for s in _training_streams(batches):
-            four = np.zeros(len(s) - _SHORT + 1, np.uint32) if len(s) >= _SHORT else np.zeros(0, np.uint32)
-            for j in range(_SHORT if len(four) else 0):
-                four = (four << np.uint32(8)) | s[j : j + len(four)]
-            often = ok[_slot(four)]
-            k = depth + 1
-            key, at = _windows(s, k)
-            key = key[often[at + depth - _SHORT]]
-            starts = [np.zeros(0, np.uint64)] * k
-            for j in range(_SHORT + 1, k):
-                first, at = _windows(s, j)
-                starts[j] = first[(s[at] == END) & often[at + j - 1 - _SHORT]]
-            yield _gram_frame(_with_shorter(*_tally(key, k), k, _SHORT + 1, starts))
+        for parts in _training_blocks(batches):
+            grams = []
+            for s in parts:
+                four = np.zeros(max(0, len(s) - _SHORT + 1), np.uint32)
+                for j in range(_SHORT if len(four) else 0):
+                    four = (four << np.uint32(8)) | s[j : j + len(four)]
+                often = ok[_slot(four)]
+                k = depth + 1
+                key, at = _windows(s, k)
+                key = key[often[at + depth - _SHORT]]
+                starts = [np.zeros(0, np.uint64)] * k
+                for j in range(_SHORT + 1, k):
+                    first, at = _windows(s, j)
+                    starts[j] = first[(s[at] == END) & often[at + j - 1 - _SHORT]]
+                grams += _with_shorter(*_tally(key, k), k, _SHORT + 1, starts)
+            yield _gram_frame(grams)
 
     return _summed(held, work)
 
@@ -375,7 +394,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in left.itertuples(index=False):
-            ids, lens = np.frombuffer(r.ids, np.int32), np.asarray(r.lens, dtype=np.int64)
+            ids, lens = _unpacked(r.ids), np.asarray(r.lens, dtype=np.int64)
             c = np.zeros(len(right), np.int64)
             c[right["place"].to_numpy()] = right["c"].to_numpy()
             edges = np.concatenate(([0], np.cumsum(lens)))
@@ -403,7 +422,7 @@ def _tree_scores(r, lens: np.ndarray, automaton: dict, most: int = 1 << 21) -> n
     than that is walked whole."""
     named = r.words.encode().split(b" ") if r.words else []
     size = np.array([len(w) for w in named], np.int64)
-    ids = np.frombuffer(r.ids, np.int32)
+    ids = _unpacked(r.ids)
     edges = np.concatenate(([0], np.cumsum(lens)))
     symbols = np.diff(np.concatenate(([0], np.cumsum(size[ids] + 1 if len(ids) else np.zeros(0, np.int64))))[edges])
     symbols = np.where(lens > 0, symbols, 1)
