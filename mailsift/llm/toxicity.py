@@ -21,7 +21,7 @@ from mailsift.llm.common import frames, id_remainder, lower_words_of, to_tasks
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Labelled rows the machine is fitted on at most, those of smallest hash.
-FIT_ROWS = 24_000
+FIT_ROWS = 12_000
 #: Lengths in bytes of the word beginnings that count as terms.
 STEMS = (4, 5, 6)
 _XX = xxhash.xxh64_intdigest
