@@ -8,6 +8,7 @@ new candidate. Without dropout the result is the model's own segmentation.
 from __future__ import annotations
 
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,10 +26,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 STREAMS = 4
 _MARK = "▁"
 _ONES = (1 << 64) - 1
+_MIX = 0x9E3779B97F4A7C15
 _NEVER = 1 << 60
 #: Longest word whose agenda is a plain list.
 _SHORT = 48
-_CACHE = 600_000
+_CACHE = 1_200_000
+#: Texts whose results are handed over at once.
+_BATCH = 500
 
 
 def load(path: str = MODEL) -> dict:
@@ -44,8 +48,10 @@ def load(path: str = MODEL) -> dict:
     plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(names))]
     if any(p and re.search(f"[^{_MARK}]{_MARK}", n) for n, p in zip(names, plain, strict=True)):
         raise ValueError("words cannot be encoded one by one with this model")
+    # blanks stay blanks here: most words are then one byte a letter in memory
+    names = [n.replace(_MARK, " ") if p else n for n, p in zip(names, plain, strict=True)]
     order = sorted((i for i, p in enumerate(plain) if p), key=lambda i: (-sp.get_score(i), i))
-    raw = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.replace(_MARK, " ").encode() if p else b"" for i, (n, p) in enumerate(zip(names, plain, strict=True))]
+    raw = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.encode() if p else b"" for i, (n, p) in enumerate(zip(names, plain, strict=True))]
     return {"rank": {names[i]: r for r, i in enumerate(order)}, "id": {names[i]: i for i in order}, "raw": raw, "byte": {raw[i][0]: i for i in range(len(names)) if sp.is_byte(i)}}
 
 
@@ -56,13 +62,11 @@ class Encoder:
         self.rank, self.ids, self.raw, self.byte = model["rank"], model["id"], model["raw"], model["byte"]
         self.limit, self.seed, self.streams = int(dropout * 2**64), seed, streams
         self.keys = [xxhash.xxh64_intdigest(b"stream %d" % s, seed) for s in range(streams)]
-        self.cache: list[dict[str, tuple[int, ...]]] = [{} for _ in range(streams)]
-        self.words = re.compile(f"{_MARK}+[^{_MARK}]*")
+        self.cache: list[dict[str, bytes]] = [{} for _ in range(streams)]
+        self.words = re.compile(" +[^ ]*")
 
     def _skips(self, key: int, start: int, stop: int) -> bool:
-        z = (key ^ (start * 0x9E3779B97F4A7C15) ^ (stop * 0xC2B2AE3D27D4EB4F)) & _ONES
-        z = ((z ^ (z >> 31)) * 0xBF58476D1CE4E5B9) & _ONES
-        return (z ^ (z >> 29)) < self.limit
+        return ((key ^ (start << 32) ^ stop) * _MIX & _ONES) < self.limit
 
     def _word_key(self, word: str, stream: int) -> int:
         return xxhash.xxh64_intdigest(word.encode(), self.keys[stream]) if self.limit else 0
@@ -73,23 +77,24 @@ class Encoder:
 
     def _short(self, word: str, key: int) -> list[str]:
         """The agenda is the list of the neighbours' ranks."""
-        rank, limit = self.rank, self.limit
+        rank, limit = self.rank.get, self.limit
         part, edge = list(word), list(range(len(word) + 1))
-        agenda = [rank.get(word[i : i + 2], _NEVER) for i in range(len(word) - 1)]
+        agenda = [rank(a + b, _NEVER) for a, b in zip(part, part[1:], strict=False)]
         while agenda:
             best = min(agenda)
             if best == _NEVER:
                 break
             i = agenda.index(best)
-            if limit and self._skips(key, edge[i], edge[i + 2]):
+            # the same test as _skips, without a call for each candidate
+            if ((key ^ (edge[i] << 32) ^ edge[i + 2]) * _MIX & _ONES) < limit:
                 agenda[i] = _NEVER
                 continue
-            part[i] += part[i + 1]
-            del part[i + 1], edge[i + 1], agenda[i]
+            now = part[i] = part[i] + part.pop(i + 1)
+            del edge[i + 1], agenda[i]
             if i:
-                agenda[i - 1] = rank.get(part[i - 1] + part[i], _NEVER)
+                agenda[i - 1] = rank(part[i - 1] + now, _NEVER)
             if i < len(agenda):
-                agenda[i] = rank.get(part[i] + part[i + 1], _NEVER)
+                agenda[i] = rank(now + part[i + 1], _NEVER)
         return part
 
     def _long(self, word: str, key: int) -> list[str]:
@@ -115,57 +120,51 @@ class Encoder:
                     heappush(agenda, (rank[piece], a, stop[b]))
         return [word[i : stop[i]] for i in range(n) if live[i]]
 
-    def word(self, word: str, stream: int) -> tuple[int, ...]:
-        cache = self.cache[stream]
-        found = cache.get(word)
-        if found is None:
-            out: list[int] = []
-            for p in self.pieces(word, stream):
-                i = self.ids.get(p)
-                if i is None:
-                    out += [self.byte[c] for c in p.encode()]
-                else:
-                    out.append(i)
-            found = tuple(out)
-            if len(word) <= _SHORT:
-                if len(cache) * self.streams > _CACHE:
-                    cache.clear()
-                cache[word] = found
+    def _word(self, word: str, stream: int) -> bytes:
+        """Ids of a word as packed 32-bit numbers; short words are remembered."""
+        part = self.pieces(word, stream)
+        out = list(map(self.ids.get, part))
+        if None in out:
+            out = [i for p, k in zip(part, out, strict=True) for i in ([k] if k is not None else [self.byte[c] for c in p.encode()])]
+        found = array("i", out).tobytes()
+        if len(word) <= _SHORT:
+            cache = self.cache[stream]
+            if len(cache) * self.streams > _CACHE:
+                cache.clear()
+            cache[word] = found
         return found
 
-    def encode(self, text: str, key: str) -> list[int]:
+    def encode(self, text: str, key: str) -> np.ndarray:
         """Ids of a text; ``key`` names the document. An empty text has none.
 
         A literal U+2581 is spelled in bytes, so that it is not taken for a blank.
         """
-        if not text:
-            return []
-        out: list[int] = []
-        first = True
-        for k, plain in enumerate(text.split(_MARK)):
+        parts: list[bytes] = []
+        spelled = np.array([self.byte[c] for c in _MARK.encode()], dtype=np.int32).tobytes()
+        caches = self.cache
+        for k, plain in enumerate(text.split(_MARK) if text else ()):
             if k:
-                out += [self.byte[c] for c in _MARK.encode()]
-            # only the first part has the blank in front that decoding removes
-            marked = plain.replace(" ", _MARK)
-            words = self.words.findall(_MARK + marked) if first else self._rest(marked)
-            first = False
+                parts.append(spelled)
+                words = self._rest(plain)
+            else:
+                # only the first part has the blank in front that decoding removes
+                words = self.words.findall(" " + plain)
             if not words:
                 continue
             base = np.uint64(xxhash.xxh64_intdigest(f"{key} {k}".encode(), self.seed))
             z = (np.arange(len(words), dtype=np.uint64) + base) * np.uint64(0x9E3779B97F4A7C15)
             z ^= z >> np.uint64(32)
             pick = ((z * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(self.streams)
-            for w, s in zip(words, pick.tolist(), strict=True):
-                out += self.word(w, s)
-        return out
+            parts += [caches[s].get(w) or self._word(w, s) for w, s in zip(words, pick.tolist(), strict=True)]
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
 
-    def _rest(self, marked: str) -> list[str]:
-        cut = marked.find(_MARK)
-        head = marked if cut < 0 else marked[:cut]
-        return ([head] if head else []) + (self.words.findall(marked) if cut >= 0 else [])
+    def _rest(self, plain: str) -> list[str]:
+        cut = plain.find(" ")
+        head = plain if cut < 0 else plain[:cut]
+        return ([head] if head else []) + (self.words.findall(plain) if cut >= 0 else [])
 
-    def decode(self, ids) -> str:
-        return decode(self.raw, ids)
+    def decode(self, ids: np.ndarray) -> str:
+        return decode(self.raw, ids.tolist())
 
 
 def decode(raw: list[bytes], ids) -> str:
@@ -185,9 +184,11 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 
     def work(parts):
         enc = Encoder(shared.value, dropout, seed, streams)
-        for keys, texts in parts:
-            out = [None if t is None else enc.encode(t, str(k)) for k, t in zip(keys, texts, strict=True)]
-            yield pd.DataFrame({"ids": out, "n_ids": [0 if x is None else len(x) for x in out], "lossless": [x is None or enc.decode(x) == t for x, t in zip(out, texts, strict=True)]})
+        for all_keys, all_texts in parts:
+            for at in range(0, len(all_keys), _BATCH):
+                keys, texts = all_keys[at : at + _BATCH], all_texts[at : at + _BATCH]
+                out = [None if t is None else enc.encode(t, str(k)) for k, t in zip(keys, texts, strict=True)]
+                yield pd.DataFrame({"ids": out, "n_ids": [0 if x is None else len(x) for x in out], "lossless": [x is None or enc.decode(x) == t for x, t in zip(out, texts, strict=True)]})
 
     udf = F.pandas_udf(_iterated(work), "ids array<int>, n_ids bigint, lossless boolean")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -151,7 +151,7 @@ def test_dropout_varies_and_decodes():
     for t in texts:
         assert a.encode(t, "k").tolist() == b.encode(t, "k").tolist() and a.decode(a.encode(t, "k")) == t == c.decode(c.encode(t, "k"))
     assert len({tuple(e.encode(texts[0], k)) for e, k in ((a, "k"), (c, "k"), (a, "other"))}) == 3
-    for w in ("▁hello" * 7, "▁internationalization"):
+    for w in (" hello" * 7, " internationalization"):
         assert a._short(w, 9) == a._long(w, 9)
 
 
