@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import combinations
-from math import acos, ceil, comb, pi, sqrt
+from math import comb, sqrt
 
 import numpy as np
 import pandas as pd
@@ -69,13 +69,40 @@ class Tables:
     radius: int
 
 
-def plan_tables(n: int, bits: int, rotations: int, threshold: float, recall: float = 0.94) -> Tables:
-    """Cheapest tables that reach ``recall`` for pairs at the threshold itself.
+def apart(sample: np.ndarray, model: Quantiser, threshold: float, count: int = 4000, seed: int = 11) -> list[np.ndarray]:
+    """Differing code bits of pairs whose cosine is the threshold itself.
 
-    A bit of a pair at angle a differs with chance a / pi. Closer pairs are
-    found more often.
+    Centring widens the angle of a pair, and not of every pair alike, so the bits
+    are measured: one set of pairs parts in any direction, the other as vectors
+    of the sample differ from each other. Pairs just over the threshold among
+    the first vectors of the sample are a third set, if there are enough.
+    """
+    u, rng = sample / np.linalg.norm(sample, axis=1, keepdims=True), np.random.default_rng(seed)
+    one = u[rng.integers(len(u), size=count)]
+    first, second = rng.integers(len(u), size=(2, count))
+    out = []
+    for way in (rng.standard_normal(one.shape), u[first] - u[second]):
+        way = way - (way * one).sum(1, keepdims=True) * one
+        size = np.linalg.norm(way, axis=1)
+        some = size > 1e-6
+        if some.any():
+            near = one[some]
+            other = threshold * near + sqrt(1 - threshold**2) * way[some] / size[some, None]
+            out.append((model.codes(near) ^ model.codes(other)).view(np.uint64))
+    some = u[:count]
+    pairs = np.concatenate([np.stack([c.ravel() for c in np.nonzero(np.abs(np.triu(some[k : k + 500] @ some.T, k + 1) - threshold - 0.01) <= 0.01)]) + [[k], [0]] for k in range(0, len(some), 500)], axis=1)
+    if pairs.shape[1] >= 200:
+        i, j = pairs[:, rng.integers(pairs.shape[1], size=count)]
+        code = model.codes(some)
+        out.append((code[i] ^ code[j]).view(np.uint64))
+    return out or [np.zeros((1, len(model.planes)), np.uint64)]
+
+
+def plan_tables(n: int, bits: int, rotations: int, differ: list[np.ndarray], recall: float = 0.94) -> Tables:
+    """Cheapest tables that reach ``recall`` for each set of pairs at the threshold
+    itself, given by their differing bits (from ``apart``). Closer pairs are found
+    more often. The radius lets all of these pairs through.
     """
-    p = acos(threshold) / pi
     best = None
     for width in range(min(4, bits), min(bits, 40) + 1):
         cuts = []
@@ -83,19 +110,19 @@ def plan_tables(n: int, bits: int, rotations: int, threshold: float, recall: flo
             count = max(1, bits // width)
             edges = [round(k * bits / count) for k in range(count + 1)]
             cuts += [(r, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+        nearest = [np.min([popcount((x[:, r] >> np.uint64(a)) & np.uint64((1 << w) - 1)) for r, a, w in cuts], axis=0) for x in differ]
         for reach in range(4):
-            miss = rows = pairs = 1.0
+            rows = pairs = 1.0
             for _, _, w in cuts:
-                miss *= 1 - sum(comb(w, t) * p**t * (1 - p) ** (w - t) for t in range(min(reach, w) + 1))
                 probes = sum(comb(w, t) for t in range(min(reach, w) + 1))
                 rows += n * (1 + probes / 2)
                 pairs += 0.5 * n * n * probes / 2.0**w
+            found = min((k <= reach).mean() for k in nearest)
             # with few bits no plan may reach the recall: then the surest one
-            rank = (round(max(0.0, recall - 1 + miss), 4), rows + 0.05 * pairs)
+            rank = (round(max(0.0, recall - found), 4), rows + 0.05 * pairs)
             if best is None or rank < best[0]:
                 best = (rank, tuple(cuts), reach)
-    total = bits * rotations
-    return Tables(best[1], best[2], ceil(total * p + 4 * sqrt(total * p * (1 - p))))
+    return Tables(best[1], best[2], int(max(popcount(x).sum(1).max() for x in differ)))
 
 
 def bucket_rows(coded: DataFrame, tables: Tables) -> DataFrame:
@@ -184,7 +211,7 @@ def link_counts(distinct: DataFrame, threshold: float, fit_rows: int, block: int
         return spark.createDataFrame([], "a bigint, b bigint, n bigint")
     sample = np.array([r.v for r in distinct.orderBy("id").limit(fit_rows).select("v").collect()], dtype=np.float64)
     model = learn(sample)
-    tables = plan_tables(n, model.bits, len(model.planes), threshold)
+    tables = plan_tables(n, model.bits, len(model.planes), apart(sample, model, threshold))
 
     def encode(batches):
         for b in frames(batches):

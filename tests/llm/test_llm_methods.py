@@ -197,6 +197,27 @@ def test_embedding_groups_and_recall(spark, block):
     assert (links <= true).all() and links.sum() >= 0.95 * true.sum()
 
 
+@pytest.mark.parametrize("shift", [0.0, 0.8, 0.9])
+def test_embedding_recall_with_a_common_direction(spark, monkeypatch, shift):
+    """The plan for millions of vectors must find links at the threshold itself."""
+    rng = np.random.default_rng(12)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    base = unit(shift * np.eye(64)[:1] + np.sqrt(1 - shift**2) * unit(rng.standard_normal((1500, 64))))
+    way = rng.standard_normal(base[:500].shape)
+    way = unit(way - (way * base[:500]).sum(1, keepdims=True) * base[:500])
+    near = 0.901 * base[:500] + np.sqrt(1 - 0.901**2) * way
+    v = np.concatenate([base, near])
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": [x.tolist() for x in v]}))
+    plan = itq.plan_tables
+    monkeypatch.setattr(itq, "plan_tables", lambda n, *rest: plan(5_000_000, *rest))
+    links = np.array([r.n_links for r in itq.near_duplicates(rows).orderBy("vec_id").collect()])
+    true = (v @ v.T >= 0.9).sum(1) - 1
+    assert (links <= true).all() and links.sum() >= 0.9 * true.sum()
+
+
 def test_machine_learns_a_pair_that_no_single_term_shows():
     rng = np.random.default_rng(9)
     a, b = toxicity.terms_of_word(b"insultx")[0], toxicity.terms_of_word(b"groupy")[0]
