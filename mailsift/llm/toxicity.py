@@ -22,6 +22,12 @@ BUCKETS = 1 << 18
 FACTORS = 4
 #: Labelled rows the machine is fitted on at most, those of smallest hash.
 FIT_ROWS = 12_000
+#: Terms of so many fitted rows take part, whether or not they tell by themselves.
+LEAST_DOCS = 5
+#: How much more strongly terms are held back that do not tell by themselves.
+HOLD = 30
+#: Texts scored at once; bounds the arrays of a task.
+_BATCH = 1000
 #: Lengths in bytes of the word beginnings that count as terms.
 STEMS = (4, 5, 6)
 _XX = xxhash.xxh64_intdigest
@@ -77,7 +83,7 @@ def _logits(bias, weight, factor, idx, starts):
 
 def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Terms whose counts in the two classes differ: a likelihood ratio above the
-    Bayesian information criterion. The rest would only add noise to long texts."""
+    Bayesian information criterion."""
     n, n1 = len(rows), float(y.sum())
 
     def counts(keep):
@@ -94,15 +100,22 @@ def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 12, steps: int = 2000, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> Machine:
-    """AdaGrad on logistic loss in seeded mini-batches over the telling terms:
-    ``epochs`` rounds, or as many as make ``steps`` batches."""
+    """AdaGrad on logistic loss in seeded mini-batches: ``epochs`` rounds, or as
+    many as make ``steps`` batches.
+
+    Terms of LEAST_DOCS rows take part besides the telling ones, as a term that
+    is neutral alone may tell in a pair. They decay HOLD times as fast, or they
+    would add noise to long texts.
+    """
     rng, n = np.random.default_rng(seed), len(rows)
-    ok = telling(rows, y) if n else np.zeros(BUCKETS, bool)
+    tells = telling(rows, y) if n else np.zeros(BUCKETS, bool)
+    ok = tells | (np.bincount(np.concatenate(rows), minlength=BUCKETS) >= LEAST_DOCS) if n else tells
+    hold = np.where(tells, decay, HOLD * decay)
     rows = [r[ok[r]] for r in rows]
     share = min(max(float(y.mean()), 0.01), 0.99) if n else 0.5
     bias, w = float(np.log(share / (1 - share))), np.zeros(BUCKETS)
     v = np.where(ok[:, None], rng.normal(0, 0.01, (BUCKETS, factors)), 0.0)
-    gw, gv, gb = np.full(BUCKETS, 1e-6), np.full((BUCKETS, factors), 1e-6), 1e-6
+    gw, gv, gb = np.full(BUCKETS, 1e-4), np.full((BUCKETS, factors), 1e-4), 1e-6
     for _ in range(max(epochs, -(-64 * steps // max(n, 1))) if 0 < y.sum() < n else 0):
         order = rng.permutation(n)
         for k in range(0, n, 64):
@@ -114,9 +127,9 @@ def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs:
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
             e = np.repeat(err, lens)
             use, place = np.unique(idx, return_inverse=True)
-            dw = np.bincount(place, e, len(use)) + decay * w[use]
+            dw = np.bincount(place, e, len(use)) + hold[use] * w[use]
             sv = np.repeat(s, lens, axis=0) - vx
-            dv = np.stack([np.bincount(place, e * sv[:, f], len(use)) for f in range(factors)], axis=1) + decay * v[use]
+            dv = np.stack([np.bincount(place, e * sv[:, f], len(use)) for f in range(factors)], axis=1) + hold[use, None] * v[use]
             gw[use] += dw**2
             gv[use] += dv**2
             w[use] -= rate * dw / np.sqrt(gw[use])
@@ -142,7 +155,7 @@ def fit(
     """A machine learned from labels for which ``fit_on(id column)`` holds.
 
     Terms are hashed in the tasks; what reaches the driver is bounded by
-    ``fit_rows`` and holds a text's telling terms only after counting. A label
+    ``fit_rows``. A label
     other than 0 or 1, or without a document, is not used; of several labels of
     one id the highest counts. Without labels of both classes every text gets
     the same score.
@@ -172,11 +185,14 @@ def scores(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFra
         wanted = np.zeros(BUCKETS, bool)
         wanted[m["use"]] = True
         cache: dict[bytes, tuple[int, ...]] = {}
-        found = [terms(t, cache, wanted) for t in texts]
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
-        idx = np.searchsorted(m["use"], np.concatenate(found)) if starts[-1] else np.zeros(0, np.int64)
-        z = _logits(m["bias"], m["w"], m["v"], idx, starts)[0]
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        place = np.cumsum(wanted) - 1
+        z = [np.zeros(0)]
+        for at in range(0, len(texts), _BATCH):
+            found = [terms(t, cache, wanted) for t in texts[at : at + _BATCH]]
+            starts = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
+            idx = place[np.concatenate(found)] if starts[-1] else np.zeros(0, np.int64)
+            z.append(_logits(m["bias"], m["w"], m["v"], idx, starts)[0])
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(z), -500, 500))))
 
     score = F.pandas_udf(logistic, "double")
     return docs.select(F.struct("*").alias("row"), score(F.col(text_col)).alias("score"))

@@ -229,3 +229,17 @@ def test_machine_learns_a_pair_that_no_single_term_shows():
     alone = m.logits(np.array([a, b, a, b]), starts)
     assert alone[0] < 0 and alone[1] < 0 < alone[2]
     assert np.abs(m.factor[a] @ m.factor[b]) > 0.05
+
+
+def test_machine_learns_a_pair_with_a_term_that_is_neutral_alone():
+    """The group is as frequent in both classes; only insults beside it are toxic."""
+    rng = np.random.default_rng(5)
+    y = (np.arange(6000) % 8 == 0).astype(float)
+    rows = []
+    for t in y:
+        insult = rng.random() < (0.10 if t else 0.01)
+        group = insult if t else not insult and rng.random() < 0.10
+        rows.append(np.unique(np.array([*([1] if insult else []), *([2] if group else []), *rng.integers(10, 3000, 20)])))
+    m = toxicity.learn(rows, y)
+    clean, toxic = m.logits(np.array([1, 1, 2]), np.array([0, 1, 3]))
+    assert clean < 0 < toxic and np.abs(m.factor[2]).max() > 0
