@@ -1,8 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merges are taken from an agenda by score, leftmost first. Each candidate popped
-is skipped if a keyed hash of its place says so; it comes back only as part of a
-new candidate. Without dropout the result is the model's own segmentation.
+is skipped if a hash of seed, document, word place and candidate place says so;
+it comes back only as part of a new candidate. Without dropout the result is the
+model's own segmentation.
+
+What follows from given skips is remembered as a tree for each word: a node holds
+the candidates popped if none of them is skipped, and the ids that result; its
+children are told by the first candidate skipped. The draw is never remembered.
 """
 
 from __future__ import annotations
@@ -20,17 +25,16 @@ from pyspark.sql import functions as F
 from mailsift.llm.common import to_tasks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Keyed streams: each word of a document draws one of them by seed, document
-#: and place, and words of one stream are cut alike. More streams give more
-#: variety and less reuse of work.
-STREAMS = 4
 _MARK = "▁"
 _ONES = (1 << 64) - 1
-_MIX = 0x9E3779B97F4A7C15
+_MIX, _MORE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _NEVER = 1 << 60
 #: Longest word whose agenda is a plain list.
 _SHORT = 48
-_CACHE = 1_200_000
+#: Nodes remembered in a task.
+_CACHE = 1_000_000
+#: Words drawn for at once.
+_DRAWN = 1 << 16
 #: Texts whose results are handed over at once.
 _BATCH = 500
 
@@ -55,29 +59,47 @@ def load(path: str = MODEL) -> dict:
     return {"rank": {names[i]: r for r, i in enumerate(order)}, "id": {names[i]: i for i in order}, "raw": raw, "byte": {raw[i][0]: i for i in range(len(names)) if sp.is_byte(i)}}
 
 
+class _Drawn:
+    """Candidates skipped, told by a function of a candidate."""
+
+    def __init__(self, skips):
+        self.skips = skips
+
+    def __contains__(self, candidate: int) -> bool:
+        return self.skips(candidate)
+
+
 class Encoder:
     """Encodes words for one seed and dropout."""
 
-    def __init__(self, model: dict, dropout: float = 0.1, seed: int = 5, streams: int = STREAMS):
+    def __init__(self, model: dict, dropout: float = 0.1, seed: int = 5):
         self.rank, self.ids, self.raw, self.byte = model["rank"], model["id"], model["raw"], model["byte"]
-        self.limit, self.seed, self.streams = int(dropout * 2**64), seed, streams
-        self.keys = [xxhash.xxh64_intdigest(b"stream %d" % s, seed) for s in range(streams)]
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(streams)]
+        self.limit, self.seed = int(dropout * 2**64), seed
         self.words = re.compile(" +[^ ]*")
+        self._forget()
 
-    def _skips(self, key: int, start: int, stop: int) -> bool:
-        return ((key ^ (start << 32) ^ stop) * _MIX & _ONES) < self.limit
+    def _forget(self):
+        self.roots: dict[str, int] = {}
+        self.kids: dict[int, int] = {}
+        self.found: list[bytes] = []
+        self.origin: list = []
+        self.first, self.size = array("q"), array("q")
+        self.popped = array("Q")
 
-    def _word_key(self, word: str, stream: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode(), self.keys[stream]) if self.limit else 0
+    def _skips(self, key: int, start: int, stop: int) -> bool:
+        z = (key ^ (start << 32) ^ stop) * _MIX & _ONES
+        return ((z ^ (z >> 32)) * _MORE & _ONES) < self.limit
 
-    def pieces(self, word: str, stream: int = 0) -> list[str]:
-        key = self._word_key(word, stream)
+    def pieces(self, word: str, key: int = 0) -> list[str]:
         return self._short(word, key) if len(word) <= _SHORT else self._long(word, key)
 
     def _short(self, word: str, key: int) -> list[str]:
-        """The agenda is the list of the neighbours' ranks."""
-        rank, limit = self.rank.get, self.limit
+        return self._traced(word, _Drawn(lambda c: self._skips(key, c >> 32, c & 0xFFFFFFFF)))[0]
+
+    def _traced(self, word: str, skipped) -> tuple[list[str], list[int]]:
+        """Pieces, and the candidates popped since the last one skipped. The agenda
+        is the list of the neighbours' ranks."""
+        rank, trace = self.rank.get, []
         part, edge = list(word), list(range(len(word) + 1))
         agenda = [rank(a + b, _NEVER) for a, b in zip(part, part[1:], strict=False)]
         while agenda:
@@ -85,17 +107,19 @@ class Encoder:
             if best == _NEVER:
                 break
             i = agenda.index(best)
-            # the same test as _skips, without a call for each candidate
-            if ((key ^ (edge[i] << 32) ^ edge[i + 2]) * _MIX & _ONES) < limit:
+            c = (edge[i] << 32) | edge[i + 2]
+            if c in skipped:
                 agenda[i] = _NEVER
+                trace.clear()
                 continue
+            trace.append(c)
             now = part[i] = part[i] + part.pop(i + 1)
             del edge[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = rank(part[i - 1] + now, _NEVER)
             if i < len(agenda):
                 agenda[i] = rank(now + part[i + 1], _NEVER)
-        return part
+        return part, trace
 
     def _long(self, word: str, key: int) -> list[str]:
         """The agenda is a heap; what a merge has made stale is passed over."""
@@ -120,19 +144,63 @@ class Encoder:
                     heappush(agenda, (rank[piece], a, stop[b]))
         return [word[i : stop[i]] for i in range(n) if live[i]]
 
-    def _word(self, word: str, stream: int) -> bytes:
-        """Ids of a word as packed 32-bit numbers; short words are remembered."""
-        part = self.pieces(word, stream)
+    def _packed(self, part: list[str]) -> bytes:
+        """Ids of pieces as packed 32-bit numbers."""
         out = list(map(self.ids.get, part))
         if None in out:
             out = [i for p, k in zip(part, out, strict=True) for i in ([k] if k is not None else [self.byte[c] for c in p.encode()])]
-        found = array("i", out).tobytes()
-        if len(word) <= _SHORT:
-            cache = self.cache[stream]
-            if len(cache) * self.streams > _CACHE:
-                cache.clear()
-            cache[word] = found
-        return found
+        return array("i", out).tobytes()
+
+    def _node(self, word: str, skipped, origin) -> int:
+        part, trace = self._traced(word, skipped)
+        self.found.append(self._packed(part))
+        self.origin.append(origin)
+        self.first.append(len(self.popped))
+        self.size.append(len(trace))
+        self.popped.extend(trace)
+        return len(self.found) - 1
+
+    def _root(self, word: str) -> int:
+        node = self.roots[word] = self._node(word, (), word)
+        return node
+
+    def _child(self, node: int, place: int) -> int:
+        """The node after the first skip at this place of the node's candidates."""
+        skipped, at, where = [], node, place
+        while True:
+            skipped.append(self.popped[self.first[at] + where])
+            if isinstance(self.origin[at], str):
+                break
+            at, where = self.origin[at]
+        child = self.kids[node << 6 | place] = self._node(self.origin[at], skipped, (node, place))
+        return child
+
+    def _drawn(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Packed ids of the words, each with the skips of its own key."""
+        if len(self.found) > _CACHE:
+            self._forget()
+        roots, found = self.roots, self.found
+        node = np.array([-1 if len(w) > _SHORT else n if (n := roots.get(w)) is not None else self._root(w) for w in words], np.int64)
+        active = np.flatnonzero(node >= 0) if self.limit else ()
+        while len(active):
+            # read anew each time: these arrays grow, and cannot while they are viewed
+            first, size, popped = (np.array(a) if len(a) < 1 << 12 else np.frombuffer(a, a.typecode) for a in (self.first, self.size, self.popped))
+            at = node[active]
+            n, begin = size[at], first[at]
+            ends = np.cumsum(n)
+            owner = np.repeat(np.arange(len(at)), n)
+            place = np.arange(len(owner)) - np.repeat(ends - n, n)
+            z = (keys[active][owner] ^ popped[begin[owner] + place]) * np.uint64(_MIX)
+            hit = np.flatnonzero((z ^ (z >> np.uint64(32))) * np.uint64(_MORE) < np.uint64(min(self.limit, _ONES)))
+            del first, size, popped
+            owner, place = owner[hit], place[hit]
+            lead = np.flatnonzero(np.diff(owner, prepend=-1))
+            owner, place = owner[lead], place[lead].tolist()
+            below = (at[owner] << 6).tolist()
+            kids = self.kids.get
+            active = active[owner]
+            node[active] = [k if (k := kids(b | p)) is not None else self._child(b >> 6, p) for b, p in zip(below, place, strict=True)]
+        return [found[k] if k >= 0 else self._packed(self._long(w, key)) for k, w, key in zip(node.tolist(), words, keys.tolist(), strict=True)]
 
     def encode(self, text: str, key: str) -> np.ndarray:
         """Ids of a text; ``key`` names the document. An empty text has none.
@@ -141,7 +209,6 @@ class Encoder:
         """
         parts: list[bytes] = []
         spelled = np.array([self.byte[c] for c in _MARK.encode()], dtype=np.int32).tobytes()
-        caches = self.cache
         for k, plain in enumerate(text.split(_MARK) if text else ()):
             if k:
                 parts.append(spelled)
@@ -152,10 +219,11 @@ class Encoder:
             if not words:
                 continue
             base = np.uint64(xxhash.xxh64_intdigest(f"{key} {k}".encode(), self.seed))
-            z = (np.arange(len(words), dtype=np.uint64) + base) * np.uint64(0x9E3779B97F4A7C15)
-            z ^= z >> np.uint64(32)
-            pick = ((z * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(self.streams)
-            parts += [caches[s].get(w) or self._word(w, s) for w, s in zip(words, pick.tolist(), strict=True)]
+            for at in range(0, len(words), _DRAWN):
+                some = words[at : at + _DRAWN]
+                z = (np.arange(at, at + len(some), dtype=np.uint64) + base) * np.uint64(_MIX)
+                z = (z ^ (z >> np.uint64(32))) * np.uint64(_MORE)
+                parts += self._drawn(some, z ^ (z >> np.uint64(29)))
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def _rest(self, plain: str) -> list[str]:
@@ -172,7 +240,7 @@ def decode(raw: list[bytes], ids) -> str:
     return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, dropout: float = 0.1, seed: int = 5, streams: int = STREAMS, model_path: str = MODEL) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, dropout: float = 0.1, seed: int = 5, model_path: str = MODEL) -> DataFrame:
     """``row`` (the kept columns, all by default), ids, n_ids and lossless.
 
     The same id, text and seed give the same ids; other seeds give other
@@ -183,7 +251,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     shared = to_tasks(docs.sparkSession, load(model_path))
 
     def work(parts):
-        enc = Encoder(shared.value, dropout, seed, streams)
+        enc = Encoder(shared.value, dropout, seed)
         for all_keys, all_texts in parts:
             for at in range(0, len(all_keys), _BATCH):
                 keys, texts = all_keys[at : at + _BATCH], all_texts[at : at + _BATCH]

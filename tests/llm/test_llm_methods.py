@@ -155,6 +155,21 @@ def test_dropout_varies_and_decodes():
         assert a._short(w, 9) == a._long(w, 9)
 
 
+def test_dropout_is_drawn_for_each_occurrence():
+    enc = dropout_bpe.Encoder(dropout_bpe.load(), 0.1, 3)
+    plain = dropout_bpe.Encoder(dropout_bpe.load(), 0.0)
+    for word in ("the", "internationalization", "things"):
+        rng = random.Random(word)
+        drawn = ["|".join(plain._traced(" " + word, dropout_bpe._Drawn(lambda c: rng.random() < 0.1))[0]) for _ in range(20_000)]
+        whole = "|".join(plain.pieces(" " + word))
+        keys = np.random.default_rng(2).integers(0, 2**64, 20_000, dtype=np.uint64)
+        got = enc._drawn([" " + word] * len(keys), keys)
+        assert got[:300] == [enc._packed(enc.pieces(" " + word, k)) for k in keys[:300].tolist()]
+        assert abs(got.count(plain._packed(plain.pieces(" " + word))) - drawn.count(whole)) < 600
+    texts = [tuple(enc.encode("internationalization", str(k))) for k in range(200)]
+    assert len(set(texts)) > 20
+
+
 def test_budgets_are_met_exactly_where_sizes_allow():
     rng = np.random.default_rng(5)
     for _ in range(60):
