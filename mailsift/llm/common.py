@@ -36,6 +36,12 @@ def id_remainder(c: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def in_array(c: str) -> Column:
+    """The id in an array of its own, empty for null: pandas would make all the
+    integers of a batch floats if one of them is null."""
+    return F.array_compact(F.array(c))
+
+
 def crc_remainder(value, modulus: int) -> int:
     return zlib.crc32(b"" if value is None or value != value else str(value).encode()) % modulus
 

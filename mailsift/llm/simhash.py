@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import frames, lower_words_of, popcount, stored
+from mailsift.llm.common import frames, in_array, lower_words_of, popcount, stored
 from mailsift.llm.graph import connected_components
 from mailsift.llm.runs import BLOCK, Forest, cut_large, in_runs, meetings
 
@@ -64,8 +64,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             f = np.array([fingerprint(t) for t in b["t"]], dtype=np.uint64)
             yield pd.DataFrame({"k": b["k"], "fp": f.view(np.int64), "h": b["h"]})
 
-    text = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    return text.mapInPandas(work, f"k {kind}, fp bigint, h bigint").select(F.col("k").alias(id_col), "fp", "h")
+    text = docs.select(in_array(id_col).alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    return text.mapInPandas(work, f"k array<{kind}>, fp bigint, h bigint").select(F.get("k", F.lit(0)).alias(id_col), "fp", "h")
 
 
 @dataclass(frozen=True)

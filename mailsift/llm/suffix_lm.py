@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import crc_remainder, frames, lower_words_of, stored, to_tasks
+from mailsift.llm.common import crc_remainder, frames, id_remainder, in_array, lower_words_of, stored, to_tasks
 
 #: Tokens of a block: a task keeps one block's words in memory.
 BLOCK_TOKENS = 1 << 21
@@ -42,10 +42,12 @@ _SHORT = 4
 def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per block of documents of one task: ids and training marks of the
     documents, their lengths, the block's words, each word's number per token
-    and its count in training texts."""
+    and its count in training texts. ``train`` is a condition on the columns of
+    ``docs``, or a function of an id."""
     from pyspark import TaskContext
 
     kind = docs.schema[id_col].dataType.simpleString()
+    marked, chosen = (train, None) if isinstance(train, Column) else (F.lit(False), train)
 
     def work(batches):
         number, made = TaskContext.get().partitionId() << 32, 0
@@ -59,14 +61,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int
             return pd.DataFrame({"block": [number + made], "keys": [keys], "train": [marks], "lens": [lens], "ids": [zlib.compress(tokens.tobytes(), 1)], "words": [words], "n": [n]})
 
         for b in frames(batches):
-            for k, t in zip(b["k"], b["t"], strict=True):
+            for own, t, mark in zip(b["k"], b["t"], b["m"], strict=True):
                 words = lower_words_of(t)
                 for at in range(0, len(words), 1 << 16):
                     part = words[at : at + (1 << 16)]
                     ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in part), np.int32, len(part)))
-                k = None if k is None or k != k else k
+                k = own[0] if len(own) and own[0] == own[0] else None
                 keys.append(k)
-                marks.append(bool(train(k)))
+                marks.append(bool(chosen(k) if chosen else mark))
                 lens.append(len(words))
                 size += len(words) + 1
                 if size >= block_tokens:
@@ -77,7 +79,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int
             yield row()
 
     schema = f"block bigint, keys array<{kind}>, train array<boolean>, lens array<int>, ids binary, words string, n array<bigint>"
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(work, schema)
+    rows = docs.select(in_array(id_col).alias("k"), F.col(text_col).alias("t"), marked.alias("m"))
+    return rows.mapInPandas(work, schema)
 
 
 def _unpacked(ids: bytes) -> np.ndarray:
@@ -343,6 +346,11 @@ def walk(stream: np.ndarray, a: dict, lane: int = 1024) -> np.ndarray:
 # ---------------------------------------------------------------- scoring
 
 
+def train_rows(id_col: str, modulus: int = 7, held_out: int = 2) -> Column:
+    """The same documents as ``train_mark``, as a condition."""
+    return id_remainder(F.col(id_col), modulus) != held_out
+
+
 def train_mark(modulus: int = 7, held_out: int = 2):
     """Training documents: crc32 of the id as text leaves another remainder."""
     return lambda k: crc_remainder(k, modulus) != held_out
@@ -375,15 +383,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one
     row per row of ``docs``.
 
-    ``train(id)`` marks training documents. base_score sums log10((c + 1) / (N +
+    ``train``, a condition on the columns or a function of an id, marks training
+    documents. base_score sums log10((c + 1) / (N +
     V + 1)) over the words and the end; score is the tree's log10 probability of
     the same sequence. A null or empty text is its end alone; a null id counts as
     the empty text for ``train``. Repeated rows are scored, and counted, each.
     Without training texts the tree predicts every byte alike. An empty table
     gives no rows. Extra columns are not read.
     """
-    train = train or train_mark()
-    kind = docs.schema[id_col].dataType.simpleString()
+    train = train_rows(id_col) if train is None else train
     held = stored(blocks(docs, id_col, text_col, train, block_tokens))
     words, totals, ends, tokens, distinct = word_counts(held)
     tree = learn(held, depth, least_share, divergence)
@@ -404,17 +412,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             out.append(
                 pd.DataFrame(
                     {
-                        "k": list(r.keys), "held_out": ~np.asarray(r.train, dtype=bool), "n_tokens": lens + 1, "n_known": np.diff(known[edges]) + (ends > 0),
+                        "block": r.block, "at": np.arange(len(lens)), "held_out": ~np.asarray(r.train, dtype=bool), "n_tokens": lens + 1, "n_known": np.diff(known[edges]) + (ends > 0),
                         "train_tokens": tokens, "base_score": base, "score": _tree_scores(r, lens, shared.value),
                     }
                 )
             )
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["block", "at", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    schema = f"k {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    body = held.select("block", "keys", "train", "lens", "ids", "words")
+    schema = "block bigint, at int, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    body = held.select("block", "train", "lens", "ids", "words")
     out = body.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(finish, schema)
-    return out.withColumnRenamed("k", id_col)
+    # ids do not pass pandas, which rounds large ones beside a null
+    ids = held.select("block", F.posexplode("keys").alias("at", "k"))
+    return ids.join(out, ["block", "at"]).select(F.col("k").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def _tree_scores(r, lens: np.ndarray, automaton: dict, most: int = 1 << 21) -> np.ndarray:

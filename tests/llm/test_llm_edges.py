@@ -71,6 +71,23 @@ def test_null_and_empty_texts_have_defined_results(spark):
     assert masked[0] is None and masked[7] == LONG and masked[8] == "token = abcdefghijkl9 <email> <ip> <phone>"
 
 
+def test_ids_beside_a_null_one_keep_type_and_value(spark):
+    import brute
+
+    big = 2**53 + 1
+    texts = {k: f"word{k} and some more text" for k in [*range(30), big, big + 2, -big]}
+    rows = [*texts.items(), (None, "a null id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute.unigram([("" if k is None else k, t) for k, t in rows])
+    got = suffix_lm.score(docs).collect()
+    assert {r.doc_id for r in got} == {*texts, None} and len(got) == len(rows)
+    for r in got:
+        held, n, known, total, base = want["" if r.doc_id is None else r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total) and r.base_score == pytest.approx(base)
+    named = simhash.near_duplicates(docs).collect()
+    assert {r.doc_id for r in named} == {*texts, None} and {big, big + 2, -big} <= {r.component_id for r in named}
+
+
 def test_no_labels_or_one_class(spark):
     docs = table(spark)
     for rows in ([], [(1, 0, 1), (3, 1, 1)]):
