@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _mark(e: DataFrame) -> tuple:
-    """Count and order-free checksum of the arcs."""
+    """Count and order-free checksum of the arcs; 24 bits of the hash are summed, so
+    that no number of arcs that can be held passes a long."""
     h = F.xxhash64("u", "v")
-    r = e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 24))).first()
+    r = e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 40))).first()
     return tuple(r)

@@ -19,6 +19,11 @@ def test_components_of_chains_and_hubs(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_mark_of_many_arcs_does_not_overflow(spark):
+    n = 20_000_000
+    assert graph._mark(spark.range(n).selectExpr("id as u", "id + 1 as v"))[0] == n
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_simhash_links_in_dense_groups(spark, block):
     """Small blocks cut the buckets into block pairs; no link may get lost."""
