@@ -5,15 +5,16 @@ is skipped if a hash of seed, document, word place and candidate place says so;
 it comes back only as part of a new candidate. Without dropout the result is the
 model's own segmentation.
 
-What follows from given skips is remembered as a tree for each word: a node holds
-the candidates popped if none of them is skipped, and the ids that result; its
-children are told by the first candidate skipped. The draw is never remembered.
+Many texts are encoded at once. Words of one length are the columns of an array
+whose rows are their letters. One step takes every word's best candidate, draws
+for it and merges it or strikes it from the agenda; a word of n letters is done
+after fewer than 2 n steps, and a step costs a few passes over the array.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -28,19 +29,20 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK = "▁"
 _ONES = (1 << 64) - 1
 _MIX, _MORE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_NEVER = 1 << 60
-#: Longest word whose agenda is a plain list.
+#: Longest word that is encoded in an array; longer ones take a heap.
 _SHORT = 48
-#: Nodes remembered in a task.
-_CACHE = 1_000_000
-#: Words drawn for at once.
-_DRAWN = 1 << 16
-#: Texts whose results are handed over at once.
-_BATCH = 500
+#: Lengths up to which words of different length share an array.
+_WIDTHS = [*range(2, 13), 16, 24, 32, _SHORT]
+#: Words of an array, letters encoded at once, and bits of the pair table.
+_SLAB, _LETTERS, _BITS = 1 << 14, 1 << 20, 20
+#: An agenda's entry is rank and place; no rank is this.
+_PLACES, _NEVER = 6, 1 << 30
+#: A letter's number takes so many bits; the last number is no letter.
+_LETTER, _PAD = 21, (1 << 21) - 1
 
 
 def load(path: str = MODEL) -> dict:
-    """Pieces of a BPE model with byte fallback, as plain lists for the tasks.
+    """Tables of a BPE model with byte fallback for the tasks, about 20 MB.
 
     The model must keep text as it is: identity normalisation, a blank put in
     front, blanks kept. No piece may hold a blank after anything else.
@@ -52,77 +54,63 @@ def load(path: str = MODEL) -> dict:
     plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(names))]
     if any(p and re.search(f"[^{_MARK}]{_MARK}", n) for n, p in zip(names, plain, strict=True)):
         raise ValueError("words cannot be encoded one by one with this model")
-    # blanks stay blanks here: most words are then one byte a letter in memory
     names = [n.replace(_MARK, " ") if p else n for n, p in zip(names, plain, strict=True)]
     order = sorted((i for i, p in enumerate(plain) if p), key=lambda i: (-sp.get_score(i), i))
     raw = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.encode() if p else b"" for i, (n, p) in enumerate(zip(names, plain, strict=True))]
-    return {"rank": {names[i]: r for r, i in enumerate(order)}, "id": {names[i]: i for i in order}, "raw": raw, "byte": {raw[i][0]: i for i in range(len(names)) if sp.is_byte(i)}}
-
-
-class _Drawn:
-    """Candidates skipped, told by a function of a candidate."""
-
-    def __init__(self, skips):
-        self.skips = skips
-
-    def __contains__(self, candidate: int) -> bool:
-        return self.skips(candidate)
+    rank = {names[i]: r for r, i in enumerate(order)}
+    number = rank | {c: len(rank) + k for k, c in enumerate(sorted({c for n in rank for c in n} - rank.keys()))}
+    letter = len(number) + np.arange(0x110000, dtype=np.int32)
+    for s, k in number.items():
+        if len(s) == 1:
+            letter[ord(s)] = k
+    pair, merged = _pair_table(number, rank)
+    byte = np.zeros(256, np.int32)
+    byte[[raw[i][0] for i in range(len(names)) if sp.is_byte(i)]] = [i for i in range(len(names)) if sp.is_byte(i)]
+    return {"rank": rank, "letter": letter, "known": len(number), "pair": pair, "merged": merged, "id": np.array(order, np.int32), "byte": byte, "raw": raw}
+
+
+def _pair_table(number: dict[str, int], rank: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by pair of piece numbers, in a table with open addressing."""
+    keys = np.full(1 << _BITS, -1, np.int64)
+    ranks = np.full(1 << _BITS, _NEVER, np.int32)
+    for s, r in rank.items():
+        for k in range(1, len(s)):
+            if (a := number.get(s[:k])) is not None and (b := number.get(s[k:])) is not None:
+                key = a << _LETTER | b
+                at = (key * _MIX & _ONES) >> (64 - _BITS)
+                while keys[at] >= 0:
+                    at = at + 1 & (1 << _BITS) - 1
+                keys[at], ranks[at] = key, r
+    return keys, ranks
+
+
+def word_keys(base: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of words from their texts' keys and their places in them."""
+    z = (place.astype(np.uint64) + base) * np.uint64(_MIX)
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(_MORE)
+    return z ^ (z >> np.uint64(29))
 
 
 class Encoder:
-    """Encodes words for one seed and dropout."""
+    """Encodes texts for one seed and dropout."""
 
     def __init__(self, model: dict, dropout: float = 0.1, seed: int = 5):
-        self.rank, self.ids, self.raw, self.byte = model["rank"], model["id"], model["raw"], model["byte"]
+        self.rank, self.letter, self.known, self.ids, self.byte, self.raw = (model[k] for k in ("rank", "letter", "known", "id", "byte", "raw"))
+        self.pair, self.merged = model["pair"], model["merged"]
         self.limit, self.seed = int(dropout * 2**64), seed
-        self.words = re.compile(" +[^ ]*")
-        self._forget()
-
-    def _forget(self):
-        self.roots: dict[str, int] = {}
-        self.kids: dict[int, int] = {}
-        self.found: list[bytes] = []
-        self.origin: list = []
-        self.first, self.size = array("q"), array("q")
-        self.popped = array("Q")
+        #: letters that occur in pieces only, not as a piece
+        self.partial = {int(self.letter[c]): chr(c) for c in np.flatnonzero((self.letter >= len(self.ids)) & (self.letter < self.known)).tolist()}
+        self.size = np.array([len(b) for b in self.raw], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def _skips(self, key: int, start: int, stop: int) -> bool:
         z = (key ^ (start << 32) ^ stop) * _MIX & _ONES
         return ((z ^ (z >> 32)) * _MORE & _ONES) < self.limit
 
     def pieces(self, word: str, key: int = 0) -> list[str]:
-        return self._short(word, key) if len(word) <= _SHORT else self._long(word, key)
-
-    def _short(self, word: str, key: int) -> list[str]:
-        return self._traced(word, _Drawn(lambda c: self._skips(key, c >> 32, c & 0xFFFFFFFF)))[0]
-
-    def _traced(self, word: str, skipped) -> tuple[list[str], list[int]]:
-        """Pieces, and the candidates popped since the last one skipped. The agenda
-        is the list of the neighbours' ranks."""
-        rank, trace = self.rank.get, []
-        part, edge = list(word), list(range(len(word) + 1))
-        agenda = [rank(a + b, _NEVER) for a, b in zip(part, part[1:], strict=False)]
-        while agenda:
-            best = min(agenda)
-            if best == _NEVER:
-                break
-            i = agenda.index(best)
-            c = (edge[i] << 32) | edge[i + 2]
-            if c in skipped:
-                agenda[i] = _NEVER
-                trace.clear()
-                continue
-            trace.append(c)
-            now = part[i] = part[i] + part.pop(i + 1)
-            del edge[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = rank(part[i - 1] + now, _NEVER)
-            if i < len(agenda):
-                agenda[i] = rank(now + part[i + 1], _NEVER)
-        return part, trace
-
-    def _long(self, word: str, key: int) -> list[str]:
-        """The agenda is a heap; what a merge has made stale is passed over."""
+        """One word, candidate by candidate; the agenda is a heap, and what a merge
+        has made stale is passed over."""
         n, rank = len(word), self.rank
         stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
         live = bytearray(b"\x01") * n
@@ -144,95 +132,197 @@ class Encoder:
                     heappush(agenda, (rank[piece], a, stop[b]))
         return [word[i : stop[i]] for i in range(n) if live[i]]
 
-    def _packed(self, part: list[str]) -> bytes:
-        """Ids of pieces as packed 32-bit numbers."""
-        out = list(map(self.ids.get, part))
-        if None in out:
-            out = [i for p, k in zip(part, out, strict=True) for i in ([k] if k is not None else [self.byte[c] for c in p.encode()])]
-        return array("i", out).tobytes()
-
-    def _node(self, word: str, skipped, origin) -> int:
-        part, trace = self._traced(word, skipped)
-        self.found.append(self._packed(part))
-        self.origin.append(origin)
-        self.first.append(len(self.popped))
-        self.size.append(len(trace))
-        self.popped.extend(trace)
-        return len(self.found) - 1
-
-    def _root(self, word: str) -> int:
-        node = self.roots[word] = self._node(word, (), word)
-        return node
-
-    def _child(self, node: int, place: int) -> int:
-        """The node after the first skip at this place of the node's candidates."""
-        skipped, at, where = [], node, place
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << _LETTER | b
+        at = ((key.view(np.uint64) * np.uint64(_MIX)) >> np.uint64(64 - _BITS)).view(np.int64)
+        held = self.pair[at]
+        out = self.merged[at]
+        off = np.flatnonzero(held != key)
+        out[off] = _NEVER
+        off = off[held[off] >= 0]
+        while len(off):
+            at[off] = at[off] + 1 & (1 << _BITS) - 1
+            held = self.pair[at[off]]
+            hit = held == key[off]
+            out[off[hit]] = self.merged[at[off[hit]]]
+            off = off[~hit & (held >= 0)]
+        return out
+
+    def _entry(self, a: np.ndarray, b: np.ndarray, place) -> np.ndarray:
+        r = self._ranks(a, b)
+        return np.where(r < _NEVER, r << _PLACES | place, _NEVER).astype(np.int32)
+
+    def _merge(self, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Merge the words in the columns of ``part``, in place: numbers of pieces
+        at the letter they begin with, -1 at their other letters."""
+        height, n = part.shape
+        place = np.arange(height, dtype=np.int32)[:, None]
+        agenda = np.full((height, n), _NEVER, np.int32)
+        for k in range(height - 1):
+            agenda[k] = self._entry(part[k], part[k + 1], k)
+        after, before = np.repeat(place + 1, n, axis=1), np.repeat(place - 1, n, axis=1)
+        flat, todo, nxt, prv = part.ravel(), agenda.ravel(), after.ravel(), before.ravel()
+        limit = np.uint64(min(self.limit, _ONES))
         while True:
-            skipped.append(self.popped[self.first[at] + where])
-            if isinstance(self.origin[at], str):
+            best = agenda.min(axis=0)
+            word = np.flatnonzero(best < _NEVER)
+            if not len(word):
                 break
-            at, where = self.origin[at]
-        child = self.kids[node << 6 | place] = self._node(self.origin[at], skipped, (node, place))
-        return child
-
-    def _drawn(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """Packed ids of the words, each with the skips of its own key."""
-        if len(self.found) > _CACHE:
-            self._forget()
-        roots, found = self.roots, self.found
-        node = np.array([-1 if len(w) > _SHORT else n if (n := roots.get(w)) is not None else self._root(w) for w in words], np.int64)
-        active = np.flatnonzero(node >= 0) if self.limit else ()
-        while len(active):
-            # read anew each time: these arrays grow, and cannot while they are viewed
-            first, size, popped = (np.array(a) if len(a) < 1 << 12 else np.frombuffer(a, a.typecode) for a in (self.first, self.size, self.popped))
-            at = node[active]
-            n, begin = size[at], first[at]
-            ends = np.cumsum(n)
-            owner = np.repeat(np.arange(len(at)), n)
-            place = np.arange(len(owner)) - np.repeat(ends - n, n)
-            z = (keys[active][owner] ^ popped[begin[owner] + place]) * np.uint64(_MIX)
-            hit = np.flatnonzero((z ^ (z >> np.uint64(32))) * np.uint64(_MORE) < np.uint64(min(self.limit, _ONES)))
-            del first, size, popped
-            owner, place = owner[hit], place[hit]
-            lead = np.flatnonzero(np.diff(owner, prepend=-1))
-            owner, place = owner[lead], place[lead].tolist()
-            below = (at[owner] << 6).tolist()
-            kids = self.kids.get
-            active = active[owner]
-            node[active] = [k if (k := kids(b | p)) is not None else self._child(b >> 6, p) for b, p in zip(below, place, strict=True)]
-        return [found[k] if k >= 0 else self._packed(self._long(w, key)) for k, w, key in zip(node.tolist(), words, keys.tolist(), strict=True)]
+            i = (best[word] & (1 << _PLACES) - 1).astype(np.int64)
+            at = i * n + word
+            j = nxt[at].astype(np.int64) * n + word
+            end = nxt[j].astype(np.int64)
+            if self.limit:
+                z = (keys[word] ^ ((i << 32) ^ end).view(np.uint64)) * np.uint64(_MIX)
+                drop = (z ^ (z >> np.uint64(32))) * np.uint64(_MORE) < limit
+                todo[at[drop]] = _NEVER
+                go = np.flatnonzero(~drop)
+                word, i, at, j, end = word[go], i[go], at[go], j[go], end[go]
+            now = best[word] >> _PLACES
+            flat[at], nxt[at] = now, end
+            flat[j], todo[j] = -1, _NEVER
+            inside = np.flatnonzero(end < height)
+            right = np.full(len(word), _PAD, np.int32)
+            beyond = end[inside] * n + word[inside]
+            right[inside], prv[beyond] = flat[beyond], i[inside]
+            front = prv[at].astype(np.int64)
+            has = np.flatnonzero(front >= 0)
+            front = front[has]
+            left = front * n + word[has]
+            both = self._entry(np.concatenate([now, flat[left]]), np.concatenate([right, now[has]]), np.concatenate([i, front]))
+            todo[at], todo[left] = both[: len(word)], both[len(word) :]
+        return part
+
+    def _words(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where words start: at a text, at a blank after another letter, at and
+        after a literal U+2581, which is spelled in bytes and so not taken for a
+        blank."""
+        blank, mark = codes == 32, codes == ord(_MARK)
+        start = blank.copy()
+        start[1:] &= ~blank[:-1]
+        start |= mark
+        start[1:] |= mark[:-1]
+        start[first] = True
+        return np.flatnonzero(start)
+
+    def _numbers(self, text: str, first: np.ndarray, base: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers by letter, -1 inside pieces, of texts joined in ``text``
+        that begin at ``first``; and how many words each has. ``base`` are the
+        texts' keys, ``done`` the words that came before."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        part = self.letter[codes]
+        start = self._words(codes, first)
+        size = np.diff(start, append=len(codes))
+        mine = np.searchsorted(first, start, "right") - 1
+        lead = np.searchsorted(start, first)
+        keys = word_keys(base[mine], np.arange(len(start)) - lead[mine] + done[mine])
+        by_size = np.argsort(size, kind="stable")
+        size_of = size[by_size]
+        low = int(np.searchsorted(size_of, 2))
+        for width in _WIDTHS:
+            high = int(np.searchsorted(size_of, width, "right"))
+            for a in range(low, high, _SLAB):
+                words = by_size[a : min(a + _SLAB, high)]
+                place = start[words] + np.arange(width)[:, None]
+                inside = np.arange(width)[:, None] < size[words]
+                slab = np.where(inside, part[np.minimum(place, len(part) - 1)], _PAD)
+                part[place[inside]] = self._merge(slab, keys[words])[inside]
+            low = high
+        for w in by_size[low:].tolist():
+            s, at = int(start[w]), int(start[w])
+            part[s : s + int(size[w])] = -1
+            for p in self.pieces(text[s : s + int(size[w])], int(keys[w])):
+                part[at] = self.rank[p] if p in self.rank else self.letter[ord(p)]
+                at += len(p)
+        return part, np.bincount(mine, minlength=len(first))
+
+    def _ids(self, part: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each text has. Letters without a piece are spelled in bytes."""
+        kept = np.flatnonzero(part >= 0)
+        number = part[kept]
+        spelled = np.flatnonzero(number >= len(self.ids))
+        ends = np.searchsorted(kept, np.append(first[1:], len(part)))
+        if not len(spelled):
+            return self.ids[number], np.diff(ends, prepend=0)
+        ids = self.ids[np.minimum(number, len(self.ids) - 1)]
+        numbers, of = np.unique(number[spelled], return_inverse=True)
+        spell = [self.byte[np.frombuffer((self.partial.get(x) or chr(x - self.known)).encode(), np.uint8)] for x in numbers.tolist()]
+        many = np.ones(len(ids), np.int64)
+        many[spelled] = np.array([len(s) for s in spell])[of]
+        total = np.concatenate([[0], np.cumsum(many)])
+        out = np.repeat(ids, many)
+        for k, s in enumerate(spell):
+            at = total[spelled[of == k]]
+            for n, b in enumerate(s):
+                out[at + n] = b
+        return out, np.diff(total[ends], prepend=0)
+
+    def encode_all(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
+        """Ids of each text; ``keys`` name the documents. An empty text has none."""
+        base = np.array([xxhash.xxh64_intdigest(k.encode(), self.seed) for k in keys], np.uint64)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        done = np.zeros(len(texts), np.int64)
+        for some, parts in _runs(texts):
+            sizes = np.array([len(p) for p in parts])
+            first = np.cumsum(sizes) - sizes
+            some = np.array(some)
+            part, words = self._numbers("".join(parts), first, base[some], done[some])
+            ids, n = self._ids(part, first)
+            done[some] += words
+            for k, x in zip(some.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                out[k].append(x)
+        none = np.zeros(0, np.int32)
+        return [none if not x else x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def encode(self, text: str, key: str) -> np.ndarray:
-        """Ids of a text; ``key`` names the document. An empty text has none.
-
-        A literal U+2581 is spelled in bytes, so that it is not taken for a blank.
-        """
-        parts: list[bytes] = []
-        spelled = np.array([self.byte[c] for c in _MARK.encode()], dtype=np.int32).tobytes()
-        for k, plain in enumerate(text.split(_MARK) if text else ()):
-            if k:
-                parts.append(spelled)
-                words = self._rest(plain)
-            else:
-                # only the first part has the blank in front that decoding removes
-                words = self.words.findall(" " + plain)
-            if not words:
-                continue
-            base = np.uint64(xxhash.xxh64_intdigest(f"{key} {k}".encode(), self.seed))
-            for at in range(0, len(words), _DRAWN):
-                some = words[at : at + _DRAWN]
-                z = (np.arange(at, at + len(some), dtype=np.uint64) + base) * np.uint64(_MIX)
-                z = (z ^ (z >> np.uint64(32))) * np.uint64(_MORE)
-                parts += self._drawn(some, z ^ (z >> np.uint64(29)))
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
-
-    def _rest(self, plain: str) -> list[str]:
-        cut = plain.find(" ")
-        head = plain if cut < 0 else plain[:cut]
-        return ([head] if head else []) + (self.words.findall(plain) if cut >= 0 else [])
+        return self.encode_all([text], [key])[0]
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of a sequence of ids, with the blank in front."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        return self.bytes[np.repeat(self.begin[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def decode(self, ids: np.ndarray) -> str:
-        return decode(self.raw, ids.tolist())
+        return self.spelled(np.asarray(ids))[1:].tobytes().decode("utf-8", "replace")
+
+    def lossless(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+        """Whether decoding gives each text back, told by its bytes."""
+        want = [(" " + t).encode() if t else b"" for t in texts]
+        if self.spelled(np.concatenate([np.zeros(0, np.int32), *ids])).tobytes() == b"".join(want) and all(len(w) == self.size[x].sum() for w, x in zip(want, ids, strict=True)):
+            return [True] * len(texts)
+        return [self.spelled(x).tobytes() == w for w, x in zip(want, ids, strict=True)]
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts with the blank in front, as many as hold _LETTERS letters; longer ones
+    come in several parts, cut where a word starts."""
+    some, parts, letters = [], [], 0
+    for k, t in enumerate(texts):
+        t = " " + t if t else ""
+        at = 0
+        while at < len(t):
+            cut = _cut(t, at + _LETTERS)
+            some.append(k)
+            parts.append(t[at:cut])
+            letters += cut - at
+            at = cut
+            if letters >= _LETTERS:
+                yield some, parts
+                some, parts, letters = [], [], 0
+    if some:
+        yield some, parts
+
+
+def _cut(text: str, at: int) -> int:
+    while 0 < at < len(text):
+        at = text.find(" ", at)
+        if at < 0:
+            break
+        if text[at - 1] != " ":
+            return at
+        at += 1
+    return len(text)
 
 
 def decode(raw: list[bytes], ids) -> str:
@@ -240,33 +330,53 @@ def decode(raw: list[bytes], ids) -> str:
     return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, dropout: float = 0.1, seed: int = 5, model_path: str = MODEL) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", keep: list[str] | None = None, dropout: float = 0.1, seed: int = 5, model_path: str = MODEL) -> DataFrame:
     """``row`` (the kept columns, all by default), ids, n_ids and lossless.
 
     The same id, text and seed give the same ids; other seeds give other
-    segmentations. lossless: decoding gives the text back. A null text has null
-    ids, no count and is lossless; a null id is a key of its own. Repeated rows
-    are encoded alike. An empty table gives no rows.
+    segmentations. ``id_col`` may be an expression, such as id and copy number,
+    so that copies vary. lossless: decoding gives the text back. A null text has
+    null ids, no count and is lossless; an empty one has no ids; a null id is a
+    key of its own. Texts of any length are encoded whole, long ones part by
+    part. Candidates of equal score are taken leftmost first. Repeated rows are
+    encoded alike. An empty table gives no rows. Other columns pass through
+    ``row``, whatever their names.
     """
     shared = to_tasks(docs.sparkSession, load(model_path))
 
     def work(parts):
         enc = Encoder(shared.value, dropout, seed)
         for all_keys, all_texts in parts:
-            for at in range(0, len(all_keys), _BATCH):
-                keys, texts = all_keys[at : at + _BATCH], all_texts[at : at + _BATCH]
-                out = [None if t is None else enc.encode(t, str(k)) for k, t in zip(keys, texts, strict=True)]
-                yield pd.DataFrame({"ids": out, "n_ids": [0 if x is None else len(x) for x in out], "lossless": [x is None or enc.decode(x) == t for x, t in zip(out, texts, strict=True)]})
+            for keys, texts in _batches(all_keys, all_texts):
+                given = [k for k, t in enumerate(texts) if t is not None]
+                plain = [texts[k] for k in given]
+                ids = enc.encode_all(plain, [str(keys[k]) for k in given])
+                out, same = [None] * len(texts), [True] * len(texts)
+                for k, x, ok in zip(given, ids, enc.lossless(plain, ids), strict=True):
+                    out[k], same[k] = x, ok
+                yield pd.DataFrame({"ids": out, "n_ids": [0 if x is None else len(x) for x in out], "lossless": same})
 
     udf = F.pandas_udf(_iterated(work), "ids array<int>, n_ids bigint, lossless boolean")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), udf(key, F.col(text_col)).alias("e"))
+    key = F.coalesce((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"), F.lit(""))
+    kept = ["*"] if keep is None else [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(F.struct(*kept).alias("row"), udf(key, F.col(text_col)).alias("e"))
     return rows.select("row", "e.ids", "e.n_ids", "e.lossless")
 
 
-def _iterated(work):
-    from collections.abc import Iterator
+def _batches(keys: pd.Series, texts: pd.Series) -> Iterator[tuple[list, list]]:
+    """Rows whose texts are worth one array; results are handed over as soon."""
+    keys, texts = keys.tolist(), texts.tolist()
+    at = letters = 0
+    for k, t in enumerate(texts, 1):
+        letters += len(t) if t is not None else 0
+        if letters >= _LETTERS:
+            yield keys[at:k], texts[at:k]
+            at, letters = k, 0
+    if at < len(texts):
+        yield keys[at:], texts[at:]
+
 
+def _iterated(work):
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         return work(parts)
 

@@ -116,7 +116,7 @@ class Block:
         found = np.flatnonzero(packed.any(axis=0))
         rows = np.ascontiguousarray(packed[:, found].T)
         masks, group = np.unique(rows.view(np.dtype((np.void, rows.shape[1]))).ravel(), return_inverse=True)
-        bits = np.unpackbits(masks.view(np.uint8).reshape(len(masks), -1), axis=1)[:, : len(item.at)]
+        bits = np.unpackbits(masks.view(np.uint8).reshape(len(masks), rows.shape[1]), axis=1)[:, : len(item.at)]
         return found, group, bits, bits.astype(np.int64) @ (most * item.weight)
 
     def scores(self, item: Item, rows: np.ndarray) -> np.ndarray:

@@ -116,3 +116,19 @@ def targets(sizes):
             out[s] = 2.0 * sizes[s]
             open_.discard(s)
     return out
+
+
+def merged(word, rank, skip):
+    """Best-ranked pair first, leftmost of equals; a skipped pair waits until one
+    of its sides changes."""
+    part, edge, struck = list(word), list(range(len(word) + 1)), set()
+    while True:
+        open_ = [(rank[part[i] + part[i + 1]], i) for i in range(len(part) - 1) if part[i] + part[i + 1] in rank and (edge[i], edge[i + 1], edge[i + 2]) not in struck]
+        if not open_:
+            return part
+        _, i = min(open_)
+        if skip(edge[i], edge[i + 2]):
+            struck.add((edge[i], edge[i + 1], edge[i + 2]))
+            continue
+        part[i : i + 2] = [part[i] + part[i + 1]]
+        del edge[i + 1]

@@ -1,11 +1,17 @@
 """The methods themselves, on inputs made for them."""
 
 import itertools
+import os
 import random
+import re
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from mailsift.llm import dropout_bpe, graph, itq, mixing, pii, quality, secrets, simhash, suffix_lm, toxicity, urls
 
@@ -152,27 +158,65 @@ def test_dropout_free_encoding_is_the_models_own():
 def test_dropout_varies_and_decodes():
     model = dropout_bpe.load()
     a, b, c = (dropout_bpe.Encoder(model, 0.2, s) for s in (1, 1, 2))
-    texts = ["the internationalization of things " * 9, "▁ a▁b ▁", "▁", "x" * 500, "naïve ▁▁ 日本"]
+    texts = ["the internationalization of things " * 9, "▁ a▁b ▁", "▁", "x" * 500, "naïve ▁▁ 日本", "", "\x00 "]
     for t in texts:
         assert a.encode(t, "k").tolist() == b.encode(t, "k").tolist() and a.decode(a.encode(t, "k")) == t == c.decode(c.encode(t, "k"))
     assert len({tuple(e.encode(texts[0], k)) for e, k in ((a, "k"), (c, "k"), (a, "other"))}) == 3
-    for w in (" hello" * 7, " internationalization"):
-        assert a._short(w, 9) == a._long(w, 9)
+    together = a.encode_all(texts, ["k"] * len(texts))
+    assert [x.tolist() for x in together] == [a.encode(t, "k").tolist() for t in texts] and all(a.lossless(texts, together))
+    assert a.lossless(["other", *texts[1:]], together) == [False] + [True] * (len(texts) - 1)
 
 
-def test_dropout_is_drawn_for_each_occurrence():
+def _one_by_one(enc, model, text, key):
+    """Ids of a text without U+2581, word by word by a plain agenda."""
+    import brute
+
+    words = re.findall(" +[^ ]*", " " + text)
+    base = np.array([xxhash.xxh64_intdigest(key.encode(), enc.seed)], np.uint64)
+    out = []
+    for w, k in zip(words, dropout_bpe.word_keys(base, np.arange(len(words))).tolist(), strict=True):
+        part = brute.merged(w, model["rank"], lambda i, j, k=k: enc._skips(k, i, j))
+        assert enc.pieces(w, k) == part
+        out += [x for p in part for x in ([int(model["id"][model["rank"][p]])] if p in model["rank"] else [int(model["byte"][c]) for c in p.encode()])]
+    return out
+
+
+def test_arrays_of_words_equal_the_agenda_word_by_word(spark):
+    model = dropout_bpe.load()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(60).collect()
+    texts = [r.text or "" for r in rows if "▁" not in (r.text or "")] + ["x" * 500 + " " + "ab" * 24 + " " + "é日𝄞" * 15, "  a   b  "]
+    for dropout in (0.1, 0.9):
+        enc = dropout_bpe.Encoder(model, dropout, 3)
+        got = enc.encode_all(texts, [str(k) for k in range(len(texts))])
+        n = 60 if dropout < 0.5 else 5
+        for k in [*range(n), len(texts) - 2, len(texts) - 1]:
+            assert got[k].tolist() == (_one_by_one(enc, model, texts[k], str(k)) if texts[k] else [])
+    assert sum(len(t.split(" ")) for t in texts) > 10_000
+
+
+def test_long_texts_are_encoded_part_by_part(monkeypatch):
     enc = dropout_bpe.Encoder(dropout_bpe.load(), 0.1, 3)
-    plain = dropout_bpe.Encoder(dropout_bpe.load(), 0.0)
+    texts = ["some words  and more of them " * 40, "", "x" * 300 + " y", " " * 200, "a ▁ b" * 30]
+    whole = [x.tolist() for x in enc.encode_all(texts, list("abcde"))]
+    monkeypatch.setattr(dropout_bpe, "_LETTERS", 64)
+    assert [x.tolist() for x in enc.encode_all(texts, list("abcde"))] == whole
+
+
+def test_dropout_is_drawn_for_each_occurrence():
+    import brute
+
+    model = dropout_bpe.load()
+    enc, plain = dropout_bpe.Encoder(model, 0.1, 3), dropout_bpe.Encoder(model, 0.0)
     for word in ("the", "internationalization", "things"):
         rng = random.Random(word)
-        drawn = ["|".join(plain._traced(" " + word, dropout_bpe._Drawn(lambda c: rng.random() < 0.1))[0]) for _ in range(20_000)]
-        whole = "|".join(plain.pieces(" " + word))
-        keys = np.random.default_rng(2).integers(0, 2**64, 20_000, dtype=np.uint64)
-        got = enc._drawn([" " + word] * len(keys), keys)
-        assert got[:300] == [enc._packed(enc.pieces(" " + word, k)) for k in keys[:300].tolist()]
-        assert abs(got.count(plain._packed(plain.pieces(" " + word))) - drawn.count(whole)) < 600
-    texts = [tuple(enc.encode("internationalization", str(k))) for k in range(200)]
-    assert len(set(texts)) > 20
+        whole = plain.pieces(" " + word)
+        drawn = [brute.merged(" " + word, model["rank"], lambda i, j: rng.random() < 0.1) == whole for _ in range(20_000)]
+        one = plain.encode(word, "").tolist()
+        got = [x.tolist() == one for x in enc.encode_all([word] * 20_000, [str(k) for k in range(20_000)])]
+        assert abs(sum(got) - sum(drawn)) < 600
+        many = enc.encode(" ".join(["things"] * 2000), "k")
+        assert not np.array_equal(many, plain.encode(" ".join(["things"] * 2000), "k"))
+    assert len({tuple(enc.encode("internationalization", str(k))) for k in range(200)}) > 20
 
 
 def test_budgets_are_met_exactly_where_sizes_allow():
