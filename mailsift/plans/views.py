@@ -56,6 +56,12 @@ def mail(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def plain_mail(spark: SparkSession, sf: str) -> DataFrame:
+    """mail whose sender columns don't tell the label, so that a classifier has to
+    read the text."""
+    return mail(spark, sf).withColumn("reply_to", F.col("from"))
+
+
 def mail_raw(spark: SparkSession, sf: str) -> DataFrame:
     """mail with raw label spellings and body text spread over alias columns."""
     m = mail(spark, sf)
