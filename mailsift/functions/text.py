@@ -121,29 +121,114 @@ def is_meaningful(c: Column) -> Column:
     return F.transform(F.array(words_of(c)), sound)[0]
 
 
-@lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str]:
-    """Latin letters that decompose into one base letter plus marks.
-
-    Built from the Unicode database: (letters + combining marks, base letters).
-    ``translate`` deletes the source characters that have no counterpart, which
-    is what should happen to stray combining marks.
+# Word tokens in the manner of the Penn Treebank: (pattern, replacement), applied in
+# order; {ws} stands for a white-space character, {set} for all of them, $n for a group. The patterns mean
+# the same to Java and RE2.
+QUOTES = [(r'(^|[{set}(\[{{<])"', "$1 `` "), ('"', " '' ")]
+PUNCTUATION = [
+    (r"(\.{{2,}}|--)", " $1 "),
+    (r"([;@#$%&?!\]\[(){{}}<>])", " $1 "),
+    (r"([,:])([^\p{{Nd}}]|$)", " $1 $2"),
+    # two letters before it: initials and U.S. keep their stop
+    (r"([^.{set}]{{2}})\.({ws}|$)", "$1 .$2"),
+]
+APOSTROPHES = [
+    (r"([^{set}'])('[sSmMdD]|'[lL][lL]|'[rR][eE]|'[vV][eE]|[nN]'[tT])({ws}|$)", "$1 $2$3"),
+    (r"([^{set}'])'({ws}|$)", "$1 '$2"),
+]
+_JOINED = [("[cC][aA][nN]", "[nN][oO][tT]"), ("[gG][iI][mM]", "[mM][eE]"), ("[gG][oO][nN]", "[nN][aA]"), ("[gG][oO][tT]", "[tT][aA]"), ("[lL][eE][mM]", "[mM][eE]"), ("[wW][aA][nN]", "[nN][aA]")]
+JOINED_WORDS = [(f"(^|{{ws}})({a})({b})({{ws}}|$)", "$1$2 $3$4") for a, b in _JOINED]
+
+
+def _replaced(c: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, new in rules:
+        c = F.regexp_replace(c, pattern.format(ws=WS, set=WS_SET), new)
+    return c
+
+
+def treebank_tokens(c: Column) -> Column:
+    """Words and punctuation marks: marks stand alone, contractions are parted
+    (do n't, it 's, can not), a full stop ends a word of two letters or more.
+
+    Only texts with a quote, an apostrophe or a joined word are changed for them.
     """
-    src, dst = [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFKD", chr(code))
-        base = "".join(p for p in parts if not unicodedata.combining(p))
-        if len(base) == 1 and len(parts) > 1:
-            src.append(chr(code))
-            dst.append(base)
-    marks = [chr(code) for code in range(0x0300, 0x0370)]
-    return "".join(src + marks), "".join(dst)
+
+    def within(test, rules):
+        return lambda x: F.when(test(x), _replaced(x, rules)).otherwise(x)
+
+    one = F.array(c)
+    one = F.transform(one, within(lambda x: x.contains('"'), QUOTES))
+    one = F.transform(one, lambda x: _replaced(x, PUNCTUATION))
+    one = F.transform(one, within(lambda x: x.contains("'"), APOSTROPHES))
+    joined = "|".join(a + b for a, b in _JOINED)
+    one = F.transform(one, within(lambda x: x.rlike(joined), JOINED_WORDS))
+    return tokens(F.get(one, F.lit(0)))
+
+
+#: Hangul syllables decompose by arithmetic: first, number of syllables, and the
+#: first leading, vowel and trailing letter with how many there are.
+_HANGUL, _SYLLABLES = 0xAC00, 11172
+_LEADING, _VOWELS, _TRAILING = (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
+@lru_cache(maxsize=1)
+def accent_tables() -> tuple[str, str, str, list[str]]:
+    """Compatibility decomposition without combining marks, from the Unicode
+    database: characters that become one (with marks, which become none, at the
+    end), what they become; characters that become several, what they become."""
+    one, to_one, many, to_many, none = [], [], [], [], []
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or _HANGUL <= code < _HANGUL + _SYLLABLES:
+            continue
+        c = chr(code)
+        base = "".join(p for p in unicodedata.normalize("NFKD", c) if not unicodedata.combining(p))
+        if base == c:
+            continue
+        if not base:
+            none.append(c)
+        elif len(base) == 1:
+            one.append(c)
+            to_one.append(base)
+        else:
+            many.append(c)
+            to_many.append(base)
+    return "".join(one + none), "".join(to_one), "".join(many), to_many
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of the codes, for Java; ASCII is told apart first."""
+    out, start = [], None
+    for a, b in zip(codes, [*codes[1:], None]):
+        start = a if start is None else start
+        if b != a + 1:
+            out.append(rf"\x{{{start:X}}}-\x{{{a:X}}}")
+            start = None
+    return rf"[\x{{80}}-\x{{10FFFF}}&&[{''.join(out)}]]"
 
 
 def analyzed(c: Column) -> Column:
-    """Lower-cased text without accents."""
-    src, dst = accent_table()
-    return F.translate(F.lower(c), src, dst)
+    """Lower-cased text without accents: decomposed, combining marks dropped.
+
+    Texts of ASCII pass as they are, others are translated; only texts with a
+    ligature, a Hangul syllable or another character that becomes several are
+    taken apart by character.
+    """
+    src, dst, many, to_many = accent_tables()
+    several = _ranges(sorted({*map(ord, many), *range(_HANGUL, _HANGUL + _SYLLABLES)}))
+    parts = F.split(F.lit("\n".join(to_many)), "\n")
+
+    def letters(x):
+        n = F.ascii(x) - _HANGUL
+        lead, vowel, trail = (F.split(F.lit(",".join(chr(k + i) if k + i != _TRAILING[0] else "" for i in range(size))), ",") for k, size in (_LEADING, _VOWELS, _TRAILING))
+        per = _VOWELS[1] * _TRAILING[1]
+        jamo = F.concat(F.get(lead, (n / per).cast("int")), F.get(vowel, (n % per / _TRAILING[1]).cast("int")), F.get(trail, (n % _TRAILING[1]).cast("int")))
+        known = F.get(parts, F.instr(F.lit(many), x) - 1)
+        return F.when(n.between(0, _SYLLABLES - 1), jamo).when(x.rlike(several), known).otherwise(x)
+
+    low = F.transform(F.array(c), F.lower)
+    low = F.transform(low, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(x, src, dst)).otherwise(x))
+    low = F.transform(low, lambda x: F.when(x.rlike(several), F.array_join(F.transform(F.split(x, ""), letters), "")).otherwise(x))
+    return F.get(low, F.lit(0))
 
 
 def terms(c: Column) -> Column:

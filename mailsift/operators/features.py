@@ -43,13 +43,13 @@ def url_features(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _with_parts(df: DataFrame, column: str) -> DataFrame:
-    """Lower-case text, white-space tokens and lower-case words, made once."""
-    df = df.withColumns({"_low": F.lower(column), "_tokens": text.tokens(F.col(column))})
+    """Lower-case text, white-space tokens, word tokens and lower-case words, made once."""
+    df = df.withColumns({"_low": F.lower(column), "_tokens": text.tokens(F.col(column)), "_treebank": text.treebank_tokens(F.col(column))})
     return df.withColumn("_words", text.words_of(F.col("_low")))
 
 
-def _complexity(column: str) -> dict[str, Column]:
-    tokens = F.col("_tokens")
+def _complexity(column: str, words: str = "_treebank") -> dict[str, Column]:
+    tokens = F.col(words)
     return {
         "avg_word_length": text.alpha_word_length(tokens),
         "unique_words_ratio": text.unique_ratio(tokens),
@@ -75,8 +75,11 @@ def _named(parts: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in parts.items()]
 
 
-def text_complexity(df: DataFrame, column: str = "text") -> DataFrame:
-    return _with_parts(df, column).select(*df.columns, *_named(_complexity(column)))
+def text_complexity(df: DataFrame, column: str = "text", tokenizer: str = "treebank") -> DataFrame:
+    """Word length, word variety and capitals. Words are Treebank tokens, or with
+    ``tokenizer="space"`` what stands between white space."""
+    words = {"treebank": "_treebank", "space": "_tokens"}[tokenizer]
+    return _with_parts(df, column).select(*df.columns, *_named(_complexity(column, words)))
 
 
 def keyword_features(

@@ -1,8 +1,10 @@
 """Assembling mail records from the lines of a dump.
 
-A dump may be one file of any size, so line order is counted in two levels:
-per block of lines, then over the block totals of a file. No task sees a whole
-file unless a single record spans it.
+A dump may be one file of any size, so everything that depends on line order is
+found in two levels: per block of lines, then over the blocks of a file. Headers
+and the beginning and end of a body are partial maxima of line positions; lines
+are joined to a body block by block, and a record's blocks last. So a record, or a
+dump without any boundary, is never one task's rows.
 """
 
 from __future__ import annotations
@@ -34,16 +36,23 @@ def _kind(line: Column, headers: dict[str, str]) -> Column:
     return kind.otherwise("body")
 
 
-def _last(lines: Column, kind: str, prefix: str) -> Column:
-    hits = F.filter(lines, lambda x: x["kind"] == kind)
-    last = F.get(hits, F.size(hits) - 1)["line"]
-    return strip_ws(F.substring(last, len(prefix) + 1, F.length(last)))
+def _position() -> Column:
+    return F.struct("block", "line_no")
 
 
-def _has_content(lines: Column) -> Column:
-    """A record counts once it has a subject or a body."""
-    subject = F.coalesce(_last(lines, "subject", HEADERS["subject"]), F.lit(""))
-    return (subject != "") | F.exists(lines, lambda x: x["kind"] == "body")
+def _after_header(rows: DataFrame) -> DataFrame:
+    """Add ``opens``: a body line whose line before, blanks aside, is a header."""
+    body = F.col("kind") == "body"
+    ends = rows.groupBy("file", "block").agg(F.max_by(body, "line_no").alias("_ends"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "block", F.last("_ends", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("file", "block").orderBy("line_no")
+    before = F.coalesce(F.lag(body).over(inside), F.col("_before"))
+    return rows.join(ends, ["file", "block"]).withColumn("opens", body & ~F.coalesce(before, F.lit(False))).drop("_before")
+
+
+def _in_order(by: str) -> Column:
+    return F.expr(f"listagg(part, ' ') WITHIN GROUP (ORDER BY {by})").alias("part")
 
 
 def assemble(
@@ -61,38 +70,34 @@ def assemble(
     rows = lines.select("file", "block", "line_no", line.alias("line"))
     rows = rows.withColumn("kind", _kind(F.col("line"), headers))
     rows = running_count(rows, F.col("kind") == boundary, "line_no", "seg").where(F.col("kind") != "blank")
+    rows = _after_header(rows)
+
+    def field(name: str, prefix: str) -> Column:
+        value = strip_ws(F.substring("line", len(prefix) + 1, F.length("line")))
+        return F.max(F.when(F.col("kind") == name, F.struct(_position().alias("at"), value.alias("value")))).alias(name)
+
+    # a part between boundaries counts once it has a subject or a body
+    body = F.col("kind") == "body"
     segs = rows.groupBy("file", "seg").agg(
-        F.min("block").alias("block"),
-        F.array_sort(F.collect_list(F.struct("block", "line_no", "kind", "line"))).alias("lines"),
+        F.min("block").alias("block"), *[field(n, p) for n, p in headers.items()],
+        F.max(body).alias("has_body"), F.max(F.when(F.col("opens"), _position())).alias("opened"),
     )
-    segs = segs.withColumn("full", _has_content(F.col("lines")))
-    segs = running_count(segs, F.col("full"), "seg", "done")
+    full = (F.coalesce(F.col("subject.value"), F.lit("")) != "") | F.col("has_body")
+    segs = running_count(segs.withColumn("full", full), F.col("full"), "seg", "done")
     segs = segs.withColumn("rec", F.col("done") - F.col("full").cast("bigint"))
     recs = segs.groupBy("file", "rec").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seg", "lines"))), lambda s: s["lines"])).alias("lines")
-    )
-    recs = recs.where(_has_content(F.col("lines")))
+        *[F.max(n).alias(n) for n in headers], F.max("has_body").alias("has_body"), F.max("opened").alias("opened")
+    ).where(full)
 
     # The body is the run of body lines after the last header before its end.
-    x = F.col("lines")
-    ends = recs.withColumn(
-        "_end", F.array_max(F.transform(x, lambda e, i: F.when(e["kind"] == "body", i)))
-    )
-    ends = ends.withColumn(
-        "_head",
-        F.coalesce(
-            F.array_max(F.transform(x, lambda e, i: F.when((e["kind"] != "body") & (i < F.col("_end")), i))), F.lit(-1)
-        ),
-    )
+    of = segs.select("file", "seg", "rec").join(recs.select("file", "rec", "opened"), ["file", "rec"])
+    kept = rows.where(body).select("file", "seg", "block", "line_no", F.col("line").alias("part")).join(of, ["file", "seg"])
     if late_header == "reset":
-        run = F.slice(x, F.col("_head") + 2, F.col("_end") - F.col("_head"))
-        body_lines = F.when(F.col("_end").isNotNull(), run)
-    else:
-        body_lines = F.filter(x, lambda e: e["kind"] == "body")
-    body = F.coalesce(F.array_join(F.transform(body_lines, lambda e: e["line"]), " "), F.lit(""))
-    if late_header == "append":
-        body = F.when(F.size(body_lines) > 0, F.concat(F.lit(" "), body)).otherwise("")
-    fields = {n: _last(x, n, p) for n, p in headers.items()}
+        kept = kept.where(F.col("opened").isNull() | (_position() >= F.col("opened")))
+    texts = kept.groupBy("file", "rec", "block").agg(_in_order("line_no")).groupBy("file", "rec").agg(_in_order("block"))
+    text = F.concat(F.lit(" "), F.col("part")) if late_header == "append" else F.col("part")
+    fields = {n: F.col(f"{n}.value") for n in headers}
     fields["subject"] = F.coalesce(fields["subject"], F.lit(""))
     label = from_dump_name(F.col("file")).alias("label")
-    return ends.select("file", "rec", *[c.alias(n) for n, c in fields.items()], body.alias("body"), label)
+    done = recs.join(texts, ["file", "rec"], "left")
+    return done.select("file", "rec", *[c.alias(n) for n, c in fields.items()], F.coalesce(text, F.lit("")).alias("body"), label)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import address, lexicons, text, urls
 from mailsift.functions.sentiment import (
-    AFTER_BUT, ALPHA, BEFORE_BUT, BOOST, BOOSTERS_DOWN, BOOSTERS_UP, CAPS, DAMP,
-    EXCLAMATION, MANY_QUESTIONS, NEGATE, NEGATIONS, QUESTION, VALENCE, with_sentiment,
+    AFTER_BUT, ALPHA, BEFORE_BUT, BOOST, BOOSTERS_DOWN, BOOSTERS_UP, CAPS, DAMP, DAMPERS,
+    EXCLAMATION, IDIOMS, MANY_QUESTIONS, NEGATE, NEGATIONS, NEVER_SO, QUESTION, VALENCE, emoticons_of, with_sentiment,
 )
 from mailsift.operators import features
 from mailsift.plans import views
@@ -30,6 +30,8 @@ SEEN_LEXICON = {
 SEEN_RULES = {
     "boosters_up": ["and", "et"], "boosters_down": ["of", "ou"],
     "negations": ["in", "on", "pas", "ich"], "pivot": "that",
+    "idioms": {"of the": 2.5, "the and": -1.0, "de la que": 1.7, "que de": -2.0, "the of in": 0.5},
+    "dampers": ["la de", "in the", "the in"], "never": ("to", ("the", "la", "de")), "least": ("la", ("de", "and")),
 }
 
 
@@ -179,16 +181,43 @@ def lexicon_counts_words(spark, sf):
     return f.select("msg_id", "urgency_count", "financial_count", "personal_info_count", "whole_words")
 
 
-ALPHA_SQL = f"list_filter({tokens_sql('t')}, lambda x: regexp_matches(x, '^\\p{{L}}+$'))"
-COMPLEX_SQL = f"""coalesce(round(list_avg(list_transform({ALPHA_SQL}, lambda x: length(x))), 6), 0)::double AS avg_word_length,
-  coalesce(round(len(list_distinct({tokens_sql('t')})) / nullif(len({tokens_sql('t')}), 0)::double, 6), 0)::double AS unique_words_ratio,
+def _rules_sql(c: str) -> str:
+    for pattern, new in [*text.QUOTES, *text.PUNCTUATION, *text.APOSTROPHES, *text.JOINED_WORDS]:
+        pattern, new = (x.replace("'", "''") for x in (pattern.format(ws=WS, set=WS_SET), new.replace("$", "\\")))
+        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
+    return c
+
+
+def complex_sql(words: str) -> str:
+    alpha = f"list_filter({words}, lambda x: regexp_matches(x, '^\\p{{L}}+$'))"
+    return f"""coalesce(round(list_avg(list_transform({alpha}, lambda x: length(x))), 6), 0)::double AS avg_word_length,
+  coalesce(round(len(list_distinct({words})) / nullif(len({words}), 0)::double, 6), 0)::double AS unique_words_ratio,
   coalesce(round(length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(t), 0)::double, 6), 0)::double AS capital_letters_ratio"""
 
 
-@query("text_complexity", oracle(f"SELECT msg_id, {COMPLEX_SQL} FROM t", "corpus", extra=[TEXT_CTE]))
+#: Treebank tokens of each text, beside the text.
+TREEBANK = ("tb", f"SELECT msg_id, {tokens_sql(_rules_sql('t'))} AS tb FROM t")
+COMPLEX_SQL = complex_sql("tb")
+COMPLEXITY = ["avg_word_length", "unique_words_ratio", "capital_letters_ratio"]
+
+
+@query("text_complexity", oracle(f"SELECT msg_id, {COMPLEX_SQL} FROM t JOIN tb USING (msg_id)", "corpus", extra=[TEXT_CTE, TREEBANK]))
 def text_complexity(spark, sf):
     f = features.text_complexity(features.with_text(views.corpus(spark, sf)))
-    return rounded(f.select("msg_id", "avg_word_length", "unique_words_ratio", "capital_letters_ratio"))
+    return rounded(f.select("msg_id", *COMPLEXITY))
+
+
+@query("text_complexity_space", oracle(f"SELECT msg_id, {complex_sql(tokens_sql('t'))} FROM t", "corpus", extra=[TEXT_CTE]))
+def text_complexity_space(spark, sf):
+    f = features.text_complexity(features.with_text(views.corpus(spark, sf)), tokenizer="space")
+    return rounded(f.select("msg_id", *COMPLEXITY))
+
+
+@query("treebank_tokens", oracle("SELECT msg_id, array_to_string(tb, ' ') AS tokens FROM tb", "corpus", extra=[TEXT_CTE, TREEBANK]))
+def treebank_tokens(spark, sf):
+    """All tokens of mail and pages; markup is rich in quotes and brackets."""
+    f = features.with_text(views.corpus(spark, sf))
+    return f.select("msg_id", F.array_join(text.treebank_tokens(F.col("text")), " ").alias("tokens"))
 
 
 def domain_sql(c):
@@ -256,8 +285,8 @@ def text_lengths(spark, sf):
 _P = "[.!?,;:''\"-]"
 
 
-def sentiment_ctes(lexicon, up=BOOSTERS_UP, down=BOOSTERS_DOWN, neg=NEGATIONS, pivot="but"):
-    lex = ", ".join(f"('{w}', {v}::double)" for w, v in lexicon.items())
+def sentiment_ctes(lexicon, up=BOOSTERS_UP, down=BOOSTERS_DOWN, neg=NEGATIONS, pivot="but", idioms=IDIOMS, dampers=DAMPERS, never=("never", ("so", "this")), least=("least", ("at", "very"))):
+    lex = ", ".join(f"{_in([w])[:-1]}, {v}::double)" for w, v in lexicon.items())
     scored = [w for w in lexicon if w not in up + down]
 
     def emph(v, w):
@@ -266,23 +295,33 @@ def sentiment_ctes(lexicon, up=BOOSTERS_UP, down=BOOSTERS_DOWN, neg=NEGATIONS, p
     def step(i, prev):
         scale = f"CASE WHEN l{i} IN {_in(up)} THEN {BOOST} WHEN l{i} IN {_in(down)} THEN -{BOOST} END"
         boost = f"coalesce(({scale} * CASE WHEN v < 0 THEN -1 ELSE 1 END + {emph('v', f'w{i}')})::double * {DAMP[i - 1]}, 0)"
-        turned = f"CASE WHEN l{i} IN {_in(neg)} OR contains(l{i}, 'n''t') THEN {NEGATE} ELSE 1 END"
+        strong = ["", f"WHEN l2 = '{never[0]}' AND l1 IN {_in(never[1])} THEN {NEVER_SO[0]}", f"WHEN (l3 = '{never[0]}' AND l2 IN {_in(never[1])}) OR l1 IN {_in(never[1])} THEN {NEVER_SO[1]}"][i - 1]
+        turned = f"CASE {strong} WHEN l{i} IN {_in(neg)} OR contains(l{i}, 'n''t') THEN {NEGATE} ELSE 1 END"
         return (
             f"v{i}",
             f"SELECT * EXCLUDE (v), CASE WHEN l{i} IS NULL OR l{i} IN {_in(lexicon)} THEN v ELSE (v + {boost}) * ({turned})::double END AS v FROM {prev}",
         )
 
-    lags = ", ".join(f"lag(l, {i}) OVER o AS l{i}, lag(w, {i}) OVER o AS w{i}" for i in (1, 2, 3))
+    lags = ", ".join(f"lag(l, {i}) OVER o AS l{i}, lag(w, {i}) OVER o AS w{i}" for i in (1, 2, 3)) + ", lead(l, 1) OVER o AS f1, lead(l, 2) OVER o AS f2"
+    table = ", ".join(f"('{k}', {v}::double)" for k, v in idioms.items())
+    runs = ["l || ' ' || f1 || ' ' || f2", "l || ' ' || f1", "l1 || ' ' || l", "l2 || ' ' || l1 || ' ' || l", "l2 || ' ' || l1", "l3 || ' ' || l2 || ' ' || l1", "l3 || ' ' || l2"]
+    idiom = "coalesce(" + ", ".join(f"(SELECT max(x) FROM (VALUES {table}) z(k, x) WHERE k = {r})" for r in runs) + ", v)"
+    weak = f"CASE WHEN coalesce(l3 || ' ' || l2 IN {_in(dampers)}, false) OR coalesce(l2 || ' ' || l1 IN {_in(dampers)}, false) THEN {BOOST} ELSE 0 END"
+    opens = " OR ".join(f"(l = '{p.split()[0]}' AND coalesce(f1 = '{p.split()[1]}', false))" for p in dampers)
+    faces = _in(emoticons_of(lexicon)) if emoticons_of(lexicon) else "('')"
+    edge = "'" + ".!?,;:''\"-" + "'"
     return [
         ("lex", f"SELECT * FROM (VALUES {lex}) x(word, base) WHERE word IN {_in(scored)}"),
-        ("words", f"""SELECT msg_id, list_filter(regexp_split_to_array(regexp_replace(t, '^{_P}+|{_P}*{WS}+{_P}*|{_P}+$', ' ', 'g'), ' +'), lambda x: length(x) > 1) AS a FROM t"""),
+        ("words", f"""SELECT msg_id, list_filter(list_transform(regexp_split_to_array(t, '{WS}+'), lambda x: CASE WHEN lower(x) IN {faces} THEN x ELSE trim(x, {edge}) END), lambda x: length(x) > 1) AS a FROM t"""),
         ("tok", "SELECT msg_id, unnest(a) AS w, unnest(range(1, len(a) + 1)) AS pos, len(a) AS n FROM words"),
         ("ctx", f"""SELECT *, ups > 0 AND ups < n AS caps FROM (SELECT *, {lags}, min(CASE WHEN l = '{pivot}' THEN pos END) OVER (PARTITION BY msg_id) AS but,
             sum((regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '\\p{{Ll}}'))::int) OVER (PARTITION BY msg_id) AS ups
           FROM (SELECT *, lower(w) AS l FROM tok) WINDOW o AS (PARTITION BY msg_id ORDER BY pos))"""),
-        ("v0", f"SELECT ctx.*, base + ({emph('base', 'w')})::double AS v FROM ctx JOIN lex ON l = word"),
+        ("v0", f"SELECT ctx.*, base + ({emph('base', 'w')})::double AS v FROM ctx JOIN lex ON l = word WHERE NOT ({opens})"),
         step(1, "v0"), step(2, "v1"), step(3, "v2"),
-        ("vals", f"SELECT msg_id, v * CASE WHEN but IS NULL OR pos = but THEN 1 WHEN pos < but THEN {BEFORE_BUT} ELSE {AFTER_BUT} END::double AS v FROM v3"),
+        ("v4", f"SELECT * EXCLUDE (v), CASE WHEN l3 IS NOT NULL AND l3 NOT IN {_in(lexicon)} THEN {idiom} - ({weak})::double ELSE v END AS v FROM v3"),
+        ("v5", f"SELECT * EXCLUDE (v), v * CASE WHEN coalesce(l1 = '{least[0]}' AND l1 NOT IN {_in(lexicon)}, false) AND NOT coalesce(l2 IN {_in(least[1])}, false) THEN {NEGATE} ELSE 1 END::double AS v FROM v4"),
+        ("vals", f"SELECT msg_id, v * CASE WHEN but IS NULL OR pos = but THEN 1 WHEN pos < but THEN {BEFORE_BUT} ELSE {AFTER_BUT} END::double AS v FROM v5"),
         ("sums", """SELECT msg_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END)::double AS p, sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END)::double AS q,
             count(*) FILTER (v <> 0) AS k FROM vals GROUP BY msg_id"""),
         ("emphasis", f"""SELECT msg_id, least(length(t) - length(replace(t, '!', '')), 4) * {EXCLAMATION}::double
@@ -309,7 +348,7 @@ def lexicon_sentiment(spark, sf):
     oracle(
         "SELECT msg_id, sentiment_compound, sentiment_neg, sentiment_neu, sentiment_pos FROM sentiment",
         "mail",
-        extra=[MAIL_TEXT, *sentiment_ctes(SEEN_LEXICON, SEEN_RULES["boosters_up"], SEEN_RULES["boosters_down"], SEEN_RULES["negations"], SEEN_RULES["pivot"])],
+        extra=[MAIL_TEXT, *sentiment_ctes(SEEN_LEXICON, *SEEN_RULES.values())],
     ),
 )
 def lexicon_sentiment_words(spark, sf):
@@ -351,10 +390,10 @@ CORPUS_URLS = [
     HOST_ROWS,
     ("agg", URL_AGG_SQL),
 ]
-NUMERIC_CTES = [TEXT_CTE, *sentiment_ctes(VALENCE), *CORPUS_URLS]
+NUMERIC_CTES = [TEXT_CTE, TREEBANK, *sentiment_ctes(VALENCE), *CORPUS_URLS]
 NUMERIC_SQL = f"""SELECT t.msg_id, len({tokens_sql('t')})::int AS word_count, {URL_FILLED}, sentiment_compound, sentiment_neg, sentiment_neu, sentiment_pos,
   {KW_SQL}, {COMPLEX_SQL}, {FLAGS_SQL}, {kw_sql(lexicons.BUSINESS)} AS business_term_count, {word_sum(lexicons.PERSONAL_TERMS)} AS personal_term_count, {SPOOF_SQL} AS spoofing
-  FROM t JOIN sentiment USING (msg_id) LEFT JOIN agg USING (msg_id)"""
+  FROM t JOIN sentiment USING (msg_id) JOIN tb USING (msg_id) LEFT JOIN agg USING (msg_id)"""
 
 
 @query("numeric_features", oracle(NUMERIC_SQL, "corpus", extra=NUMERIC_CTES))

@@ -52,6 +52,29 @@ def analyzer(spark, sf):
     return a.select("msg_id", "analyzed", F.array_join(text.terms(F.col("analyzed")), " ").alias("tokens"))
 
 
+#: Letters of other scripts, with accents or joined, for letters of the texts; and
+#: what they are without.
+OTHERS = ("aeioubdgk", "άέήίόйёїў")
+PLAIN = "αεηιοиеіу"
+JOINED_LETTERS = [("st", "ﬆ", "st"), ("ff", "ﬀ", "ff"), ("w", "한", "ᄒ" + "ᅡ" + "ᆫ"), ("x", "½", "1⁄2")]
+
+
+def _other_scripts_sql() -> str:
+    c = f"strip_accents(translate(lower(t), '{OTHERS[0]}', '{PLAIN}'))"
+    for old, _, new in JOINED_LETTERS:
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+@query("analyzer_scripts", oracle(f"SELECT msg_id, {_other_scripts_sql()} AS analyzed FROM t", "mail", extra=[MAIL_TEXT]))
+def analyzer_scripts(spark, sf):
+    """Accents of Greek and Cyrillic, ligatures, fractions and Hangul syllables."""
+    c = F.translate(F.lower("text"), *OTHERS)
+    for old, new, _ in JOINED_LETTERS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return mail_text(spark, sf).select("msg_id", text.analyzed(c).alias("analyzed"))
+
+
 @query("stopwords", oracle("SELECT msg_id, len(w)::int AS n_words, array_to_string(w, ' ') AS tokens FROM w", "mail", extra=VOCAB[:2]))
 def stopwords(spark, sf):
     w = tfidf.with_words(mail_text(spark, sf), "text", tfidf.STOP_WORDS)
