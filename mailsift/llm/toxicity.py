@@ -81,16 +81,20 @@ def _logits(bias, weight, factor, idx, starts):
     return bias + _sums(weight[idx], starts) + 0.5 * ((s**2).sum(1) - _sums((v**2).sum(1), starts)), s, v
 
 
+def _rows_with(rows: list[np.ndarray], step: int = 500) -> np.ndarray:
+    """How many rows hold each term; some rows at a time, as the driver is small."""
+    n = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(rows), step):
+        n += np.bincount(np.concatenate(rows[at : at + step]), minlength=BUCKETS)
+    return n
+
+
 def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Terms whose counts in the two classes differ: a likelihood ratio above the
     Bayesian information criterion."""
     n, n1 = len(rows), float(y.sum())
 
-    def counts(keep):
-        picked = [r for r, k in zip(rows, keep, strict=True) if k and len(r)]
-        return np.bincount(np.concatenate(picked), minlength=BUCKETS) if picked else np.zeros(BUCKETS, int)
-
-    a, b = counts(y == 1), counts(y == 0)
+    a, b = (_rows_with([r for r, k in zip(rows, y == c, strict=True) if k]) for c in (1, 0))
     g = np.zeros(BUCKETS)
     for seen, size in ((a, n1), (b, n - n1)):
         for hit, rate in ((seen, (a + b) / max(n, 1)), (size - seen, 1 - (a + b) / max(n, 1))):
@@ -109,7 +113,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs:
     """
     rng, n = np.random.default_rng(seed), len(rows)
     tells = telling(rows, y) if n else np.zeros(BUCKETS, bool)
-    ok = tells | (np.bincount(np.concatenate(rows), minlength=BUCKETS) >= LEAST_DOCS) if n else tells
+    ok = tells | (_rows_with(rows) >= LEAST_DOCS)
     hold = np.where(tells, decay, HOLD * decay)
     rows = [r[ok[r]] for r in rows]
     share = min(max(float(y.mean()), 0.01), 0.99) if n else 0.5
@@ -141,12 +145,14 @@ def learn(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int, fit_on) -> DataFrame:
-    """(t, y): at most ``fit_rows`` labelled rows, those of smallest hash."""
+    """(k, t, y): at most ``fit_rows`` labelled ids, those of smallest hash, one
+    row each; of several texts of one id the one of smallest hash counts."""
     known = labels.where(F.col(label_col).isin(0, 1) & fit_on(id_col)).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("k").agg(F.max("y").alias("y"))
     picked = known.orderBy(F.xxhash64("k"), "k").limit(fit_rows)
     text = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return text.join(F.broadcast(picked), "k").select("k", "t", "y")
+    one = text.join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    return one.select("k", "t", "y")
 
 
 def fit(
@@ -155,21 +161,26 @@ def fit(
     """A machine learned from labels for which ``fit_on(id column)`` holds.
 
     Terms are hashed in the tasks; what reaches the driver is bounded by
-    ``fit_rows``. A label
-    other than 0 or 1, or without a document, is not used; of several labels of
-    one id the highest counts. Without labels of both classes every text gets
-    the same score.
+    ``fit_rows``, however often ids repeat. A label other than 0 or 1, or without a
+    document, is not used; of several labels of one id the highest counts, of
+    several texts one. Without labels of both classes every text gets the same
+    score.
     """
     sample = sample_of(docs, labels, id_col, text_col, label_col, fit_rows, fit_on)
 
     def hashed(batches):
         cache: dict[bytes, tuple[int, ...]] = {}
         for b in frames(batches):
-            yield pd.DataFrame({"h": [int(_XX(str(k), 9) >> 1) for k in b["k"]], "y": b["y"], "t": [terms(t, cache).astype(np.int32).tobytes() for t in b["t"]]})
+            yield pd.DataFrame({"h": [int(_XX(str(k), 9) >> 1) for k in b["k"]], "y": b["y"], "t": [terms(t, cache).astype(np.int32) for t in b["t"]]})
 
-    got = sample.mapInPandas(hashed, "h bigint, y int, t binary").collect()
-    got.sort(key=lambda r: (r.h, r.y, bytes(r.t)))
-    return learn([np.frombuffer(r.t, np.int32) for r in got], np.array([r.y for r in got], float))
+    # one flat array of terms, and views of it as rows
+    got = sample.mapInPandas(hashed, "h bigint, y int, t array<int>").toArrow().combine_chunks()
+    if not len(got):
+        return learn([], np.zeros(0))
+    lists = got["t"].chunk(0)
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.argsort(got["h"].to_numpy(), kind="stable")
+    return learn([flat[at[k] : at[k + 1]] for k in order], got["y"].to_numpy()[order].astype(float))
 
 
 def scores(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
@@ -202,8 +213,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id_col, held_out, score, predicted), one row per row of ``docs``.
 
     Labels of ids whose crc32 as text is a multiple of 5 are held out. Null ids
-    count as the empty text there. An empty table gives no rows; rows that
-    repeat stay repeated. Other columns are not read.
+    count as the empty text there. Null and empty texts score by the bias alone;
+    texts of any length are read whole, as the set of their terms; a score of 0.5
+    predicts 1. An empty table gives no rows; rows that repeat stay repeated.
+    Other columns are not read.
     """
     rest = lambda c: id_remainder(c, 5) != 0
     machine = fit(docs, labels, id_col, text_col, label_col, fit_rows, rest)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Parts of the key space that are swept apart, each cut at a rule's key.
 SWEEPS = 64
-#: Tasks a sweep's URLs are spread over; the sweep's few rules go to each.
-SALTS = 16
+#: URLs of a task; a sweep with more is spread over several, its rules go to each.
+TASK_URLS = 100_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -55,7 +55,7 @@ def compiled(rules: DataFrame) -> DataFrame:
     return around.join(held.select(F.col("key").alias("start"), "own"), "start").groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("stack"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow", salts: int = SALTS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow", task_urls: int = TASK_URLS) -> DataFrame:
     """(id_col, host, path, rule, verdict) for every row of ``pages``.
 
     ``rules`` has host, path and verdict; a rule with a null or an empty host is ignored. A rule
@@ -64,7 +64,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     then path, then verdict. A null URL or one without ``://`` has an empty host
     and path and gets ``otherwise``, as do URLs without a rule. Repeated rows and
     null ids are kept. Empty rules or pages are allowed. The stack of rules around
-    a host is bounded by its labels and the rules of one host.
+    a host is bounded by its labels and the rules of one host. URLs are counted by
+    sweep first, so the number of tasks grows with them and a crowded sweep gets
+    more.
     """
     urls = pages.select(F.col(id_col).alias("k"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("key", turned(F.col("host")))
     begun = compiled(rules)
@@ -72,9 +74,12 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     picked = [x.key for x in begun.select("key").orderBy(F.xxhash64("key")).limit(SWEEPS).collect()]
     cuts = F.array(*[F.lit(k) for k in picked]).cast("array<string>")
     sweep = F.size(F.filter(cuts, lambda c: c <= F.col("key")))
-    salt = F.pmod(F.xxhash64("k", "path"), F.lit(salts)).cast("int")
+    # one number for each of at most SWEEPS + 1 sweeps
+    held = {r["sweep"]: r["count"] for r in urls.groupBy(sweep.alias("sweep")).count().collect()}
+    tasks = F.array(*[F.lit(max(1, -(-held.get(s, 0) // task_urls))) for s in range(len(picked) + 1)])
+    salt = F.pmod(F.xxhash64("k", "path"), F.get(tasks, sweep)).cast("int")
     u = urls.select("k", "host", "path", "key", sweep.alias("sweep"), salt.alias("salt"), F.lit(1).alias("kind"))
-    r = begun.select("key", sweep.alias("sweep"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "stack")
+    r = begun.select("key", sweep.alias("sweep"), F.explode(F.sequence(F.lit(0), F.get(tasks, sweep) - 1)).alias("salt"), F.lit(0).alias("kind"), "stack")
     both = u.unionByName(r, allowMissingColumns=True)
     swept = both.withColumn("active", F.last("stack", True).over(Window.partitionBy("sweep", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)))
     fits = F.filter("active", lambda s: F.startswith(F.col("key"), s["at"]) & F.startswith(F.col("path"), s["path"]))

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -238,8 +239,10 @@ def test_nested_rules_and_many_sweeps(spark):
     rules = {(".".join(rng.choices(labels[:5], k=rng.randint(1, 3))), rng.choice(paths[:5]), "") for _ in range(60)}
     rules = [(h, p, rng.choice(["allow", "block"])) for h, p, _ in sorted(rules)]
     pages = [(k, "HTTPS://" + ".".join(rng.choices(labels, k=rng.randint(1, 4))).upper() + rng.choice(paths)) for k in range(400)] + [(None, None), (1, "no scheme"), (2, "://"), (2, "x://y" * 3)]
-    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), otherwise="none").collect()
-    assert len(got) == len(pages)
+    tables = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    spread = urls.judge(*tables, otherwise="none", task_urls=2)
+    got = urls.judge(*tables, otherwise="none").collect()
+    assert len(got) == len(pages) and sorted(map(str, spread.collect())) == sorted(map(str, got))
     for r in got:
         fits = [(h, p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
         best = max((len(h) + len(p) for h, p, _ in fits), default=None)
@@ -307,3 +310,28 @@ def test_machine_learns_a_pair_with_a_term_that_is_neutral_alone():
     m = toxicity.learn(rows, y)
     clean, toxic = m.logits(np.array([1, 1, 2]), np.array([0, 1, 3]))
     assert clean < 0 < toxic and np.abs(m.factor[2]).max() > 0
+
+
+def test_a_crowded_sweep_is_spread_over_many_tasks(spark):
+    """One host holds all pages; its rules reach every task."""
+    n = 1000
+    pages = spark.range(n).selectExpr("id as page_id", "concat('http://hot.example.net/p', id % 10) as url")
+    rules = spark.createDataFrame([("net", "/", "block"), ("hot.example.net", "/p3", "allow")], "host string, path string, verdict string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        out = urls.judge(pages, rules, task_urls=5).withColumn("task", F.spark_partition_id())
+        assert len({r.task for r in out.select("task", "rule").distinct().collect()}) > 80
+        assert {(r.rule, r.verdict, r["count"]) for r in out.groupBy("rule", "verdict").count().collect()} == {("net/", "block", n * 9 // 10), ("hot.example.net/p3", "allow", n // 10)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.range(5000).selectExpr("id % 60 * (id % 2) as doc_id", "concat('text ', id) as text")
+    labels = spark.range(300).selectExpr("id % 60 as doc_id", "cast(id % 2 as int) as toxic")
+    got = toxicity.sample_of(docs, labels, "doc_id", "text", "toxic", 40, lambda c: F.lit(True)).collect()
+    assert len(got) == len({r.k for r in got}) <= 40
+    assert sorted(map(str, got)) == sorted(map(str, toxicity.sample_of(docs.repartition(7), labels, "doc_id", "text", "toxic", 40, lambda c: F.lit(True)).collect()))
