@@ -94,16 +94,15 @@ def content_digest(columns: list[str]) -> Column:
 def dedup(df: DataFrame, columns: list[str], order: str = "msg_id") -> DataFrame:
     """Keep the row with the smallest ``order`` among equal ``columns``.
 
-    Each map task keeps one row per digest before the shuffle, so a text that
-    fills a third of the table does not pile up in one reducer. The kept rows
-    move whole, once; ``order`` need not be stable over runs.
+    What is grouped are digests and ``order``, which each map task reduces first,
+    so a text that fills a third of the table does not pile up in one reducer; rows
+    whose ``order`` was kept are picked by a hash join afterwards. Texts are neither
+    sorted nor aggregated. ``order`` names a row: it must be unique and the same
+    whenever ``df`` is evaluated.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return (
-        df.groupBy(content_digest(columns).alias("_digest"))
-        .agg(F.min_by(row, order).alias("_row"))
-        .select("_row.*")
-    )
+    kept = df.select(content_digest(columns).alias("_digest"), F.col(order).alias("_o"))
+    kept = kept.groupBy("_digest").agg(F.min("_o").alias("_o")).select("_o")
+    return df.join(kept.hint("shuffle_hash"), F.col(order).eqNullSafe(F.col("_o")), "left_semi")
 
 
 def dedup_stats(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,11 +15,12 @@ def counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
 def distribution(df: DataFrame, column: str, missing: str | None = None) -> DataFrame:
     """Rows per value with the share of the total in percent, one decimal.
 
-    The window runs over the aggregated values (classes or sources), not rows.
+    The total is an aggregate of the counts, so however many values there are,
+    none meets all others in one task.
     """
     value = F.col(column) if missing is None else F.coalesce(F.col(column), F.lit(missing))
     n = counts(df.select(value.alias(column)), column)
-    total = F.sum("n").over(Window.partitionBy())
+    total = n.agg(F.sum("n")).scalar()
     return n.select(column, "n", F.round(F.col("n") * 100.0 / total, 1).alias("percent"))
 
 

@@ -191,13 +191,9 @@ def transform(df: DataFrame, model: TfidfModel, text: str = "text") -> DataFrame
         F.zip_with("_index", "_tf", lambda i, tf: (1 + F.ln(tf)) * F.get(idf, i)).alias("_w"),
     )
     norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x * x))
-    normed = weighted.withColumn("_norm", norm)
-    return normed.select(
-        *keep,
-        F.col("_index").alias("tfidf_index"),
-        # two uses of _norm keep the optimizer from moving its sum into the lambda
-        F.transform("_w", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0)).alias("tfidf_weight"),
-    )
+    # bound to a lambda variable, the norm is computed once for all weights
+    normed = F.transform(F.array(norm), lambda n: F.transform("_w", lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return weighted.select(*keep, F.col("_index").alias("tfidf_index"), F.get(normed, F.lit(0)).alias("tfidf_weight"))
 
 
 def _known_grams(model: TfidfModel) -> Column:

@@ -113,9 +113,9 @@ def vocab(spark, sf):
 
 @query("tfidf", oracle("SELECT msg_id, term, round(weight, 6) AS weight FROM weights", "mail", extra=VOCAB))
 def tfidf_weights(spark, sf):
-    model = fitted(spark, sf)
-    rows = tfidf.transform(mail_text(spark, sf).select("msg_id", "text"), model)
-    return rounded(tfidf.long_form(rows, model))
+    words = cut_lineage(tfidf.with_words(mail_text(spark, sf).select("msg_id", "text"), "text", tfidf.STOP_WORDS).drop("text"))
+    model = tfidf.fit(words, "text", TERMS)
+    return rounded(tfidf.long_form(tfidf.transform(words, model), model))
 
 
 CONV_VOCAB = [

@@ -50,9 +50,9 @@ def csv_positional(spark, sf):
     body = F.translate(F.regexp_replace("html", r"[\n\r]", " "), ",", ";")
     line = F.concat_ws(",", F.concat(F.lit("bot@"), "page_id"), F.lit("me"), F.lit("2024"), "url", body, F.lit("u"), (F.col("page_id") % 3).cast("string"))
     rows = csv.parse_lenient(views.pages(spark, sf).select("page_id", line.alias("line")), "line", csv.SEVEN, ["page_id"])
-    both = csv.positional(rows)
-    one = csv.positional(rows, only_phishing=True).select("page_id", F.col("label").alias("only_phishing"))
-    return both.join(one, "page_id").select("page_id", F.col("from").alias("sender"), "subject", "body", "only_phishing", "label")
+    one = csv.positional(rows.withColumn("digit", F.col("label")), only_phishing=True).withColumnRenamed("label", "only_phishing")
+    both = csv.positional(one.withColumnRenamed("digit", "label"))
+    return both.select("page_id", F.col("from").alias("sender"), "subject", "body", "only_phishing", "label")
 
 
 @query(
@@ -274,6 +274,28 @@ def role_infer(spark, sf):
     return csv.with_roles(p)
 
 
-@query("preview", "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5")
+#: Documents as small files: their separator and header mode go by id.
+_SEP = "CASE doc_id % 5 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) WHEN 3 THEN '|' ELSE '~' END"
+_FILES = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'id' || {_SEP} || 'lang' || {_SEP} || 'source' || chr(10) ELSE '' END
+  || doc_id || {_SEP} || lang || {_SEP} || source || chr(10) || n_chars || {_SEP} || lang || {_SEP} || 'a b' || chr(10) || chr(10) || source || {_SEP} || lang AS txt FROM documents"""
+_ROWS_SQL = """WITH files AS (%s),
+  rows AS (SELECT doc_id, list_filter(string_split(txt, chr(10)), lambda x: trim(x) <> '') AS w FROM files),
+  seps AS (SELECT doc_id, w, coalesce(list_filter([',', ';', chr(9), '|'], lambda s: len(string_split(w[1], s)) > 1)[1], '') AS sep FROM rows),
+  cells AS (SELECT doc_id, w, sep, CASE WHEN sep = '' THEN [w[1]] ELSE string_split(w[1], sep) END AS c FROM seps),
+  heads AS (SELECT *, len(list_filter(c, lambda x: trim(x) = '' OR regexp_full_match(trim(x), '[0-9.]+'))) = 0 AND len(list_distinct(c)) = len(c) AS header FROM cells),
+  each AS (SELECT *, unnest(range(1, least(len(w) - header::int, 2) + 1))::int AS row_no FROM heads)
+SELECT doc_id, nullif(sep, '') AS sep, header, len(c)::int AS n_columns,
+  CASE WHEN header THEN array_to_string(c, '/') ELSE array_to_string(list_transform(range(len(c)), lambda i: 'column_' || i), '/') END AS names, row_no,
+  array_to_string(CASE WHEN sep = '' THEN [w[row_no + header::int]] ELSE string_split(w[row_no + header::int], sep) END, '/') AS cells FROM each""" % _FILES
+
+
+@query("preview", _ROWS_SQL)
 def preview(spark, sf):
-    return csv.preview(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    """First rows of small files in the dialect found for each of them."""
+    sep = F.expr(_SEP.replace("chr(9)", "'\\t'"))
+    cells = lambda *c: F.concat_ws("~~", *c)
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit("id~~lang~~source\n")).otherwise(F.lit(""))
+    body = F.concat(cells("doc_id", "lang", "source"), F.lit("\n"), cells("n_chars", "lang", F.lit("a b")), F.lit("\n\n"), cells("source", "lang"))
+    files = views.documents(spark, sf).select("doc_id", F.replace(F.concat(head, body), F.lit("~~"), sep).alias("txt"))
+    p = csv.preview_files(files, "txt", ["doc_id"], rows=2)
+    return p.select("doc_id", "sep", "header", F.size("names").alias("n_columns"), F.array_join("names", "/").alias("names"), "row_no", F.array_join("cells", "/").alias("cells"))

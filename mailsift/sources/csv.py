@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,8 +148,51 @@ def split_two(df: DataFrame, text: str, keep: list[str], file: str | None = None
     )
 
 
-def preview(df: DataFrame, order: str, rows: int = 5) -> DataFrame:
-    return df.orderBy(order).limit(rows)
+def _has_cells(sep: str, n: Column):
+    return lambda line: F.size(F.split(line, f"[{sep}]", -1)) == n
+
+
+def dialect(first: Column, lines: Column) -> Column:
+    """The dialect of a file from its first line and its first lines: sep, header,
+    columns and even, the share of lines with as many columns.
+
+    All separators are scored with and without header. The earliest separator that
+    parts the first line wins; the line is a header if its cells are distinct and
+    none is empty or a number. If no separator parts it, ``sep`` is null.
+    """
+    scored = []
+    for order, d in enumerate(DELIMITERS):
+        cells = F.split(first, f"[{d}]", -1)
+        n = F.size(cells)
+        even = F.size(F.filter(lines, _has_cells(d, n))) / F.size(lines)
+        named = ~F.exists(cells, lambda c: (strip_ws(c) == "") | strip_ws(c).rlike("^[0-9.]+$")) & (F.size(F.array_distinct(cells)) == n)
+        for header in (True, False):
+            scored.append(F.struct(
+                (n <= 1).alias("whole"), F.lit(order).alias("order"), (named != F.lit(header)).alias("odd"),
+                F.when(n > 1, F.lit(d)).alias("sep"), F.lit(header).alias("header"), n.alias("columns"), even.alias("even"),
+            ))
+    return F.array_min(F.array(*scored))
+
+
+def preview_files(files: DataFrame, text: str, keep: list[str], rows: int = 5) -> DataFrame:
+    """The first ``rows`` rows of each file in its own dialect: ``keep``, sep,
+    header, names, row_no from 1 and cells. Blank lines are left out, files
+    without any other line have no rows."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: strip_ws(x) != "")
+    f = files.select(*keep, F.slice(lines, 1, rows + 1).alias("_lines")).where(F.size("_lines") > 0)
+    f = f.withColumn("_d", dialect(F.get("_lines", F.lit(0)), F.col("_lines"))).select("*", "_d.sep", "_d.header")
+
+    def cells(line: Column) -> Column:
+        parted = F.array(line)
+        for d in DELIMITERS:
+            parted = F.when(F.col("sep") == d, F.split(line, f"[{d}]", -1)).otherwise(parted)
+        return parted
+
+    first = cells(F.get("_lines", F.lit(0)))
+    names = F.when(F.col("header"), first).otherwise(F.transform(first, lambda c, i: F.concat(F.lit("column_"), i)))
+    shown = F.slice("_lines", F.when(F.col("header"), 2).otherwise(1), rows)
+    f = f.select(*keep, "sep", "header", names.alias("names"), F.posexplode(shown).alias("_n", "_line"))
+    return f.select(*keep, "sep", "header", "names", (F.col("_n") + 1).alias("row_no"), cells(F.col("_line")).alias("cells"))
 
 
 def pick_row(df: DataFrame, order: str, index: int = 0) -> DataFrame:
@@ -159,7 +200,3 @@ def pick_row(df: DataFrame, order: str, index: int = 0) -> DataFrame:
     if index and df.count() <= index:
         index = 0
     return df.orderBy(order).offset(index).limit(1)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

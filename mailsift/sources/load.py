@@ -1,4 +1,9 @@
-"""Loading mixed folders of mail into one cleaned table."""
+"""Loading mixed folders of mail into one cleaned table.
+
+Files are data here: a manifest has a row for each file with its layout and state,
+and the lines of all files meet it by path, so any number of files and layouts is
+one plan, and no list of paths comes to the driver.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.operators import clean
+from mailsift.functions import labels
+from mailsift.functions.text import constant_strings
+from mailsift.operators import clean, lines, setops
 from mailsift.sources import csv, eml, textmail
 
 log = logging.getLogger(__name__)
@@ -69,23 +76,131 @@ def read_csv_files(spark: SparkSession, files: list[str], quoting: bool = False)
     return frames
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that exist; missing ones warn."""
+    found = []
+    for path in paths:
+        try:
+            spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+            found.append(path)
+        except AnalysisException:
+            log.warning("skipping missing path %s", path)
+    return found
+
+
+def csv_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, file, block, n, value): lines of all CSV files below the paths, with
+    their place. Files that cannot be read give no lines."""
+    reader = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    m = F.col("_metadata")
+    # the text reader hands over bytes as they are
+    value = F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value")
+    return reader.option("pathGlobFilter", "*.csv").text(paths).select(
+        m["file_path"].alias("path"), m["file_name"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"), value
+    )
+
+
+def _column_names(header: F.Column) -> F.Column:
+    """Names of a header line as ``header_names`` and ``normalize_headers`` give
+    them; a name that repeats gets its position added."""
+    cells = F.transform(F.split(header, ","), lambda c, i: F.when(F.trim(c).rlike(r"^\d*$"), F.concat(F.lit("column_"), i)).otherwise(clean.snake_case_values(F.trim(c))))
+    return F.transform(cells, lambda c, i: F.when(F.array_position(cells, c) != i + 1, F.concat(c, F.lit("_"), i)).otherwise(c))
+
+
+def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row for each CSV file below the paths: path, file, length, first (place of
+    its first line), names of its columns, layout and state.
+
+    Layouts: positional (known by file name), wide, csv (a header with a mail
+    column), dump (no such header, but lines that look like mail headers) and
+    unknown. States: ok, and damaged for a file with NUL characters or one that has
+    bytes but gives no lines. Only files that are ok are loaded. Files of no bytes
+    have no row, as Spark's readers skip them.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(paths)
+    listed = listed.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("length"))
+    start = csv_lines(spark, paths).where("block = 0")
+    heads = F.col("value").rlike("^(Subject|From|To|Date):")
+    facts = start.groupBy("path").agg(F.min("n").alias("first"), F.max(F.col("value").contains("\x00")).alias("nul"), F.max(heads).alias("heads"))
+    header = start.join(facts, (start["path"] == facts["path"]) & (start["n"] == facts["first"]), "left_semi").select(F.col("path").alias("_p"), F.col("value").alias("header"))
+    m = listed.join(facts, "path", "left").join(header, F.col("path") == F.col("_p"), "left").drop("_p")
+    fixed = F.lit(None).cast("array<string>")
+    for name, columns in csv.POSITIONAL.items():
+        fixed = F.when(F.col("file") == name, constant_strings(columns)).otherwise(fixed)
+    names = F.coalesce(fixed, _column_names(F.col("header")))
+    known = constant_strings([*clean.MAIL_COLUMNS, *[a for v in clean.ALIASES.values() for a in v]])
+    layout = (
+        F.when(fixed.isNotNull(), "positional").when(F.col("file") == csv.WIDE, "wide")
+        .when(F.arrays_overlap(names, known), "csv").when(F.col("heads"), "dump").otherwise("unknown")
+    )
+    state = F.when(F.col("first").isNull() | F.col("nul"), "damaged").otherwise("ok")
+    return m.select("path", "file", "length", "first", names.alias("names"), layout.alias("layout"), state.alias("state"))
+
+
+def _fields_of(rows: DataFrame) -> DataFrame:
+    """Lines of CSV layouts as mail columns, optional columns and ``extras``, a map
+    of what else a file has. Short rows are padded, overlong ones dropped."""
+    width = F.size("names")
+    rows = rows.where((F.col("n") != F.col("first")) & (F.trim("value") != "")).withColumn("cells", F.split("value", ","))
+    rows = rows.where(F.size("cells") <= width)
+    filled = F.transform(F.slice(F.concat("cells", F.array_repeat(F.lit(""), width)), F.lit(1), width), lambda c: F.nullif(c, F.lit("")))
+    rows = rows.withColumn("cells", filled)
+
+    def cell(name: str):
+        return F.get("cells", F.array_position("names", name).cast("int") - 1)
+
+    mail = {c: F.coalesce(*[cell(a) for a in [c, *clean.ALIASES[c]]]) for c in clean.MAIL_COLUMNS}
+    # a wide file's text and class stand in only where it has no body or label
+    for c in ("body", "label"):
+        mail[c] = F.when((F.col("layout") == "wide") & F.array_contains("names", c), cell(c)).otherwise(mail[c])
+    benign = F.when((mail["label"] == "0") & ~F.col("file").isin(csv.ONLY_PHISHING), labels.LEGITIMATE)
+    mail["label"] = F.when(F.col("layout") == "positional", F.when(mail["label"] == "1", labels.PHISHING).otherwise(benign)).otherwise(mail["label"])
+    own = [*clean.MAIL_COLUMNS, *clean.OPTIONAL_COLUMNS]
+    extras = F.map_filter(F.map_from_arrays("names", "cells"), lambda k, v: ~k.isin(own) & v.isNotNull())
+    return rows.select(
+        F.struct("path", "block", "n").alias("msg_id"), F.col("file").alias("source_file"), "layout",
+        *[v.alias(c) for c, v in mail.items()], *[cell(c).alias(c) for c in clean.OPTIONAL_COLUMNS], extras.alias("extras"),
+    )
+
+
+def read_csv_mail(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Mail of all CSV files below the paths that are ok, dumps assembled."""
+    files = manifest(spark, paths).where("state = 'ok'")
+    rows = csv_lines(spark, paths).join(files.select("path", "first", "names", "layout"), "path")
+    table = _fields_of(rows.where(F.col("layout") != "dump"))
+    wide = clean.numeric_labels(table.where("layout = 'wide' and body is not null"))
+    table = table.where(F.col("layout") != "wide").unionByName(wide).drop("layout")
+    dumps = rows.where("layout = 'dump'").select(F.col("path").alias("file"), "block", F.col("n").alias("line_no"), F.col("value").alias("line"))
+    mail = lines.assemble(dumps)
+    name = F.element_at(F.split("file", "/"), -1).alias("source_file")
+    mail = mail.select(F.struct(F.col("file").alias("path"), F.lit(0).cast("bigint").alias("block"), F.col("rec").alias("n")).alias("msg_id"), name, "from", "subject", "receiver", "date", "body", "label")
+    return table.unionByName(mail, allowMissingColumns=True)
+
+
 def load_messages(spark: SparkSession, paths: list[str], quoting: bool = False) -> DataFrame:
     """All .eml and .csv mail below the paths, unioned and cleaned.
 
-    Rows get an id for 'keep first'. It is used within one pass only (dedup is a
-    single aggregate), so it need not survive a re-run.
+    ``msg_id`` is the place of a row: path, split and line. ``extras`` holds what a
+    file has beyond the mail columns. Damaged files are left out; see
+    ``manifest``. With ``quoting`` fields may be quoted and span lines; such files
+    are read layout by layout.
     """
-    frames = read_csv_files(spark, list_files(spark, paths, "*.csv"), quoting)
-    mails = list_files(spark, paths, "*.eml")
-    if mails:
-        frames.append(eml.read_eml(spark, mails))
-    if not frames:
+    found = existing(spark, paths)
+    if not found:
         log.warning("no mail found")
         return spark.createDataFrame([], EMPTY)
-    keep = [*clean.MAIL_COLUMNS, *clean.OPTIONAL_COLUMNS, "source_file"]
-    narrow = [f.select(*[c for c in keep if c in f.columns]) for f in frames]
-    every = csv.union_all(narrow).withColumn("msg_id", F.monotonically_increasing_id())
-    return clean.clean_mail(every)
+    at = lambda path, n: F.struct(path.alias("path"), F.lit(0).cast("bigint").alias("block"), n.cast("bigint").alias("n")).alias("msg_id")
+    if quoting:
+        keep = [*clean.MAIL_COLUMNS, *clean.OPTIONAL_COLUMNS, "source_file"]
+        frames = [f.select(*[c for c in keep if c in f.columns]) for f in read_csv_files(spark, list_files(spark, found, "*.csv"), True)]
+        table = [f.select(at(F.col("source_file"), F.monotonically_increasing_id()), "*") for f in frames]
+    else:
+        table = [read_csv_mail(spark, found)]
+    mails = eml.read_eml(spark, found)
+    keep = [c for c in [*clean.MAIL_COLUMNS, "source_file"] if c in mails.columns]
+    every = setops.union_outer([*table, mails.select(at(F.col("source_file"), F.lit(0)), *keep)])
+    order = [*clean.MAIL_COLUMNS, *[c for c in every.columns if c not in clean.MAIL_COLUMNS]]
+    return clean.clean_mail(clean.require_mail_columns(every)).select(*order)
 
 
 def read_mail(spark: SparkSession, path: str, index: int = 0) -> DataFrame:

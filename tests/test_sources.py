@@ -32,6 +32,55 @@ def test_load_messages(spark, folder):
     assert rows[("Café", "Pay now")]["label"] == "phishing"
 
 
+def test_wide_columns_survive_loading(spark, tmp_path):
+    (tmp_path / "phishing_email.csv").write_text("text,class,url_score,note,note\nbody one,1,0.7,n1,n2\nbody two,0\nbody one,1,0.9,x,y\n,1,0.1,a,b\n")
+    (tmp_path / "plain.csv").write_text("subject,body,label,date,colour\ns,b,spam,2024,red\n")
+    rows = {r["body"]: r for r in load.load_messages(spark, [str(tmp_path)]).collect()}
+    assert set(rows) == {"body one", "body two", "b"}
+    assert rows["body one"]["extras"] == {"text": "body one", "class": "1", "url_score": "0.7", "note": "n1", "note_4": "n2"}
+    assert rows["body two"]["extras"] == {"text": "body two", "class": "0"} and rows["body two"]["label"] == "legitimate"
+    assert rows["b"]["date"] == "2024" and rows["b"]["extras"] == {"colour": "red"}
+
+
+def test_manifest_isolates_damaged_files(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("subject,body,label\nhi,there,spam\n\nlast,row,ham")
+    (tmp_path / "empty.csv").write_bytes(b"")  # Spark's readers don't list files of no bytes
+    (tmp_path / "binary.csv").write_bytes(b"PK\x03\x04\x00\x00\xff\xfe subject,body\n\x00\x01\n" * 40)
+    (tmp_path / "phish dump.csv").write_text("Subject: one\nFrom: a@b.c\nfirst line, with a comma\nmore\n\nSubject: two\nbody\n")
+    (tmp_path / "odd.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "Enron.csv").write_text("x,y,z\npos,body,1\n")
+    got = {r["file"].replace("%20", " "): (r["layout"], r["state"]) for r in load.manifest(spark, [str(tmp_path)]).collect()}
+    assert got == {
+        "good.csv": ("csv", "ok"), "binary.csv": (got["binary.csv"][0], "damaged"),
+        "phish dump.csv": ("dump", "ok"), "odd.csv": ("unknown", "ok"), "Enron.csv": ("positional", "ok"),
+    }
+    rows = {(r["subject"], r["body"]): r for r in load.load_messages(spark, [str(tmp_path)]).collect()}
+    assert set(rows) == {("hi", "there"), ("last", "row"), ("one", "first line, with a comma more"), ("two", "body"), ("pos", "body")}
+    assert rows[("one", "first line, with a comma more")]["from"] == "a@b.c" and rows[("two", "body")]["label"] == "phishing"
+    assert rows[("pos", "body")]["label"] == "phishing"
+
+
+def test_first_of_equal_rows_stays_by_place(spark, tmp_path):
+    lines_ = [f"s,b,{'spam' if k else 'ham'}" for k in range(50)]
+    (tmp_path / "a.csv").write_text("subject,body,label\n" + "\n".join(lines_) + "\n")
+    got = load.load_messages(spark, [str(tmp_path)]).collect()
+    assert [(r["subject"], r["label"]) for r in got] == [("s", "legitimate")]
+
+
+def test_dedup_moves_no_text_through_sorts(spark):
+    from mailsift.operators import clean
+
+    rows = [(k, f"s{k % 7}", "x" * (k % 3), None if k % 5 else "f") for k in range(60)] + [(100, None, None, None), (99, None, "", None), (98, "", None, None)]
+    df = spark.createDataFrame(rows, "msg_id long, subject string, body string, `from` string").repartition(5)
+    got = {r.msg_id for r in clean.dedup(df, ["subject", "body"]).collect()}
+    first = {}
+    for r in sorted(rows):
+        first.setdefault(r[1:3], r[0])
+    assert got == set(first.values())
+    plan = clean.dedup(df, ["subject", "body"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
 def test_many_files_and_numeric_wide_labels(spark, tmp_path):
     for k in range(120):
         (tmp_path / f"m {k}.csv").write_text(f"{'subject,body' if k % 2 else 'body,subject'},label\nleft {k},right {k},spam\n")
