@@ -25,20 +25,26 @@ def local_session(cores: str = "8", app: str = "mailsift") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder named by the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder named by the session.
 
-    ``spark.checkpoint.dir`` is a shared folder on a cluster, so the result
-    survives the loss of executors; with
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes it once
-    nothing refers to it. A fresh temporary folder is set only where none is
-    named and the whole session runs on one machine.
+    ``spark.checkpoint.dir`` is a shared folder on a cluster. A fresh temporary
+    folder is set only where none is named and the whole session runs on one
+    machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mailsift-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that it survives the loss of
+    executors; with ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark
+    removes it once nothing refers to it.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
