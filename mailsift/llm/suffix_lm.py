@@ -1,53 +1,58 @@
-"""Scoring text with a probabilistic suffix tree.
-
-A text is the sequence of its lower-cased words; the tree reads their bytes,
-one blank between words and an end symbol. Contexts of up to ``depth`` bytes are
-kept if they are frequent and their next-symbol distribution diverges from that
-of the next shorter one. Distributions are smoothed along the tree. Scoring
-walks an automaton whose state is the longest kept suffix.
-
-The unigram base counts whole words of the training texts; this table grows
-with the corpus and is joined, never broadcast.
+"""Scoring text with a probabilistic suffix tree over words.
+
+A text is the sequence of its lower-cased words and an end. A context is a run of
+up to ``depth`` symbols before a token, the beginning of a text being one; it is
+looked at if training texts hold it LEAST times or more, whatever their size. It
+is kept if its next-symbol distribution diverges from that of the next shorter
+context: if, counting each training token out of its own context, the context
+predicts the tokens after it better by DIVERGENCE nats in all. A token is predicted
+by its longest kept context, smoothed along the shorter ones down to the unigram
+base, which adds one to the count of every word.
+
+The tree is never built in one place. Texts lie in blocks, and a block asks for the
+totals of its own distinct words, grams and contexts: questions are sorted hashes,
+cut into slices by hash; a slice's totals are one group of bounded size, and the
+answers come back in the order of the questions. Both blocks and answers are tables
+bucketed by block, so blocks never move again.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import crc_remainder, frames, id_remainder, in_array, lower_words_of, stored, to_tasks
+from mailsift.llm.common import frames, id_remainder, in_array, lower_words_of, stored
+from mailsift.session import shared_folder
 
 #: Tokens of a block: a task keeps one block's words in memory.
 BLOCK_TOKENS = 1 << 21
-DEPTH = 5
-#: A context is kept only if it makes up this share of all training symbols, so
-#: a tree has at most DEPTH / LEAST_SHARE contexts, whatever the corpus.
-LEAST_SHARE = 5e-6
-#: Mean log ratio (nats) to the shorter context's distribution.
-DIVERGENCE = 0.01
-END = 0x0A
-#: Symbols counted at once; bounds the arrays of a task.
-PART = 1 << 21
-_SHORT = 4
+#: Questions of a slice, about.
+SLICE = 1 << 20
+#: Longest context in symbols, occurrences of a context, and nats it must save.
+DEPTH, LEAST, DIVERGENCE = 3, 2, 3.0
+_WORD, _GRAM, _CONTEXT = 0, 1, 2
+_MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Hashes of the end and the beginning of a text; no word holds white space.
+_END, _BEGIN = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\r")
 
 
 # ---------------------------------------------------------------- blocks
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per block of documents of one task: ids and training marks of the
-    documents, their lengths, the block's words, each word's number per token
-    and its count in training texts. ``train`` is a condition on the columns of
-    ``docs``, or a function of an id."""
+    documents, their lengths, each token's number and each number's word as a
+    64-bit hash. ``train`` is a condition on the columns of ``docs``."""
     from pyspark import TaskContext
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marked, chosen = (train, None) if isinstance(train, Column) else (F.lit(False), train)
 
     def work(batches):
         number, made = TaskContext.get().partitionId() << 32, 0
@@ -55,10 +60,9 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int
 
         def row():
             tokens = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            use = np.repeat(np.array(marks, bool), lens)
-            n = np.bincount(tokens[use], minlength=len(vocabulary)).astype(np.int64)
-            words = b" ".join(vocabulary).decode()
-            return pd.DataFrame({"block": [number + made], "keys": [keys], "train": [marks], "lens": [lens], "ids": [zlib.compress(tokens.tobytes(), 1)], "words": [words], "n": [n]})
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
+            packed = zlib.compress(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+            return pd.DataFrame({"block": [number + made], "keys": [keys], "train": [marks], "lens": [lens], "ids": [packed], "words": [hashes.tobytes()]})
 
         for b in frames(batches):
             for own, t, mark in zip(b["k"], b["t"], b["m"], strict=True):
@@ -66,9 +70,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int
                 for at in range(0, len(words), 1 << 16):
                     part = words[at : at + (1 << 16)]
                     ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in part), np.int32, len(part)))
-                k = own[0] if len(own) and own[0] == own[0] else None
-                keys.append(k)
-                marks.append(bool(chosen(k) if chosen else mark))
+                keys.append(own[0] if len(own) else None)
+                marks.append(bool(mark))
                 lens.append(len(words))
                 size += len(words) + 1
                 if size >= block_tokens:
@@ -78,374 +81,287 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_tokens: int
         if keys:
             yield row()
 
-    schema = f"block bigint, keys array<{kind}>, train array<boolean>, lens array<int>, ids binary, words string, n array<bigint>"
-    rows = docs.select(in_array(id_col).alias("k"), F.col(text_col).alias("t"), marked.alias("m"))
-    return rows.mapInPandas(work, schema)
+    rows = docs.select(in_array(id_col).alias("k"), F.col(text_col).alias("t"), train.alias("m"))
+    return rows.mapInPandas(work, f"block bigint, keys array<{kind}>, train array<boolean>, lens array<int>, ids binary, words binary")
 
 
-def _unpacked(ids: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(ids), np.int32)
+# ---------------------------------------------------------------- questions and answers
 
 
-def _streams(words: str, ids: bytes, lens, chosen) -> bytes:
-    """Texts of the chosen documents, each closed by the end symbol."""
-    named = words.encode().split(b" ") if words else []
-    tokens, out, at = _unpacked(ids), [], 0
-    for n, take in zip(lens, chosen, strict=True):
-        if take:
-            out.append(b" ".join([named[i] for i in tokens[at : at + n].tolist()]))
-        at += n
-    return b"\n".join([*out, b""])
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers by byte: all first bytes, all second bytes, and so on, as far
+    as any is not zero. Spark compresses what little the high ones hold."""
+    v = np.ascontiguousarray(values, np.uint64)
+    n = 0 if not len(v) else (int(v.max()).bit_length() + 7) // 8
+    return bytes([n]) + np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
-# ---------------------------------------------------------------- counting
+def _values(data: bytes, count: int) -> np.ndarray:
+    n = data[0]
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8, offset=1).reshape(n, count).T
+    return out.view(np.uint64).ravel()
 
 
-def _windows(stream: np.ndarray, k: int, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all k-grams that have no end symbol inside, and where they start.
-
-    ``stream`` begins and ends with the end symbol: first in a gram it marks the
-    start of a text, last in a gram the end of one.
-    """
-    n = len(stream) - k + 1
-    if n <= 0:
-        return np.zeros(0, kind), np.zeros(0, np.int64)
-    key = np.zeros(n, kind)
-    for j in range(k):
-        key = (key << kind(8)) | stream[j : j + n]
-    inside = np.concatenate(([0], np.cumsum(stream == END)))
-    at = np.flatnonzero(inside[k - 1 : k - 1 + n] - inside[1 : 1 + n] == 0) if k > 2 else np.arange(n)
-    return key[at], at
-
-
-def _tally(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    u, n = np.unique(key, return_counts=True)
-    return u.astype(np.int64) | (k << 56), n
-
-
-def _with_shorter(key: np.ndarray, n: np.ndarray, k: int, least: int, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Grams of k down to ``least`` symbols from those of k: without its first
-    symbol a gram is one shorter, and only texts' first grams are not covered."""
-    out = [(key, n)]
-    for j in range(k - 1, least - 1, -1):
-        bits = (1 << (8 * j)) - 1
-        low = (key & bits) | (j << 56)
-        first, more = _tally(starts[j], j)
-        key, back = np.unique(np.concatenate((low, first)), return_inverse=True)
-        n = np.bincount(back, np.concatenate((n, more)), len(key)).astype(np.int64)
-        out.append((key, n))
+def _questions(kind: int, block: int, hashes: np.ndarray, body: np.ndarray, slices: int) -> Iterator[dict]:
+    """A row for each slice: the block's hashes there, sorted, as differences, and
+    what it adds to each: a count, or for contexts a sum."""
+    # words are told apart by 64 bits, grams and contexts by 56
+    key = hashes if kind == _WORD else hashes >> np.uint64(8)
+    order = np.argsort(key)
+    key, body = key[order], body[order]
+    top = np.uint64(0 if kind == _WORD else 8)
+    of = ((key >> (np.uint64(48) - top)) * np.uint64(slices)) >> np.uint64(16)
+    cuts = np.flatnonzero(np.diff(of, prepend=np.uint64(slices)))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+        own = body[a:b].astype(np.float32).tobytes() if kind == _CONTEXT else _planes(body[a:b])
+        yield {"kind": kind, "slice": int(of[a]), "block": block, "n": b - a, "keys": _planes(np.diff(key[a:b], prepend=np.uint64(0))), "body": own}
+
+
+def _answers(rows: pd.DataFrame) -> pd.DataFrame:
+    """Totals of a slice, for each block in the order of its questions: counts, or
+    for contexts whether they are kept. The slice's sum and number of counts come
+    in a row of block -1."""
+    kind, part = int(rows["kind"].iloc[0]), int(rows["slice"].iloc[0])
+    sizes = rows["n"].tolist()
+    keys = np.concatenate([np.cumsum(_values(k, n)) for k, n in zip(rows["keys"], sizes, strict=True)])
+    if kind == _CONTEXT:
+        body = np.concatenate([np.frombuffer(b, np.float32) for b in rows["body"]]).astype(float)
+    else:
+        body = np.concatenate([_values(b, n) for b, n in zip(rows["body"], sizes, strict=True)]).astype(float)
+    _, place = np.unique(keys, return_inverse=True)
+    total = np.bincount(place, body)
+    found = (total >= DIVERGENCE)[place] if kind == _CONTEXT else np.rint(total).astype(np.uint64)[place]
+    parts = np.split(found, np.cumsum(sizes)[:-1])
+    packed = [np.packbits(p).tobytes() if kind == _CONTEXT else _planes(p) for p in parts]
+    out = pd.DataFrame({"kind": kind, "slice": part, "block": rows["block"].to_numpy(), "n": sizes, "answer": packed, "total": 0, "kinds": 0})
+    if kind == _WORD:
+        out.loc[len(out)] = [kind, part, -1, 0, b"", int(total.sum()), int((total > 0).sum())]
     return out
 
 
-def _gram_frame(grams) -> pd.DataFrame:
-    """One row per gram; the parts of a block have counted each on their own."""
-    key, back = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
-    n = np.bincount(back, np.concatenate([g[1] for g in grams]), len(key)).astype(np.int64)
-    return pd.DataFrame({"key": key, "n": n})
-
-
-def _training_blocks(batches):
-    """The training texts of each block, in parts of whole texts; a part holds
-    about PART symbols, or one text that is longer."""
-    for b in frames(batches):
-        for r in b.itertuples(index=False):
-            if any(r.train):
-                whole = np.frombuffer(b"\n" + _streams(r.words, r.ids, r.lens, r.train), np.uint8)
-                ends = np.flatnonzero(whole == END)
-                cuts = np.unique(ends[np.searchsorted(ends, np.arange(0, len(whole), PART))])
-                yield [whole[a : z + 1] for a, z in zip(cuts, [*cuts[1:], len(whole) - 1], strict=True) if z > a]
-
-
-def _first_grams(stream: np.ndarray, k: int) -> np.ndarray:
-    """k-grams that start a text, as keys; none crosses the text's end."""
-    key, at = _windows(stream, k)
-    return key[stream[at] == END]
+def _in_order(hashes: np.ndarray, kind: int, answers: list) -> np.ndarray:
+    """Answers of a block in the order in which it holds its hashes."""
+    mine = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["slice"])
+    if kind == _CONTEXT:
+        parts = [np.unpackbits(np.frombuffer(a["answer"], np.uint8), count=a["n"]).astype(bool) for a in mine]
+    else:
+        parts = [_values(a["answer"], a["n"]).astype(np.int64) for a in mine]
+    out = np.zeros(len(hashes), bool if kind == _CONTEXT else np.int64)
+    if parts:
+        out[np.argsort(hashes if kind == _WORD else hashes >> np.uint64(8))] = np.concatenate(parts)
+    return out
 
 
-def short_grams(held: DataFrame) -> DataFrame:
-    """(key, n): all grams of up to four symbols in training texts."""
+# ---------------------------------------------------------------- a block's tokens
+
+
+class Tokens:
+    """A block as one stream: each text is a beginning, its words and an end.
+
+    ``level`` k holds, for the tokens whose context of k symbols is frequent: their
+    places, each one's context and gram as numbers, and of these the hashes."""
+
+    def __init__(self, row, least: int = LEAST):
+        lens, self.train = np.asarray(row.lens, np.int64), np.asarray(row.train, bool)
+        raw = np.frombuffer(zlib.decompress(row.ids), np.uint8)
+        tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
+        words = np.frombuffer(row.words, np.uint64)
+        self.hashes, self.least, self.lens = np.append(words, np.array([_END, _BEGIN], np.uint64)), least, lens
+        end, begin = len(words), len(words) + 1
+        ends = np.cumsum(lens + 2)
+        self.first = ends - lens - 2
+        self.symbol = np.full(int(ends[-1]), end, np.int64)
+        self.symbol[self.first] = begin
+        inside = np.ones(len(self.symbol), bool)
+        inside[self.first] = inside[ends - 1] = False
+        self.symbol[inside] = tokens
+        inside[ends - 1] = True
+        self.place = np.flatnonzero(inside)  # every predicted token
+        self.mark = np.repeat(self.train, lens + 2)
+        self.levels: list[dict] = []
+
+    def asked(self, kind: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and training counts of the words, or of a level's grams."""
+        if kind == _WORD:
+            use = self.place[self.mark[self.place]]
+            return self.hashes[:-1], np.bincount(self.symbol[use], minlength=len(self.hashes))[:-1]
+        v = self.levels[level - 1]
+        return v["hashes"], np.bincount(v["gram"][self.mark[v["at"]]], minlength=len(v["hashes"]))
+
+    def words(self, totals: np.ndarray, texts: int) -> None:
+        """Counts of all symbols; as a context the beginning is as frequent as texts."""
+        self.count = np.append(totals, texts)
+
+    def deepen(self, totals: np.ndarray | None) -> None:
+        """Add a level; ``totals`` are the counts of the last level's grams."""
+        if totals is None:
+            at, context, n, hashes = self.place, self.symbol[self.place - 1], self.count, self.hashes
+        else:
+            last = self.levels[-1]
+            of = np.full(len(self.symbol), -1, np.int64)
+            of[last["at"]] = last["gram"]
+            before = of[self.place - 1]
+            at, context, n, hashes = self.place[before >= 0], before[before >= 0], totals, last["hashes"]
+        often = n[context] >= self.least
+        at, context = at[often], context[often]
+        gram, first, number = np.unique(context * len(self.hashes) + self.symbol[at], return_index=True, return_inverse=True)
+        z = (hashes[context[first]] ^ (self.hashes[self.symbol[at[first]]] * _MIX)) * _MORE
+        self.levels.append({"at": at, "context": context, "n": n, "of": hashes, "gram": number, "hashes": (z ^ (z >> np.uint64(29))) * _MIX})
+
+    def base(self, tokens: int, distinct: int) -> np.ndarray:
+        """Log probability of every stream place by the unigram counts."""
+        p = np.zeros(len(self.symbol))
+        p[self.place] = np.log((self.count[self.symbol[self.place]] + 1.0) / (tokens + distinct + 1.0))
+        return p
+
+    def sums(self, level: int, p: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of a level's contexts and what each saves on the block's training
+        tokens, counting each token out. ``sure`` marks tokens of a shorter context
+        with a single follower, from which no longer one diverges."""
+        v = self.levels[level - 1]
+        contexts, number = np.unique(v["context"], return_inverse=True)
+        use = self.mark[v["at"]] & ~sure[v["at"]]
+        n, c = v["n"][v["context"][use]].astype(float), v["n_gram"][v["gram"][use]]
+        q, spare = p[v["at"][use]], np.sqrt(n)
+        saved = np.log((c - 1 + spare * np.exp(q)) / (n - 1 + spare)) - q
+        return v["of"][contexts], np.bincount(number[use], saved, len(contexts))
+
+    def predict(self, level: int, kept: np.ndarray, p: np.ndarray, sure: np.ndarray) -> None:
+        """Move ``p`` to the level's kept contexts, and mark what is sure."""
+        v = self.levels[level - 1]
+        contexts, number = np.unique(v["context"], return_inverse=True)
+        n, c = v["n"][v["context"]].astype(float), v["n_gram"][v["gram"]]
+        use = kept[number] & ~sure[v["at"]]
+        at, spare = v["at"][use], np.sqrt(n[use])
+        p[at] = np.log((c[use] + spare * np.exp(p[at])) / (n[use] + spare))
+        sure[v["at"]] |= c == n
+
+
+def _replayed(row, rounds: int, depth: int, least: int, known: dict) -> tuple[Tokens, np.ndarray | None, np.ndarray | None]:
+    """A block's tokens after so many rounds of answers, log probabilities as far as
+    they are known, and tokens already sure."""
+    t = Tokens(row, least)
+    p = sure = None
+    if rounds:
+        t.words(_in_order(t.hashes[:-1], _WORD, row.r0), known["texts"])
+        p, sure = t.base(known["tokens"], known["distinct"]), np.zeros(len(t.symbol), bool)
+    for r in range(1, rounds):
+        answers = getattr(row, f"r{r}")
+        if r > 1:
+            contexts = np.unique(t.levels[r - 2]["context"])
+            t.predict(r - 1, _in_order(t.levels[r - 2]["of"][contexts], _CONTEXT, answers), p, sure)
+        if r <= depth:
+            t.deepen(None if r == 1 else t.levels[-1]["n_gram"])
+            t.levels[-1]["n_gram"] = _in_order(t.levels[-1]["hashes"], _GRAM, answers)
+    return t, p, sure
+
+
+def _round(rounds: int, depth: int, least: int, slices: int, known: dict):
+    """Questions of round r: words, then the grams of level r with the contexts of
+    level r - 1."""
 
     def work(batches):
-        for parts in _training_blocks(batches):
-            grams = []
-            for s in parts:
-                key, _ = _windows(s, _SHORT, np.uint32)
-                starts = [np.zeros(0, np.uint64)] * 2 + [_first_grams(s, k) for k in range(2, _SHORT)]
-                grams += _with_shorter(*_tally(key, _SHORT), _SHORT, 2, starts)
-                grams.append(_tally(s[1:].astype(np.uint64), 1))
-            yield _gram_frame(grams)
-
-    return _summed(held, work)
-
-
-def long_grams(held: DataFrame, frequent: np.ndarray, depth: int) -> DataFrame:
-    """(key, n): grams of five to ``depth + 1`` symbols whose context's last four
-    symbols may be frequent. A hashed table stands for the frequent ones; what it
-    lets through besides falls to the exact counts later."""
-    marks = np.zeros(1 << 24, bool)
-    marks[_slot(frequent.astype(np.uint32))] = True
-    shared = to_tasks(held.sparkSession, np.packbits(marks))
-
-    def work(batches):
-        ok = np.unpackbits(shared.value).astype(bool)
-        for parts in _training_blocks(batches):
-            grams = []
-            for s in parts:
-                four = np.zeros(max(0, len(s) - _SHORT + 1), np.uint32)
-                for j in range(_SHORT if len(four) else 0):
-                    four = (four << np.uint32(8)) | s[j : j + len(four)]
-                often = ok[_slot(four)]
-                k = depth + 1
-                key, at = _windows(s, k)
-                key = key[often[at + depth - _SHORT]]
-                starts = [np.zeros(0, np.uint64)] * k
-                for j in range(_SHORT + 1, k):
-                    first, at = _windows(s, j)
-                    starts[j] = first[(s[at] == END) & often[at + j - 1 - _SHORT]]
-                grams += _with_shorter(*_tally(key, k), k, _SHORT + 1, starts)
-            yield _gram_frame(grams)
-
-    return _summed(held, work)
-
-
-def _slot(four: np.ndarray) -> np.ndarray:
-    return (four * np.uint32(2654435761)) >> np.uint32(8)
-
-
-def _summed(held: DataFrame, work) -> DataFrame:
-    return held.select("train", "lens", "ids", "words").mapInPandas(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _frequent(grams: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of frequent contexts: at most 257 / share of each length. They are
-    the only counts that come to the driver."""
-    held = grams.withColumn("context", F.shiftright(F.col("key").bitwiseAND((1 << 56) - 1), 8).bitwiseOR(F.shiftleft(F.shiftright("key", 56) - 1, 56)))
-    often = held.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    got = held.join(often, "context", "left_semi").select("key", "n").toArrow()
-    key, n = got["key"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
-# ---------------------------------------------------------------- the tree
-
-
-@dataclass
-class Automaton:
-    """move[state, symbol] and gain[state, symbol], log10 of the probability;
-    symbol maps bytes to columns. ``kept`` counts contexts kept by the test."""
-
-    symbol: np.ndarray
-    move: np.ndarray
-    gain: np.ndarray
-    start: int
-    depth: int
-    kept: int
-
-
-def build(key: np.ndarray, n: np.ndarray, total: int, depth: int, divergence: float, least: float) -> Automaton:
-    """The tree of the frequent contexts, as an automaton.
-
-    States are closed under prefixes and suffixes, so that the next state can be
-    read off the present one; a state that failed the test predicts as its
-    longest suffix that passed. A passed context adds its counts to the number of
-    its distinct symbols times the shorter distribution.
-    """
-    length, body = key >> 56, key & ((1 << 56) - 1)
-    context = ((length - 1) << 56) | (body >> 8)
-    nexts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    order = np.argsort(context, kind="stable")
-    context, sym, n = context[order], (body & 255)[order], n[order]
-    cuts = np.flatnonzero(np.diff(context)) + 1
-    for s, c in zip(np.split(np.arange(len(context)), cuts), np.split(context, cuts), strict=True):
-        if len(c):
-            nexts[int(c[0])] = (sym[s], n[s])
-    seen = np.unique(sym) if len(sym) else np.zeros(0, np.int64)
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    if symbol[END] == len(seen):
-        seen = np.append(seen, END)
-        symbol[symbol == len(seen) - 1] = len(seen)
-        symbol[END] = len(seen) - 1
-    width = len(seen) + 1
-
-    def counts(c: int) -> np.ndarray:
-        row = np.zeros(width)
-        if c in nexts:
-            row[symbol[nexts[c][0]]] = nexts[c][1]
-        return row
-
-    def shorter(c: int) -> int:
-        j = c >> 56
-        return ((j - 1) << 56) | (c & ((1 << (8 * (j - 1))) - 1))
-
-    passed = {0}
-    for c in sorted(nexts):
-        j = c >> 56
-        if j == 0 or j > depth or nexts[c][1].sum() < least:
-            continue
-        par = shorter(c)
-        if par not in nexts:
-            continue
-        own = nexts[c][1]
-        parent = counts(par)
-        expect = parent[symbol[nexts[c][0]]] / parent.sum()
-        if (own * np.log(own / own.sum() / expect)).sum() / own.sum() >= divergence:
-            passed.add(c)
-    states = {0, (1 << 56) | END}
-    for c in passed:
-        j, b = c >> 56, c & ((1 << 56) - 1)
-        for i in range(j):
-            for e in range(i + 1, j + 1):
-                states.add(((e - i) << 56) | ((b >> (8 * (j - e))) & ((1 << (8 * (e - i))) - 1)))
-    listed = sorted(states)
-    place = {c: i for i, c in enumerate(listed)}
-    p = np.zeros((len(listed), width))
-    move = np.zeros((len(listed), width), np.int32)
-    root = counts(0)
-    p[0] = (root + 1) / (root.sum() + 256)
-    for i, c in enumerate(listed):
-        if i:
-            up = place[shorter(c)]
-            p[i], move[i] = p[up], move[up]
-            if c in passed:
-                own = counts(c)
-                kinds = np.count_nonzero(own)
-                p[i] = (own + kinds * p[up]) / (own.sum() + kinds)
-        for x, s in enumerate(seen):
-            longer = (((c >> 56) + 1) << 56) | ((c & ((1 << 56) - 1)) << 8) | int(s)
-            if longer in place:
-                move[i, x] = place[longer]
-        move[i, symbol[END]] = place[(1 << 56) | END]
-    return Automaton(symbol.astype(np.uint8), move, np.log10(p).astype(np.float32), place[(1 << 56) | END], depth, len(passed))
-
-
-def walk(stream: np.ndarray, a: dict, lane: int = 1024) -> np.ndarray:
-    """log10 probability of each symbol of a stream that starts a text.
-
-    The stream is cut into lanes that are walked side by side; each begins
-    ``depth`` symbols early, after which its state is the right one.
-    """
-    n, depth, width = len(stream), a["depth"], a["move"].shape[1]
-    lanes = max(1, -(-n // lane))
-    padded = np.full(depth + lanes * lane, END, np.uint8)
-    padded[depth : depth + n] = stream
-    columns = a["symbol"][padded]
-    view = np.lib.stride_tricks.sliding_window_view(columns, depth + lane)[::lane]
-    steps = np.ascontiguousarray(view.T)
-    move, gain = a["move"].ravel(), a["gain"].ravel()
-    state, out = np.full(lanes, a["start"], np.int64), np.empty((lane, lanes), np.float32)
-    for t in range(depth + lane):
-        cell = state * width + steps[t]
-        if t >= depth:
-            out[t - depth] = gain[cell]
-        state = move[cell].astype(np.int64)
-    return out.T.ravel()[:n].astype(np.float64)
+        for b in frames(batches):
+            for row in b.itertuples(index=False):
+                out = []
+                t, p, sure = _replayed(row, rounds, depth, least, known)
+                if rounds == 0:
+                    out += _questions(_WORD, row.block, *t.asked(_WORD), slices)
+                else:
+                    if rounds > 1:
+                        out += _questions(_CONTEXT, row.block, *t.sums(rounds - 1, p, sure), slices)
+                    if rounds <= depth:
+                        t.deepen(None if rounds == 1 else t.levels[-1]["n_gram"])
+                        out += _questions(_GRAM, row.block, *t.asked(_GRAM, rounds), slices)
+                if out:
+                    yield pd.DataFrame(out)
+
+    return work
 
 
 # ---------------------------------------------------------------- scoring
 
 
 def train_rows(id_col: str, modulus: int = 7, held_out: int = 2) -> Column:
-    """The same documents as ``train_mark``, as a condition."""
+    """Training documents: crc32 of the id as text leaves another remainder."""
     return id_remainder(F.col(id_col), modulus) != held_out
 
 
-def train_mark(modulus: int = 7, held_out: int = 2):
-    """Training documents: crc32 of the id as text leaves another remainder."""
-    return lambda k: crc_remainder(k, modulus) != held_out
-
+class _Tables:
+    """Tables bucketed by block in the shared folder, dropped at the end."""
 
-def learn(held: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> Automaton:
-    """The tree of the training documents of ``held`` (from ``blocks``)."""
-    short = stored(short_grams(held))
-    total = short.where(F.shiftright("key", 56) == 1).agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, least_share * total)
-    key, n = _frequent(short, least)
-    four = short.where((F.shiftright("key", 56) == _SHORT) & (F.col("n") >= least)).select("key").toArrow()["key"].to_numpy()
-    if depth >= _SHORT and len(four):
-        more, m = _frequent(long_grams(held, four & 0xFFFFFFFF, depth), least)
-        key, n = np.concatenate((key, more)), np.concatenate((n, m))
-    return build(key, n, total, depth, divergence, least)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"suffix_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_folder(spark)}/{self.name}'")
 
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, "block").format("parquet").saveAsTable(f"{self.name}.{what}")
+        return self.spark.table(f"{self.name}.{what}")
 
-def word_counts(held: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
-    """Words by block and place, word totals, number of training texts, and the
-    sum and number of the totals with the end of a text as one more word."""
-    words = held.where("words <> ''").select("block", F.posexplode(F.split("words", " ")).alias("place", "word"), "n").select("block", "place", "word", F.get("n", F.col("place")).alias("n"))
-    totals = stored(words.groupBy("word").agg(F.sum("n").alias("c")))
-    ends = held.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    r = totals.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0))).first()
-    return words, totals, ends, (r[0] or 0) + ends, (r[1] or 0) + (ends > 0)
+    def drop(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train=None, depth: int = DEPTH, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, depth: int = DEPTH, least: int = LEAST, block_tokens: int = BLOCK_TOKENS, slice_size: int = SLICE,
+) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one
     row per row of ``docs``.
 
-    ``train``, a condition on the columns or a function of an id, marks training
-    documents. base_score sums log10((c + 1) / (N +
-    V + 1)) over the words and the end; score is the tree's log10 probability of
-    the same sequence. A null or empty text is its end alone; a null id counts as
-    the empty text for ``train``. Repeated rows are scored, and counted, each.
-    Without training texts the tree predicts every byte alike. An empty table
-    gives no rows. Extra columns are not read.
+    ``train``, a condition on the columns, marks training documents. base_score
+    sums log10((c + 1) / (N + V + 1)) over the words and the end; score is the
+    tree's log10 probability of the same sequence. A null or empty text is its end
+    alone; texts of any length are scored whole; a null id counts as the empty text
+    for ``train``. Repeated rows are scored, and counted, each. Without training
+    texts nothing is known and every score is 0. An empty table gives no rows.
+    Extra columns are not read. What is gathered, words, grams and contexts, grows
+    with the training texts; a sum that equals DIVERGENCE keeps its context.
     """
+    spark = docs.sparkSession
     train = train_rows(id_col) if train is None else train
-    held = stored(blocks(docs, id_col, text_col, train, block_tokens))
-    words, totals, ends, tokens, distinct = word_counts(held)
-    tree = learn(held, depth, least_share, divergence)
-    shared = to_tasks(docs.sparkSession, {"symbol": tree.symbol, "move": tree.move, "gain": tree.gain, "start": tree.start, "depth": tree.depth})
-    answers = words.join(totals, "word").select(F.col("block").alias("of"), "place", "c")
-    unit = np.log10(tokens + distinct + 1)
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in left.itertuples(index=False):
-            ids, lens = _unpacked(r.ids), np.asarray(r.lens, dtype=np.int64)
-            c = np.zeros(len(right), np.int64)
-            c[right["place"].to_numpy()] = right["c"].to_numpy()
-            edges = np.concatenate(([0], np.cumsum(lens)))
-            gain = np.concatenate(([0.0], np.cumsum(np.log10(c + 1.0)[ids])))
-            known = np.concatenate(([0], np.cumsum((c > 0)[ids])))
-            base = np.diff(gain[edges]) + np.log10(ends + 1.0) - (lens + 1) * unit
-            out.append(
-                pd.DataFrame(
-                    {
-                        "block": r.block, "at": np.arange(len(lens)), "held_out": ~np.asarray(r.train, dtype=bool), "n_tokens": lens + 1, "n_known": np.diff(known[edges]) + (ends > 0),
-                        "train_tokens": tokens, "base_score": base, "score": _tree_scores(r, lens, shared.value),
-                    }
-                )
-            )
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["block", "at", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    schema = "block bigint, at int, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    body = held.select("block", "train", "lens", "ids", "words")
-    out = body.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(finish, schema)
-    # ids do not pass pandas, which rounds large ones beside a null
-    ids = held.select("block", F.posexplode("keys").alias("at", "k"))
-    return ids.join(out, ["block", "at"]).select(F.col("k").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def _tree_scores(r, lens: np.ndarray, automaton: dict, most: int = 1 << 21) -> np.ndarray:
-    """Scores of a block's documents, some symbols at a time; a document longer
-    than that is walked whole."""
-    named = r.words.encode().split(b" ") if r.words else []
-    size = np.array([len(w) for w in named], np.int64)
-    ids = _unpacked(r.ids)
-    edges = np.concatenate(([0], np.cumsum(lens)))
-    symbols = np.diff(np.concatenate(([0], np.cumsum(size[ids] + 1 if len(ids) else np.zeros(0, np.int64))))[edges])
-    symbols = np.where(lens > 0, symbols, 1)
-    out, first = np.empty(len(lens)), 0
-    while first < len(lens):
-        last, held = first + 1, symbols[first]
-        while last < len(lens) and held + symbols[last] <= most:
-            held += symbols[last]
-            last += 1
-        parts = [b" ".join([named[i] for i in ids[edges[d] : edges[d + 1]].tolist()]) for d in range(first, last)]
-        stream = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
-        gains = walk(stream, automaton)
-        starts = np.concatenate(([0], np.cumsum(symbols[first:last])[:-1]))
-        out[first:last] = np.add.reduceat(gains, starts)
-        first = last
-    return out
+    tables = _Tables(spark)
+    question = "kind int, slice int, block bigint, n int, keys binary, body binary"
+    answer = "kind int, slice int, block bigint, n int, answer binary, total bigint, kinds bigint"
+    try:
+        held = tables.keep(blocks(docs, id_col, text_col, train, block_tokens), "blocks")
+        state = held.select("block", "train", "lens", "ids", "words")
+        sizes = held.agg(F.sum(F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x + 1)), F.sum(F.size(F.filter("train", lambda t: t)))).first()
+        slices = min(1 << 16, max(1, -(-(sizes[0] or 0) // slice_size)))
+        known = {"texts": sizes[1] or 0}
+        for r in range(depth + 2):
+            asked = state.mapInPandas(_round(r, depth, least, slices, known), question)
+            found = asked.groupBy("kind", "slice").applyInPandas(_answers, answer)
+            listed = F.collect_list(F.struct("kind", "slice", "n", "answer")).alias(f"r{r}")
+            got = tables.keep(found.groupBy("block").agg(listed, F.sum("total").alias("total"), F.sum("kinds").alias("kinds")), f"r{r}")
+            if r == 0:
+                whole = got.where("block = -1").select("total", "kinds").first()
+                known |= {"tokens": whole[0] if whole else 0, "distinct": whole[1] if whole else 0}
+            state = state.join(got.where("block >= 0").select("block", f"r{r}").hint("merge"), "block", "left")
+            state = state.withColumn(f"r{r}", F.coalesce(f"r{r}", F.array().cast(state.schema[f"r{r}"].dataType)))
+
+        def finish(batches):
+            for b in frames(batches):
+                for row in b.itertuples(index=False):
+                    t, p, _ = _replayed(row, depth + 2, depth, least, known)
+                    base = t.base(known["tokens"], known["distinct"])
+                    seen = np.zeros(len(t.symbol), np.int64)
+                    seen[t.place] = t.count[t.symbol[t.place]] > 0
+                    add = lambda x, t=t: np.add.reduceat(x, t.first)
+                    ten = np.log(10)
+                    yield pd.DataFrame(
+                        {
+                            "block": row.block, "at": np.arange(len(t.lens)), "held_out": ~t.train, "n_tokens": t.lens + 1, "n_known": add(seen),
+                            "train_tokens": known["tokens"], "base_score": add(base) / ten, "score": add(p) / ten,
+                        }
+                    )
+
+        schema = "block bigint, at int, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        out = state.mapInPandas(finish, schema)
+        # ids do not pass pandas, which rounds large ones beside a null
+        ids = held.select("block", F.posexplode("keys").alias("at", "k"))
+        named = ids.join(out, ["block", "at"])
+        return stored(named.select(F.col("k").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    finally:
+        tables.drop()

@@ -132,3 +132,40 @@ def merged(word, rank, skip):
             continue
         part[i : i + 2] = [part[i] + part[i + 1]]
         del edge[i + 1]
+
+
+def suffix_tree(rows, depth, least, divergence):
+    """{id: log10 probability} and the number of kept contexts, by dictionaries."""
+    texts = {k: ["\r", *WORD.findall(lower(t or "")), "\n"] for k, t in rows}
+    train = {k for k in texts if crc(k) % 7 != 2}
+    c = Counter(w for k in train for w in texts[k][1:])
+    total, distinct = sum(c.values()), len(c)
+    p = {k: [None] + [math.log((c[w] + 1) / (total + distinct + 1)) for w in ws[1:]] for k, ws in texts.items()}
+    sure, kept_contexts = {k: [False] * len(ws) for k, ws in texts.items()}, 0
+    for d in range(1, depth + 1):
+        n, grams = Counter(), Counter()
+        for k in train:
+            for i in range(d, len(texts[k])):
+                context = tuple(texts[k][i - d : i])
+                n[context] += 1
+                grams[context, texts[k][i]] += 1
+        saved = Counter()
+        for k in train:
+            for i in range(d, len(texts[k])):
+                context = tuple(texts[k][i - d : i])
+                if n[context] >= least and not sure[k][i]:
+                    q, spare = p[k][i], math.sqrt(n[context])
+                    saved[context] += math.log((grams[context, texts[k][i]] - 1 + spare * math.exp(q)) / (n[context] - 1 + spare)) - q
+        kept = {x for x, s in saved.items() if s >= divergence}
+        kept_contexts += len(kept)
+        for k, ws in texts.items():
+            for i in range(d, len(ws)):
+                context = tuple(ws[i - d : i])
+                if n[context] < least:
+                    continue
+                g = grams[context, ws[i]]
+                if context in kept and not sure[k][i]:
+                    spare = math.sqrt(n[context])
+                    p[k][i] = math.log((g + spare * math.exp(p[k][i])) / (n[context] + spare))
+                sure[k][i] = sure[k][i] or g == n[context]
+    return {k: sum(x[1:]) / math.log(10) for k, x in p.items()}, kept_contexts
