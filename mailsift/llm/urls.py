@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 #: Parts of the key space that are swept apart, each cut at a rule's key.
 SWEEPS = 64
-#: URLs of a task; a sweep with more is spread over several, its rules go to each.
-TASK_URLS = 100_000
+#: URLs of a group at least; a sweep with more is cut into several, and its rules go
+#: to each. Groups are larger where a sweep has many rules.
+TASK_URLS, URLS_TO_RULES = 256, 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -74,9 +75,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     picked = [x.key for x in begun.select("key").orderBy(F.xxhash64("key")).limit(SWEEPS).collect()]
     cuts = F.array(*[F.lit(k) for k in picked]).cast("array<string>")
     sweep = F.size(F.filter(cuts, lambda c: c <= F.col("key")))
+    size = max(task_urls, URLS_TO_RULES * -(-begun.count() // (len(picked) + 1)))
     # one number for each of at most SWEEPS + 1 sweeps
     held = {r["sweep"]: r["count"] for r in urls.groupBy(sweep.alias("sweep")).count().collect()}
-    tasks = F.array(*[F.lit(max(1, -(-held.get(s, 0) // task_urls))) for s in range(len(picked) + 1)])
+    tasks = F.array(*[F.lit(max(1, -(-held.get(s, 0) // size))) for s in range(len(picked) + 1)])
     salt = F.pmod(F.xxhash64("k", "path"), F.get(tasks, sweep)).cast("int")
     u = urls.select("k", "host", "path", "key", sweep.alias("sweep"), salt.alias("salt"), F.lit(1).alias("kind"))
     r = begun.select("key", sweep.alias("sweep"), F.explode(F.sequence(F.lit(0), F.get(tasks, sweep) - 1)).alias("salt"), F.lit(0).alias("kind"), "stack")

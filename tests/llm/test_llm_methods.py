@@ -263,7 +263,7 @@ def test_nested_rules_and_many_sweeps(spark):
     rules = [(h, p, rng.choice(["allow", "block"])) for h, p, _ in sorted(rules)]
     pages = [(k, "HTTPS://" + ".".join(rng.choices(labels, k=rng.randint(1, 4))).upper() + rng.choice(paths)) for k in range(400)] + [(None, None), (1, "no scheme"), (2, "://"), (2, "x://y" * 3)]
     tables = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
-    spread = urls.judge(*tables, otherwise="none", task_urls=2)
+    spread = urls.judge(*tables, otherwise="none", task_urls=40)
     got = urls.judge(*tables, otherwise="none").collect()
     assert len(got) == len(pages) and sorted(map(str, spread.collect())) == sorted(map(str, got))
     for r in got:
