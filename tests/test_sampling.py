@@ -51,23 +51,41 @@ def brute(vectors, k):
     return out
 
 
-def knn_lists(df, k):
+def knn_lists(df, k, block=4096):
     out = {}
-    for r in balance.knn(df, k).orderBy("msg_id", "rank").collect():
+    for r in balance.knn_sparse(balance.sparse(df), k, block).orderBy("msg_id", "rank").collect():
         out.setdefault(r["msg_id"], []).append(r["neighbor"])
     return out
 
 
-@pytest.mark.parametrize("block", [4_000_000, 600])
-def test_knn_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(balance, "CELLS_PER_TASK", block)
-    monkeypatch.setattr(balance, "PIVOTS", 7)
+@pytest.mark.parametrize("block", [4096, 50])
+def test_knn_equals_brute_force(spark, block):
     rng = np.random.default_rng(1)
     vectors = [(i, rng.normal(size=3) + (i % 4) * 5) for i in range(600)]
     # a third of all rows is one vector
     vectors = [(i, np.ones(3) if i % 3 == 0 else x) for i, x in vectors]
     df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in vectors], "msg_id long, x array<double>")
-    assert knn_lists(df, 4) == brute(vectors, 4)
+    assert knn_lists(df, 4, block) == brute(vectors, 4)
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_knn_of_sparse_rows_with_some_common_cells(spark, monkeypatch, block):
+    """Few cells a row, three that all have, rows of none; like lengths and unlike."""
+    monkeypatch.setattr(balance, "PAIRS", 500)
+    rng = np.random.default_rng(3)
+    vectors = []
+    for i in range(260):
+        x = np.zeros(60)
+        x[rng.choice(57, 4, replace=False)] = rng.normal(size=4)
+        x[57:] = rng.normal(size=3) * (1 if i % 2 else 0.2)
+        vectors.append((i, x * (1 + i % 5) if i % 13 else np.zeros(60)))
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in vectors], "msg_id long, x array<double>")
+    assert knn_lists(df, 4, block) == brute(vectors, 4)
+
+
+def test_knn_stores_and_moves_no_dense_rows(spark):
+    df = spark.createDataFrame([(1, [0.0] * 50 + [1.0]), (2, [0.0] * 51)], "msg_id long, x array<double>")
+    assert balance.sparse(df).where("msg_id = 1").first()[1:] == ([50], [1.0], 51)
 
 
 def test_knn_of_few_rows(spark):
