@@ -93,7 +93,7 @@ def mix(
 
     times is how often the mix takes a document: never, once or twice; taken is
     that many times its words. A null source is a source; a null or empty text
-    has size 0. Documents of a source and length are taken in the order of a
+    has size 0, one of any length its whole size. Documents of a source and length are taken in the order of a
     seeded hash of id and text, so reruns agree; rows that agree in id and text
     are taken alike. Null ids count as any other. Extra columns may have any
     name. An empty table gives no rows.

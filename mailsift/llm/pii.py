@@ -191,7 +191,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
     ``spans`` holds the base spans and the candidates with probability
     ``threshold`` or more, by start, then kind as listed. A null text is empty
-    and has none. Repeated rows and null ids stay; extra columns may have any
+    and has none; texts of any length are searched whole. Repeated rows and null ids stay; extra columns may have any
     name; an empty table gives no rows.
     """
     model = model or fit(docs, text_col)

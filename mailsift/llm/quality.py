@@ -149,7 +149,8 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     base_failed: fewer than 50 words, or over half of them in repeated 3-word
     windows. kept: not base_failed and a posterior of ``threshold`` or more. At
     most 3 ** rules patterns reach the driver. Null and empty texts measure zero
-    and fail the base rule. Repeated rows and null ids stay; extra columns may
+    and fail the base rule; texts of any length are measured whole; a posterior that
+    equals ``threshold`` is kept. Repeated rows and null ids stay; extra columns may
     have any name; an empty table gives no rows.
     """
     names = list(rules())

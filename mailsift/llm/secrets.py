@@ -86,8 +86,10 @@ def findings(versions: DataFrame, ledger: DataFrame, text_col: str = "text", kee
     """(row, blob, spans) for every row of ``versions``.
 
     ``row`` has the columns in ``keep``, all by default; spans are sorted by start, then kind
-    as listed. Null texts are empty; repeated rows and null paths stay. Spans of
-    rule versions no longer listed do not count. Empty tables give no rows.
+    as listed. Null texts are empty; texts of any length are scanned whole; repeated
+    rows and null paths stay, and extra columns may have any name. Spans that agree
+    in place and kind count once. Spans of rule versions no longer listed do not
+    count. Empty tables give no rows.
     """
     each = blobs(versions, text_col, keep)
     fresh = new_findings(each.select("blob", "content"), ledger)

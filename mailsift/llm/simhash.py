@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, fp, h, component_id) for every row of ``docs``.
 
     component_id is the smallest id reachable over links of at most ``k`` bits.
-    Null and empty texts share fingerprint zero and are linked like any other.
+    Null and empty texts share fingerprint zero and are linked like any other; texts
+    of any length count whole; a bit that is set in exactly half the hashes is 0.
     Null ids take part but never name a component, unless it has no other id.
     Repeated rows stay repeated. An empty table gives no rows. Extra columns are
     not read.
