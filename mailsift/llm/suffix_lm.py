@@ -32,7 +32,7 @@ from mailsift.llm.common import frames, id_remainder, in_array, lower_words_of,
 from mailsift.session import shared_folder
 
 #: Tokens of a block: a task keeps one block's words in memory.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 19
 #: Questions of a slice, about.
 SLICE = 1 << 20
 #: Longest context in symbols, occurrences of a context, and nats it must save.
@@ -49,7 +49,8 @@ _END, _BEGIN = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\r")
 def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per block of documents of one task: ids and training marks of the
     documents, their lengths, each token's number and each number's word as a
-    64-bit hash. ``train`` is a condition on the columns of ``docs``."""
+    64-bit hash. Numbers follow the hashes' order; the end and the beginning of a
+    text have theirs. ``train`` is a condition on the columns of ``docs``."""
     from pyspark import TaskContext
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -61,6 +62,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, block_tok
         def row():
             tokens = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary))
+            hashes = np.append(hashes, np.array([_END, _BEGIN], np.uint64))
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            tokens, hashes = rank[tokens], hashes[order]
             packed = zlib.compress(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
             return pd.DataFrame({"block": [number + made], "keys": [keys], "train": [marks], "lens": [lens], "ids": [packed], "words": [hashes.tobytes()]})
 
@@ -104,12 +110,10 @@ def _values(data: bytes, count: int) -> np.ndarray:
 
 
 def _questions(kind: int, block: int, hashes: np.ndarray, body: np.ndarray, slices: int) -> Iterator[dict]:
-    """A row for each slice: the block's hashes there, sorted, as differences, and
-    what it adds to each: a count, or for contexts a sum."""
+    """A row for each slice: the block's hashes there, which are sorted, as
+    differences, and what it adds to each: a count, or for contexts a sum."""
     # words are told apart by 64 bits, grams and contexts by 56
     key = hashes if kind == _WORD else hashes >> np.uint64(8)
-    order = np.argsort(key)
-    key, body = key[order], body[order]
     top = np.uint64(0 if kind == _WORD else 8)
     of = ((key >> (np.uint64(48) - top)) * np.uint64(slices)) >> np.uint64(16)
     cuts = np.flatnonzero(np.diff(of, prepend=np.uint64(slices)))
@@ -140,17 +144,14 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _in_order(hashes: np.ndarray, kind: int, answers: list) -> np.ndarray:
-    """Answers of a block in the order in which it holds its hashes."""
+def _in_order(kind: int, answers: list) -> np.ndarray:
+    """Answers of a block in the order of its hashes."""
     mine = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["slice"])
     if kind == _CONTEXT:
         parts = [np.unpackbits(np.frombuffer(a["answer"], np.uint8), count=a["n"]).astype(bool) for a in mine]
     else:
         parts = [_values(a["answer"], a["n"]).astype(np.int64) for a in mine]
-    out = np.zeros(len(hashes), bool if kind == _CONTEXT else np.int64)
-    if parts:
-        out[np.argsort(hashes if kind == _WORD else hashes >> np.uint64(8))] = np.concatenate(parts)
-    return out
+    return np.concatenate([np.zeros(0, bool if kind == _CONTEXT else np.int64), *parts])
 
 
 # ---------------------------------------------------------------- a block's tokens
@@ -159,20 +160,20 @@ def _in_order(hashes: np.ndarray, kind: int, answers: list) -> np.ndarray:
 class Tokens:
     """A block as one stream: each text is a beginning, its words and an end.
 
-    ``level`` k holds, for the tokens whose context of k symbols is frequent: their
-    places, each one's context and gram as numbers, and of these the hashes."""
+    A level k holds, for the tokens whose context of k symbols is frequent: their
+    places, each one's context and gram as numbers, and of these the hashes. Numbers
+    follow the hashes' order at every level, so questions need no further sorting."""
 
     def __init__(self, row, least: int = LEAST):
         lens, self.train = np.asarray(row.lens, np.int64), np.asarray(row.train, bool)
         raw = np.frombuffer(zlib.decompress(row.ids), np.uint8)
         tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
-        words = np.frombuffer(row.words, np.uint64)
-        self.hashes, self.least, self.lens = np.append(words, np.array([_END, _BEGIN], np.uint64)), least, lens
-        end, begin = len(words), len(words) + 1
+        self.hashes, self.least, self.lens = np.frombuffer(row.words, np.uint64), least, lens
+        end, self.begin = (int(np.searchsorted(self.hashes, np.uint64(h))) for h in (_END, _BEGIN))
         ends = np.cumsum(lens + 2)
         self.first = ends - lens - 2
         self.symbol = np.full(int(ends[-1]), end, np.int64)
-        self.symbol[self.first] = begin
+        self.symbol[self.first] = self.begin
         inside = np.ones(len(self.symbol), bool)
         inside[self.first] = inside[ends - 1] = False
         self.symbol[inside] = tokens
@@ -185,18 +186,19 @@ class Tokens:
         """Hashes and training counts of the words, or of a level's grams."""
         if kind == _WORD:
             use = self.place[self.mark[self.place]]
-            return self.hashes[:-1], np.bincount(self.symbol[use], minlength=len(self.hashes))[:-1]
+            return self.hashes, np.bincount(self.symbol[use], minlength=len(self.hashes))
         v = self.levels[level - 1]
         return v["hashes"], np.bincount(v["gram"][self.mark[v["at"]]], minlength=len(v["hashes"]))
 
     def words(self, totals: np.ndarray, texts: int) -> None:
         """Counts of all symbols; as a context the beginning is as frequent as texts."""
-        self.count = np.append(totals, texts)
+        self.count, self.before = totals, totals.copy()
+        self.before[self.begin] = texts
 
     def deepen(self, totals: np.ndarray | None) -> None:
         """Add a level; ``totals`` are the counts of the last level's grams."""
         if totals is None:
-            at, context, n, hashes = self.place, self.symbol[self.place - 1], self.count, self.hashes
+            at, context, n, hashes = self.place, self.symbol[self.place - 1], self.before, self.hashes
         else:
             last = self.levels[-1]
             of = np.full(len(self.symbol), -1, np.int64)
@@ -205,9 +207,22 @@ class Tokens:
             at, context, n, hashes = self.place[before >= 0], before[before >= 0], totals, last["hashes"]
         often = n[context] >= self.least
         at, context = at[often], context[often]
-        gram, first, number = np.unique(context * len(self.hashes) + self.symbol[at], return_index=True, return_inverse=True)
-        z = (hashes[context[first]] ^ (self.hashes[self.symbol[at[first]]] * _MIX)) * _MORE
-        self.levels.append({"at": at, "context": context, "n": n, "of": hashes, "gram": number, "hashes": (z ^ (z >> np.uint64(29))) * _MIX})
+        z = (hashes[context] ^ (self.hashes[self.symbol[at]] * _MIX)) * _MORE
+        z = (z ^ (z >> np.uint64(29))) * _MIX
+        order = np.argsort(z)
+        z = z[order]
+        begins = np.ones(len(z), bool)
+        begins[1:] = z[1:] != z[:-1]
+        number = np.empty(len(z), np.int64)
+        number[order] = np.cumsum(begins) - 1
+        self.levels.append({"at": at, "context": context, "n": n, "of": hashes, "gram": number, "hashes": z[begins]})
+
+    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts of a level, and which of them each of its tokens has."""
+        v = self.levels[level - 1]
+        held = np.zeros(len(v["of"]), bool)
+        held[v["context"]] = True
+        return np.flatnonzero(held), (np.cumsum(held) - 1)[v["context"]]
 
     def base(self, tokens: int, distinct: int) -> np.ndarray:
         """Log probability of every stream place by the unigram counts."""
@@ -220,7 +235,7 @@ class Tokens:
         tokens, counting each token out. ``sure`` marks tokens of a shorter context
         with a single follower, from which no longer one diverges."""
         v = self.levels[level - 1]
-        contexts, number = np.unique(v["context"], return_inverse=True)
+        contexts, number = self.contexts(level)
         use = self.mark[v["at"]] & ~sure[v["at"]]
         n, c = v["n"][v["context"][use]].astype(float), v["n_gram"][v["gram"][use]]
         q, spare = p[v["at"][use]], np.sqrt(n)
@@ -230,7 +245,7 @@ class Tokens:
     def predict(self, level: int, kept: np.ndarray, p: np.ndarray, sure: np.ndarray) -> None:
         """Move ``p`` to the level's kept contexts, and mark what is sure."""
         v = self.levels[level - 1]
-        contexts, number = np.unique(v["context"], return_inverse=True)
+        _, number = self.contexts(level)
         n, c = v["n"][v["context"]].astype(float), v["n_gram"][v["gram"]]
         use = kept[number] & ~sure[v["at"]]
         at, spare = v["at"][use], np.sqrt(n[use])
@@ -244,16 +259,15 @@ def _replayed(row, rounds: int, depth: int, least: int, known: dict) -> tuple[To
     t = Tokens(row, least)
     p = sure = None
     if rounds:
-        t.words(_in_order(t.hashes[:-1], _WORD, row.r0), known["texts"])
+        t.words(_in_order(_WORD, row.r0), known["texts"])
         p, sure = t.base(known["tokens"], known["distinct"]), np.zeros(len(t.symbol), bool)
     for r in range(1, rounds):
         answers = getattr(row, f"r{r}")
         if r > 1:
-            contexts = np.unique(t.levels[r - 2]["context"])
-            t.predict(r - 1, _in_order(t.levels[r - 2]["of"][contexts], _CONTEXT, answers), p, sure)
+            t.predict(r - 1, _in_order(_CONTEXT, answers), p, sure)
         if r <= depth:
             t.deepen(None if r == 1 else t.levels[-1]["n_gram"])
-            t.levels[-1]["n_gram"] = _in_order(t.levels[-1]["hashes"], _GRAM, answers)
+            t.levels[-1]["n_gram"] = _in_order(_GRAM, answers)
     return t, p, sure
 
 
