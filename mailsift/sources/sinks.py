@@ -10,7 +10,7 @@ from mailsift.operators import metrics
 from mailsift.operators.report import json_results
 
 #: CSV that comes back as it was: quotes doubled, line breaks kept, null and '' apart.
-CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": "", "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N", "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", by: list[str] | None = None) -> None:
