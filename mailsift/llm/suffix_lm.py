@@ -318,6 +318,10 @@ class _Tables:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
 
+#: Blocks are large rows: few are handed to Python at once.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, depth: int = DEPTH, least: int = LEAST, block_tokens: int = BLOCK_TOKENS, slice_size: int = SLICE,
 ) -> DataFrame:
@@ -335,11 +339,13 @@ def score(
     """
     spark = docs.sparkSession
     train = train_rows(id_col) if train is None else train
-    tables = _Tables(spark)
+    tables, before = _Tables(spark), {k: spark.conf.get(k, None) for k in _BATCH}
     question = "kind int, slice int, block bigint, n int, keys binary, body binary"
     answer = "kind int, slice int, block bigint, n int, answer binary, total bigint, kinds bigint"
     try:
         held = tables.keep(blocks(docs, id_col, text_col, train, block_tokens), "blocks")
+        for k, v in _BATCH.items():
+            spark.conf.set(k, v)
         state = held.select("block", "train", "lens", "ids", "words")
         sizes = held.agg(F.sum(F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x + 1)), F.sum(F.size(F.filter("train", lambda t: t)))).first()
         slices = min(1 << 16, max(1, -(-(sizes[0] or 0) // slice_size)))
@@ -378,4 +384,6 @@ def score(
         named = ids.join(out, ["block", "at"])
         return stored(named.select(F.col("k").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
     finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         tables.drop()
