@@ -6,13 +6,15 @@ import email
 import re
 from email import policy
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions import labels
 from mailsift.functions.text import HTML_TAG
 
+#: Messages parsed and handed on at a time; more of them never lie side by side as text.
+SLICE = 128
 FIELDS = ["from", "reply_to", "subject", "body"]
 
 
@@ -63,18 +65,23 @@ def parse_eml(df: DataFrame, content: str, keep: dict[str, str], body_policy: st
 
     def parse(batches):
         for batch in batches:
-            rows = []
-            for carried in batch.itertuples(index=False):
-                *kept, raw = carried
-                try:
-                    rows.append([*kept, *one(raw)])
-                except Exception:  # damaged message
-                    if not skip_bad:
-                        rows.append([*kept, "", "", "", ""])
-            yield pd.DataFrame(rows, columns=[*keep, *FIELDS])
+            for at in range(0, len(batch), SLICE):
+                few = batch.slice(at, SLICE)
+                use, rows = [], []
+                for i, raw in enumerate(few[content]):
+                    try:
+                        rows.append(one(raw.as_py()))
+                    except Exception:  # damaged message
+                        if skip_bad:
+                            continue
+                        rows.append(["", "", "", ""])
+                    use.append(i)
+                kept = few.select([*keep]).take(pa.array(use, pa.int64()))
+                fields = [pa.array([r[k] for r in rows], pa.string()) for k in range(len(FIELDS))]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *fields], names=[*keep, *FIELDS])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in {**keep, **dict.fromkeys(FIELDS, "string")}.items())
-    return df.select(*keep, content).mapInPandas(parse, schema)
+    return df.select(*keep, content).mapInArrow(parse, schema)
 
 
 def read_eml(spark: SparkSession, paths: list[str], body_policy: str = "first") -> DataFrame:

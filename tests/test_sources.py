@@ -230,3 +230,14 @@ def test_dispatch_of_lines(spark):
     got = csv.parse_lenient(df, "line", ["x", "y"], []).collect()
     assert [tuple(r) for r in got] == [("a", None)]
     assert df.select(csv.delimiter_vote(F.col("line")).alias("d")).head()["d"] == ","
+
+
+def test_messages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    """Slices of two: damaged messages and carried columns stay in place."""
+    monkeypatch.setattr(eml, "SLICE", 2)
+    rows = [(i, None if i in (3, 4) else bytearray(f"Subject: s{i}\r\n\r\nb{i}\r\n".encode())) for i in range(7)]
+    df = spark.createDataFrame(rows, "id bigint, content binary").coalesce(1)
+    first = {r.id: (r.subject, r.body.strip()) for r in eml.parse_eml(df, "content", {"id": "bigint"}).collect()}
+    assert first == {i: (f"s{i}", f"b{i}") for i in (0, 1, 2, 5, 6)}
+    both = {r.id: r.subject for r in eml.parse_eml(df, "content", {"id": "bigint"}, "concat").collect()}
+    assert both == {i: "" if i in (3, 4) else f"s{i}" for i in range(7)}
