@@ -1,8 +1,10 @@
 """Samples, splits, neighbours and balancing."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,20 @@ def test_unknown_strategy(spark):
     df = spark.createDataFrame([(1, [0.0], 1)], "msg_id long, x array<double>, y int")
     with pytest.raises(ValueError):
         balance.balance(df, "smoteenn")
+
+
+def test_the_products_of_two_blocks_are_not_held():
+    """Copies and far rows among them; the peak is below one array of all pairs."""
+    n = 1500
+    x = np.random.default_rng(3).integers(0, 9, (n, 6)).astype(float)
+    rows = pd.DataFrame({"msg_id": np.arange(n), "index": [np.arange(6)] * n, "value": [*x]})
+    tracemalloc.start()
+    got = balance._top_k(rows, rows, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n * n
+    for i in (0, 255, 256, 1499):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        want = np.lexsort((np.arange(n), np.round(d, 9)))[:3]
+        assert got[got.msg_id == i].neighbor.tolist() == want.tolist()
