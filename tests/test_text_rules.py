@@ -139,3 +139,14 @@ def test_accents_of_all_scripts(spark):
     wrong = [(t, got[k]) for k, t in enumerate(texts) if got[k] != stripped(t)]
     assert len(wrong) <= 8, wrong[:3]
     assert not [w for w in wrong if w[0] in texts[:12]]
+
+
+def test_full_stops_are_found_from_the_stop(spark):
+    """The quick pattern gives what the rule shared with SQL gives."""
+    pieces = ["ab.", "a.", "U.S.", "a..", "x\U0001F600.", "\U0001F600\U0001F601.", "é́.", ".", "..ab.", "ab.c", "ab.\n", "ab.\u2028", "ab. .cd.", "a b.", "(ab).", ""]
+    texts = [a + sep + b for a in pieces for b in pieces for sep in ("", " ", "\r\n", "\u3000")] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    got = df.select("t", text.full_stops(c).alias("a"), text._replaced(c, text.PUNCTUATION[-1:]).alias("b")).collect()
+    assert len(got) == len(texts) and [r.a for r in got] == [r.b for r in got]
+    assert sum(r.a != r.t for r in got if r.t) > 100
