@@ -98,8 +98,7 @@ def ngrams(spark, sf):
 @query("doc_freq", oracle("SELECT term, cf, df FROM counts", "mail", extra=VOCAB[:5]))
 def doc_freq(spark, sf):
     w = tfidf.with_words(mail_text(spark, sf), "text", tfidf.STOP_WORDS)
-    grams = F.concat(*[text.word_ngrams(F.col("_words"), n) for n in (1, 2, 3)])
-    return tfidf.gram_counts(w.select("_words"), grams)
+    return tfidf.ngram_counts(w, (1, 2, 3))
 
 
 def fitted(spark, sf):

@@ -80,3 +80,13 @@ def test_train_score_save_load(spark, mail, tmp_path):
     assert none == 0
     with pytest.raises(ValueError):
         model.score(mail.drop("body"), t.model)
+
+
+def test_ngrams_counted_by_slices_are_all_of_them(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "SLICE_WORDS", 3)
+    rows = [(["aa", "bb", "aa", "bb"],), (["bb"],), ([],), (None,), (["cc", "aa", "bb", "aa"],)]
+    df = spark.createDataFrame(rows, "_words array<string>")
+    got = {r.term: (r.cf, r.df) for r in tfidf.ngram_counts(df, (1, 2)).collect()}
+    assert got == {"aa": (4, 2), "bb": (4, 3), "cc": (1, 1), "aa bb": (3, 2), "bb aa": (2, 2), "cc aa": (1, 1)}
+    few = {r.term: r.cf for r in tfidf.ngram_counts(df, (2,), {1: ["aa", "bb"]}).collect()}
+    assert few == {"aa bb": 3, "bb aa": 2}
