@@ -150,3 +150,12 @@ def test_full_stops_are_found_from_the_stop(spark):
     got = df.select("t", text.full_stops(c).alias("a"), text._replaced(c, text.PUNCTUATION[-1:]).alias("b")).collect()
     assert len(got) == len(texts) and [r.a for r in got] == [r.b for r in got]
     assert sum(r.a != r.t for r in got if r.t) > 100
+
+
+def test_characters_that_become_several_are_found_within_bounds(spark):
+    several, others, _ = text._several()
+    chars = [("a\u00bd", True), ("\ufb06", True), ("\ud55c", True), ("a\u03b1\u0438", False), ("\U0001f600", False), ("", False)]
+    df = spark.createDataFrame([(c,) for c, _ in chars], "t string")
+    got = df.select(F.col("t").rlike(several), F.col("t").rlike(f"^(?:{others})?$"), text.analyzed(F.col("t"))).collect()
+    assert [(r[0], r[1]) for r in got] == [(found, not found) for _, found in chars]
+    assert got[0][2] == "a1\u20442" and got[1][2] == "st" and got[2][2] == "\u1112\u1161\u11ab"
