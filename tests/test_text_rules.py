@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailsift.functions import sentiment as S
-from mailsift.functions import text
+from mailsift.functions import text, words
 from mailsift.operators import features, tfidf
 from mailsift.sources import wordlists
 
@@ -159,3 +159,25 @@ def test_characters_that_become_several_are_found_within_bounds(spark):
     got = df.select(F.col("t").rlike(several), F.col("t").rlike(f"^(?:{others})?$"), text.analyzed(F.col("t"))).collect()
     assert [(r[0], r[1]) for r in got] == [(found, not found) for _, found in chars]
     assert got[0][2] == "a1\u20442" and got[1][2] == "st" and got[2][2] == "\u1112\u1161\u11ab"
+
+
+def test_tokens_counted_by_word_are_those_of_the_whole_text(spark):
+    """Among them joined words side by side, of which the rules part every other one."""
+    marks = ["cannot", "Cannot", "gimme", "can't", "it's", "'s", "dogs'", '"ab', 'ab"', "(\"x", "ab.", "a.", "U.S.", "...", "x--y", "a,b", "1,000", ",,5", ":", "a:b;", "$5%", "caf\u00e9", "\u0661,\u0662", "x\U0001F600.", "\U0001F600", "[gonna]", "wanna,wanna", "'", "''", "word"]
+    rng = random.Random(4)
+    texts = ["".join(x + rng.choice([" ", "  ", "\n", "\u3000", "\x1f", "\r\n"]) for x in rng.choices(marks, k=rng.randint(0, 9))) for _ in range(1500)]
+    texts += ["cannot cannot", "cannot  cannot", "gimme gimme gimme", "cannot gimme", "", " ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    tokens = F.col("tokens")
+    want = {r.i: r[1:] for r in df.select("i", text.treebank_tokens(F.col("text")).alias("tokens")).select("i", F.coalesce(text.alpha_word_length(tokens), F.lit(0.0)), text.unique_ratio(tokens), F.coalesce(F.size(tokens), F.lit(0))).collect()}
+    counts = {r.i: r.n for r in df.select("i", words.treebank_counts(F.col("text")).alias("n")).collect()}
+    got = {r.i: (r.avg_word_length, r.unique_words_ratio, counts[r.i].tokens) for r in features.text_complexity(df).collect()}
+    assert got == want
+    assert [counts[i].tokens for i, t in enumerate(texts) if t in ("cannot cannot", "cannot  cannot", "gimme gimme gimme")][-3:] == [3, 4, 5]
+
+
+def test_features_make_no_tokens_of_the_whole_text(spark):
+    """The rules ran over every text as patterns, which took most of the time."""
+    df = spark.createDataFrame([(1, "a@b.c", "a@b.c", "One", "two")], "msg_id int, `from` string, reply_to string, subject string, body string")
+    plan = features.numeric_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lL" not in plan and plan.count("_counted(") == 1
