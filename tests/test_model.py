@@ -82,6 +82,23 @@ def test_train_score_save_load(spark, mail, tmp_path):
         model.score(mail.drop("body"), t.model)
 
 
+def test_the_network_is_fitted_on_all_training_rows(spark, mail, monkeypatch):
+    """Rows above a bound were left out by ``sampling.take``."""
+    seen, fit = [], model.fit_stages
+
+    def taken(df, size_of, *args, **kwargs):
+        raise AssertionError("training rows were sampled")
+
+    def fit_seen(rows, *args, **kwargs):
+        seen.append(rows.count())
+        return fit(rows, *args, **kwargs)
+
+    monkeypatch.setattr(model.sampling, "take", taken)
+    monkeypatch.setattr(model, "fit_stages", fit_seen)
+    t = model.train(mail, max_terms=30, hidden=(4,), max_iter=2, strategy="none")
+    assert seen == [168] and t.scored.count() == 72 and t.fit.iterations <= 2
+
+
 def test_ngrams_counted_by_slices_are_all_of_them(spark, monkeypatch):
     monkeypatch.setattr(tfidf, "SLICE_WORDS", 3)
     rows = [(["aa", "bb", "aa", "bb"],), (["bb"],), ([],), (None,), (["cc", "aa", "bb", "aa"],)]
