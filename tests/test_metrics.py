@@ -1,5 +1,6 @@
 """Golden rows, curves and exact ordered sums."""
 
+import json
 import random
 
 import pytest
@@ -89,3 +90,14 @@ def test_count_not_above(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.25, 0.5, 0.9)], "v double")
     got = df.select(prefix.count_not_above(F.col("v"), cuts, False).alias("a"), prefix.count_not_above(F.col("v"), cuts, True).alias("b")).collect()
     assert [(r["a"], r["b"]) for r in got] == [(0, 0), (1, 0), (2, 2), (5, 4), (5, 5)]
+
+
+def test_documents_without_words_have_a_score(spark, tmp_path):
+    """Their share of repeated words was a division by zero, which ends the query."""
+    from mailsift.plans import evaluation
+
+    texts = [(1, " \n"), (2, "a b a b"), (3, None), (4, ""), (5, "a")]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = evaluation.json_results(spark, str(tmp_path))
+    assert {r.msg_id: json.loads(r.json)["probability"] for r in got.collect()} == {1: 0.0, 2: 0.5, 3: 0.0, 4: 0.0, 5: 0.0}
