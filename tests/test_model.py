@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mailsift.operators import matrix, model, scale, tfidf
+from mailsift.operators import balance, matrix, model, scale, tfidf
+from mailsift.plans import learning
 from mailsift.sources import artefacts
 
 WORDS = "alpha beta gamma delta omega kappa sigma theta zeta iota".split()
@@ -99,6 +100,42 @@ def test_the_network_is_fitted_on_all_training_rows(spark, mail, monkeypatch):
     assert seen == [168] and t.scored.count() == 72 and t.fit.iterations <= 2
 
 
+@pytest.fixture
+def two_variants(spark, mail, monkeypatch):
+    """Mail of which 40 rows have no label, two small variants, and the rows of every
+    feature computation."""
+    mixed, made, rows_of = mail.withColumn("label", F.when(F.col("msg_id") >= 40, F.col("label"))), [], matrix.numeric_rows
+
+    def counted(df, keep):
+        made.append(df.count())
+        return rows_of(df, keep)
+
+    small = {"max_terms": 30, "hidden": (4,), "max_iter": 2}
+    monkeypatch.setattr(matrix, "numeric_rows", counted)
+    monkeypatch.setattr(learning.views, "plain_mail", lambda spark, sf: mixed)
+    monkeypatch.setattr(learning, "VARIANTS", {v: {"strategy": v} | small for v in ("none", "combined")})
+    return mixed, made
+
+
+def test_variants_share_their_features(spark, two_variants):
+    """Each variant made all features anew."""
+    _, made = two_variants
+    got = learning.train_variants(spark, "variants").collect()
+    assert sorted((r.variant, r.split) for r in got) == [(v, s) for v in ("combined", "none") for s in ("test", "val")]
+    assert made == [200]
+
+
+def test_cells_are_balanced_like_dense_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, int(i % 4 == 0), [rng.choice([0.0, 0.0, rng.random()]) for _ in range(6)]) for i in range(60)]
+    dense = spark.createDataFrame(rows, "msg_id long, y int, x array<double>")
+    cells = dense.select("msg_id", "y", *matrix.sparse_cells("x"), F.size("x").alias("width"))
+    for strategy in ("none", "undersample", "oversample", "combined"):
+        a = balance.balance(dense, strategy).select("msg_id", "y", "synthetic", *matrix.sparse_cells("x"))
+        b = balance.balance(cells, strategy).select(a.columns)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_ngrams_counted_by_slices_are_all_of_them(spark, monkeypatch):
     monkeypatch.setattr(tfidf, "SLICE_WORDS", 3)
     rows = [(["aa", "bb", "aa", "bb"],), (["bb"],), ([],), (None,), (["cc", "aa", "bb", "aa"],)]
