@@ -125,6 +125,19 @@ def test_variants_share_their_features(spark, two_variants):
     assert made == [200]
 
 
+def test_the_score_table_uses_the_features_of_the_training(spark, two_variants):
+    """Features of labelled mail were made twice."""
+    mixed, made = two_variants
+    table = {r.msg_id: r for r in learning.score_table(spark, "table").collect()}
+    assert made == [200, 40]
+    want = model.score(mixed, learning.trained(spark, "table").model).collect()
+    assert len(table) == len(want) == 240
+    for r in want:
+        got = table[r.msg_id]
+        assert got.label == r.label and got.prediction == r.prediction
+        assert got.phishing_probability == pytest.approx(r.phishing_probability, abs=1e-9)
+
+
 def test_cells_are_balanced_like_dense_rows(spark):
     rng = random.Random(3)
     rows = [(i, int(i % 4 == 0), [rng.choice([0.0, 0.0, rng.random()]) for _ in range(6)]) for i in range(60)]
